@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A word is a run of anything but space and the characters 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,4 +53,5 @@ def gapless(df: DataFrame, group: list[str], bucket: str, order: list[str], out:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

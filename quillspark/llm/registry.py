@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import mixing, sharding, token_files
 from .common import table
 
 
@@ -12,12 +12,16 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_files(token_files.write_files(table(spark, sf_dir, "documents")))
+
+
 def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op10_balanced_shards)}
+    return {f.__name__: f for f in (op1_mix_sources, op6_token_files, op10_balanced_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
