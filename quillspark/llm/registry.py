@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, token_files
+from . import licences, mixing, ogg, sharding, token_files
 from .common import table
 
 
@@ -12,6 +12,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.features(ogg.encode_column(table(spark, sf_dir, "documents")))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(token_files.write_files(table(spark, sf_dir, "documents")))
 
@@ -21,8 +29,8 @@ def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op6_token_files, op10_balanced_shards)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_license_scan, op4_ogg_media, op6_token_files, op10_balanced_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op3_license_scan": licences.oracle()}
