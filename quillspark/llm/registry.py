@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, mixing, ogg, sharding, token_files
+from . import licences, mixing, ogg, packing, sharding, token_files
 from .common import table
 
 
@@ -24,12 +24,16 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(token_files.write_files(table(spark, sf_dir, "documents")))
 
 
+def op7_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op3_license_scan, op4_ogg_media, op6_token_files, op10_balanced_shards)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_license_scan, op4_ogg_media, op6_token_files, op7_lexical_packing, op10_balanced_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
