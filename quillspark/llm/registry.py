@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, mixing, ogg, packing, sharding, token_files
+from . import langid, licences, mixing, ogg, packing, sharding, token_files
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op3_license_scan, op4_ogg_media, op6_token_files, op7_lexical_packing, op10_balanced_shards)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_license_scan, op4_ogg_media, op6_token_files, op7_lexical_packing, op10_balanced_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
