@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licences, mixing, ogg, packing, sharding, token_files
+from . import langid, licences, mixing, ngram_join, ogg, packing, sharding, token_files
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.features(ogg.encode_column(table(spark, sf_dir, "documents")))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(token_files.write_files(table(spark, sf_dir, "documents")))
 
@@ -37,8 +41,8 @@ def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_license_scan, op4_ogg_media, op6_token_files, op7_lexical_packing, op10_balanced_shards)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_license_scan, op4_ogg_media, op5_ngram_jaccard, op6_token_files, op7_lexical_packing, op10_balanced_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE, "op3_license_scan": licences.oracle()}
+    return {"op1_mix_sources": mixing.ORACLE, "op3_license_scan": licences.oracle(), "op5_ngram_jaccard": ngram_join.ORACLE}
