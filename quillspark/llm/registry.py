@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licences, mixing, ngram_join, ogg, packing, sharding, token_files, vectors
+from . import html_pages, langid, licences, mixing, ngram_join, ogg, packing, sharding, token_files, vectors
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op7_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -45,7 +49,7 @@ def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_license_scan, op4_ogg_media, op5_ngram_jaccard, op6_token_files, op7_lexical_packing, op9_embedding_near_dups, op10_balanced_shards)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_license_scan, op4_ogg_media, op5_ngram_jaccard, op6_token_files, op7_lexical_packing, op8_html_main_text, op9_embedding_near_dups, op10_balanced_shards)}
 
 
 def oracle_sql() -> dict[str, str]:

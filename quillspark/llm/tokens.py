@@ -18,7 +18,16 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: White space as the tokenizers' patterns see it.
 SPACES = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 UNEVEN = f"{SPACES} | {SPACES}"
-CACHED, LONGEST = 700_000, 48
+CACHED = 500_000
+#: One mark at a word's end that is a token of its own for either tokenizer.
+MARKS = frozenset(",.;:!?")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: printable ones for themselves, the others counted up from 256."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in set(printable))
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 def vocabulary_path(name: str) -> str:
@@ -34,6 +43,7 @@ class WordEncoder:
         self.tokenizer, self.spaces_count = Tokenizer.from_file(path), spaces_count
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
+        self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         self.clear()
 
     def clear(self) -> None:
@@ -44,9 +54,35 @@ class WordEncoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _word(self, key: str) -> list[int] | None:
+        """Ids of a key that is letters, with one mark after them at most, straight from the library's model: no
+        pattern divides it. None for other keys."""
+        word, tail = key.removeprefix(" ") if self.spaces_count else key, ()
+        if word[-1:] in MARKS:
+            word, tail = word[:-1], self.merge(word[-1])
+        if not word.isalpha():
+            return None
+        if not self.spaces_count:
+            if not word.isascii() and (max(word) >= "\u0250" or "\u0130" in word):  # may change when normalised
+                return None
+            word = word.lower()
+        elif key[0] == " ":
+            word = " " + word
+        if self.spaces_count or not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.merge(word)]
+        return ids + [t.id for t in tail] if tail else ids
+
+    def _encode_keys(self, keys: list[str]) -> list[list[int]]:
+        found = [self._word(k) for k in keys]
+        if rest := [i for i, x in enumerate(found) if x is None]:
+            for i, x in zip(rest, self._ids([keys[i] for i in rest]), strict=True):
+                found[i] = x
+        return found
+
     def _learn(self, keys: list[str]) -> None:
         n = len(self.at)
-        found = self._ids(keys)
+        found = self._encode_keys(keys)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         while n + len(keys) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths))
@@ -60,9 +96,11 @@ class WordEncoder:
         self.at.update(zip(keys, range(n, n + len(keys)), strict=True))
 
     def _known(self, keys: list[str]) -> np.ndarray:
-        if len(self.at) > CACHED:
-            self.clear()
-        if new := [k for k in keys if k not in self.at]:
+        """Rows of the keys. What is learned above CACHED holds for this call's texts alone."""
+        while len(self.at) > CACHED:
+            self.at.popitem()
+        self.used = min(self.used, int(self.starts[len(self.at) - 1] + self.lengths[len(self.at) - 1])) if self.at else 0
+        if new := [k for k in dict.fromkeys(keys) if k not in self.at]:
             self._learn(new)
         return np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
 
@@ -110,7 +148,7 @@ def encoder(path: str, spaces_count: bool) -> WordEncoder:
     return _encoders[path, spaces_count]
 
 
-def slices(batches, column: str, most: int = 12_000_000):
+def slices(batches, column: str, most: int = 6_000_000):
     """Parts of the batches with at most that many bytes of text, one row at least: bounds a worker's memory."""
     for b in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
