@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from .plans import records, retrieval
+
+FLAGSHIP = "v9_hybrid_fusion"
 
 
 def queries() -> dict:
-    return {}
+    return retrieval.QUERIES | records.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return retrieval.SQL | records.SQL
