@@ -30,7 +30,17 @@ def cut(df: DataFrame, codec: str = "snappy", by: list[str] | None = None) -> Da
     path = os.path.join(shared_dir(spark), f"{spark.sparkContext.applicationId}-tables", uuid.uuid4().hex)
     writer = df.write.option("compression", codec)
     (writer.partitionBy(*by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and that nothing will read again."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(t._cut_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def hash60(c: Column) -> Column:

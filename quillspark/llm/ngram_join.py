@@ -17,16 +17,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 from .links import link_components
 from .shingles import mix, shingle_sets
 from .tokens import slices
 
 #: The sketch: rows of so many counters. Its size is fixed, so it may be sent to every task.
 SKETCH_BITS, SKETCH_ROWS, SLICES = 20, 2, 64
+#: Bits of the map of wanted documents that every task gets: 4 MB at any size of the corpus.
+WANTED_BITS = 25
 _SEED = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -103,13 +105,36 @@ def signatures(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, p1 array<long>, p2 array<int>, p3 array<int>")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
+def _bit(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(1 << WANTED_BITS))
+
+
+def _wanted(reps: DataFrame) -> np.ndarray:
+    """A map with a bit set for each of reps (least), by hash, so that other documents' texts stay where they are."""
+    rows = reps.select(_bit(F.col("least")).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
+    out = np.zeros((1 + (1 << WANTED_BITS) // 32768, 4096), np.uint8)
+    for r in rows:
+        out[r["k"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _sets(docs: DataFrame, size: int, reps: DataFrame) -> DataFrame:
+    """digest and tokens of the texts of reps, and of the few others that share a bit with one of them."""
+    wanted = docs.sparkSession.sparkContext.broadcast(_wanted(reps))
+
     def run(batches):
+        bits = wanted.value
         for b in slices(batches, "text"):
+            at = b.column("at").to_numpy()
+            b = b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            if not b.num_rows:
+                continue
             sets = shingle_sets(b.column("text"), size)
             yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["digest", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "digest binary, tokens binary")
+    # bucket numbers start at 1 for the hashes from 1 on; hash 0 is bucket 0's only one
+    at = (F.bitmap_bucket_number("h") * 32768 + F.bitmap_bit_position("h")).alias("at")
+    return docs.select("text", _bit(F.col("doc_id")).alias("h")).select("text", at).mapInArrow(run, "digest binary, tokens binary")
 
 
 def _verified(percent: int):
@@ -150,10 +175,11 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
         left = cut(left)
         needed = left.select(F.col("da").alias("digest")).union(left.select("db")).distinct()
         reps = classes.join(needed, "digest").select("least")
-        own = docs.join(reps, docs["doc_id"].eqNullSafe(reps["least"]), "left_semi")
-        sets = cut(_sets(own, size).dropDuplicates(["digest"]), codec="none")
+        sets = cut(_sets(docs, size, reps).dropDuplicates(["digest"]), codec="none")
         full = left.join(sets.select(F.col("digest").alias("da"), F.col("tokens").alias("x")), "da").join(sets.select(F.col("digest").alias("db"), F.col("tokens").alias("y")), "db")
-        return cut(full.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"))
+        linked = cut(full.select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"))
+        discard(left, sets)
+        return linked
 
     comps = link_components(postings, verify, may_link)
     found = classes.join(comps, "id", "left").select("digest", F.coalesce("c", "id").alias("c"), "least")
