@@ -43,16 +43,17 @@ def _merge(comps: DataFrame, verified: DataFrame) -> DataFrame:
     return cut(comps.join(joined, comps["c"] == joined["node"], "left").select("id", F.coalesce("comp", "c").alias("c")))
 
 
-def link_components(postings: DataFrame, verify: Verify, may_link: Callable[[str, str], Column] | None = None, rounds: int = 2) -> DataFrame:
+def link_components(postings: DataFrame, verify: Verify, may_link: Callable[[str, str], Column] | None = None, rounds: int = 2, central: Column | None = None) -> DataFrame:
     """postings (key, id, ...) of items that share a key with another -> (id, c) for these items, c the smallest id of the
     component. verify gets pairs (a, b) and returns those that link. may_link gives a condition on two postings, by
-    their names, that linked items meet for one of their shared keys at least."""
+    their names, that linked items meet for one of their shared keys at least. The first leader of a key is the item
+    with the least central, where that is given; other leaders are taken by a hash."""
     carried = [c for c in postings.columns if c not in ("key", "id")]
     comps = cut(postings.select("id").distinct().withColumn("c", F.col("id")))
     allowed = may_link or (lambda x, y: F.lit(True))
     for r in range(rounds):
         p = postings.join(comps, "id")
-        leaders = p.groupBy("key").agg(F.min_by(F.struct("id", "c", *carried), F.xxhash64("id", F.lit(r))).alias("_l"), F.min("c").alias("_lo"), F.max("c").alias("_hi"))
+        leaders = p.groupBy("key").agg(F.min_by(F.struct("id", "c", *carried), F.struct(*([central] if central is not None and r == 0 else []), F.xxhash64("id", F.lit(r)))).alias("_l"), F.min("c").alias("_lo"), F.max("c").alias("_hi"))
         leaders = leaders.filter("_lo <> _hi").select("key", "_l.*")
         pairs = p.alias("x").join(leaders.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & allowed("x", "y"))
         pairs = pairs.groupBy("x.id", F.col("y.id").alias("leader")).agg(F.count("*").alias("n")).groupBy("id").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))

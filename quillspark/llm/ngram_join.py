@@ -164,10 +164,10 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     postings = cut(posted.join(twice, "key").select("key", "id", "n", "pos"))
 
     def may_link(x: str, y: str):
-        """Sizes allow it, and what follows the shared token can make up the overlap."""
+        """Sizes allow it, and the token lies where the first shared one of two linked sets must: what follows it in
+        either set, with itself, is the whole overlap. So no other shared token needs a row."""
         nx, ny, px, py = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.pos"), F.col(f"{y}.pos")
-        overlap = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1)
-        return (100 * nx >= percent * ny) & (100 * ny >= percent * nx) & ((100 + percent) * overlap >= percent * (nx + ny))
+        return (100 * nx >= percent * ny) & (100 * ny >= percent * nx) & ((100 + percent) * F.least(nx - px, ny - py) >= percent * (nx + ny))
 
     def verify(pairs: DataFrame) -> DataFrame:
         a, b = (classes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("p2").alias(f"p2{k}"), F.col("p3").alias(f"p3{k}"), F.col("digest").alias(f"d{k}")) for k in "ab")
@@ -181,7 +181,7 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
         discard(left, sets)
         return linked
 
-    comps = link_components(postings, verify, may_link)
+    comps = link_components(postings, verify, may_link, central=F.col("pos"))
     found = classes.join(comps, "id", "left").select("digest", F.coalesce("c", "id").alias("c"), "least")
     smallest = found.groupBy("c").agg(F.min("least").alias("component_id"))
     named = found.join(smallest, "c").select("digest", "component_id")
