@@ -19,6 +19,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SPACES = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 UNEVEN = f"{SPACES} | {SPACES}"
 CACHED = 500_000
+#: Where spaces don't count: a letter and a run of signs (no apostrophe) before a space, which any pattern divides.
+SIGNS = r"([a-zß-öø-ÿ])([!-&(-/:-@\[-`{-~]+) "
+#: Capitals that composition may treat unlike small letters.
+COMPOSED = r"[A-Z]\p{M}"
 #: One mark at a word's end that is a token of its own for either tokenizer.
 MARKS = frozenset(",.;:!?")
 
@@ -74,7 +78,11 @@ class WordEncoder:
         return ids + [t.id for t in tail] if tail else ids
 
     def _encode_keys(self, keys: list[str]) -> list[list[int]]:
-        found = [self._word(k) for k in keys]
+        merge, word = self.merge, self._word
+        if self.spaces_count:
+            found = [word(k) for k in keys]
+        else:
+            found = [[t.id for t in merge(k.lower())] if k.isascii() and k.isalpha() else word(k) for k in keys]
         if rest := [i for i, x in enumerate(found) if x is None]:
             for i, x in zip(rest, self._ids([keys[i] for i in rest]), strict=True):
                 found[i] = x
@@ -100,10 +108,19 @@ class WordEncoder:
         while len(self.at) > CACHED:
             self.at.popitem()
         self.used = min(self.used, int(self.starts[len(self.at) - 1] + self.lengths[len(self.at) - 1])) if self.at else 0
-        if new := [k for k in dict.fromkeys(keys) if k not in self.at]:
-            self._learn(new)
+        if new := [k for k in keys if k not in self.at]:
+            self._learn(list(dict.fromkeys(new)))
         return np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
 
+    def _divided(self, column: pa.Array) -> pa.Array:
+        """Texts with the same ids and fewer distinct words, where spaces don't count: in lower case, line ends as
+        spaces, a space before the signs at a word's end."""
+        lower = pc.ascii_lower(column)
+        composed = pc.match_substring_regex(column, COMPOSED)
+        if pc.any(composed).as_py():
+            lower = pc.if_else(composed, column, lower)
+        return pc.replace_substring_regex(pc.replace_substring(lower, "\n", " "), SIGNS, r"\1 \2 ")
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, number of ids of each text). Null counts as empty."""
         column = pc.fill_null(column, "")
@@ -114,7 +131,7 @@ class WordEncoder:
             whole = pc.match_substring_regex(column, UNEVEN).to_numpy(zero_copy_only=False)
             divided = pc.if_else(pa.array(whole), "", column) if whole.any() else column
         else:
-            divided = column
+            divided = self._divided(column)
         parts = pc.split_pattern(divided, " ")
         words = parts.flatten().dictionary_encode()
         offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
