@@ -160,3 +160,21 @@ def test_pipeline_stages_keep_columns(spark, sf):
     want = {r.doc_id for r in ngram_join.join(docs).collect() if r.doc_id == r.component_id}
     assert alone.columns == columns and {r.doc_id for r in alone.collect()} == want
     assert corpus_pipeline.STAGES[2][1](spark, docs, sf).columns == columns
+
+
+@pytest.mark.parametrize(("name", "spaces"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_word_encoder_equals_the_library(name, spaces):
+    import random
+
+    import pyarrow as pa
+    from quillspark.llm.tokens import WordEncoder, vocabulary_path
+    from tokenizers import Tokenizer
+
+    r, library = random.Random(5), Tokenizer.from_file(vocabulary_path(name))
+    library.encode_special_tokens = True
+    signs = [*"aAbHTJWYsS'ß éÉİıſḴ̈̊̌ ,.;:!?#%<|>_-`\n\t\r\x0b\x1c\x85　 09²½中σΣς  ", "'s", "'LL", "<|endoftext|>", " the", "Word, ", "x### "]
+    texts = [None, "", " ", "a,", *("".join(r.choices(signs, k=r.randint(0, 30))) for _ in range(5000))]
+    ids, n = WordEncoder(vocabulary_path(name), spaces).encode(pa.array(texts))
+    at = np.concatenate([[0], np.cumsum(n)])
+    for k, want in enumerate(library.encode_batch([t or "" for t in texts], add_special_tokens=False)):
+        assert ids[at[k] : at[k + 1]].tolist() == want.ids, texts[k]
