@@ -1,8 +1,8 @@
 """Token ids of whole texts with the tokenizers library, encoding each distinct word of a worker once.
 
-A text is divided at single spaces, where neither tokenizer joins anything: the byte-level one attaches a space to
-what follows it, the word-level one drops it. So the ids of a text are those of its words in turn. Texts in which a
-space stands beside other white space are encoded in one piece where spaces count. The words' ids stay in the worker
+A text is divided where neither tokenizer joins anything: at single spaces (the byte-level one attaches a space to what
+follows it, the word-level one drops it), and between a word and the signs after it. So the ids of a text are those of
+its words in turn. Texts in which a space stands beside other white space are encoded in one piece where spaces count. The words' ids stay in the worker
 for later batches, up to a number of words."""
 
 from __future__ import annotations
@@ -17,7 +17,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: White space as the tokenizers' patterns see it.
 SPACES = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-UNEVEN = f"{SPACES} | {SPACES}"
+BORDER = "\x01"
+#: Texts encoded in one piece where spaces count; \x01 marks the borders in the others.
+UNEVEN = f"{SPACES} | {SPACES}|{BORDER}"
+#: Where spaces count: a letter before a sign (no apostrophe), and a line end between others, which any pattern divides.
+SIGN_AFTER, LINE_END = r"([a-zA-ZÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~])", r"([!-~])\n([!-~])"
 CACHED = 500_000
 #: Where spaces don't count: a letter and a run of signs (no apostrophe) before a space, which any pattern divides.
 SIGNS = r"([a-zß-öø-ÿ])([!-&(-/:-@\[-`{-~]+) "
@@ -130,18 +134,15 @@ class WordEncoder:
         if self.spaces_count:
             whole = pc.match_substring_regex(column, UNEVEN).to_numpy(zero_copy_only=False)
             divided = pc.if_else(pa.array(whole), "", column) if whole.any() else column
+            divided = pc.replace_substring(divided, " ", f"{BORDER} ")
+            divided = pc.replace_substring_regex(divided, SIGN_AFTER, rf"\1{BORDER}\2")
+            divided = pc.replace_substring_regex(divided, LINE_END, f"\\1{BORDER}\n{BORDER}\\2")
         else:
             divided = self._divided(column)
-        parts = pc.split_pattern(divided, " ")
+        parts = pc.split_pattern(divided, BORDER if self.spaces_count else " ")
         words = parts.flatten().dictionary_encode()
         offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
-        index, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
-        if self.spaces_count:  # the first word of a text has no space before it
-            known = self._known([" " + w for w in distinct] + (first := [distinct[i] for i in index[offsets[:-1]]]))
-            rows = known[index]
-            rows[offsets[:-1]] = known[len(distinct) :] if len(first) else rows[:0]
-        else:
-            rows = self._known(distinct)[index]
+        rows = self._known(words.dictionary.to_pylist())[words.indices.to_numpy()]
         lengths = self.lengths[rows]
         ends = np.cumsum(lengths)
         where = np.repeat(self.starts[rows] - ends + lengths, lengths) + np.arange(ends[-1])
