@@ -1,8 +1,10 @@
 """Lexical retrieval packing: sequences are filled with documents that a BM25 index finds near their seed.
 
 Documents are tokenised once and written with the number of documents that hold each id (over all documents). They are
-dealt by hash into shards of about DOCS_PER_SHARD documents. Each shard builds an inverted index over token ids and
-packs its own documents: a seed opens a window, its strongest terms are looked up, and unused neighbours follow in order
+dealt by content into shards of about DOCS_PER_SHARD documents: in the order of a weighted min-hash of their terms, so
+that related documents, copies above all, lie together at any size of the corpus. Each shard builds an inverted index
+over token ids and packs its own documents, so a seed's neighbours come from its shard alone; the README has the
+measured share of whole-corpus neighbours that lie there. A seed opens a window, its strongest terms are looked up, and unused neighbours follow in order
 of their BM25 score until the window is full. The neighbour that crosses its end is cut; its rest opens the next window
 and is its seed. The ids left at the end of a shard go to sequences whose lengths are powers of two. So no sequence is
 padded.
@@ -13,7 +15,6 @@ empty table gives an empty result; other columns are ignored."""
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
@@ -24,9 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .shingles import mix
 from .tokens import encoder, slices, vocabulary_path
 
 WINDOW, DOCS_PER_SHARD, TERMS = 4096, 1024, 8
+#: Sampled keys for each shard: their order gives the bounds between shards.
+SAMPLED = 16
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -52,15 +56,35 @@ def _tokenize(path: str, end_id: int, dtype: str):
     return run
 
 
+def content_keys(docs: list[np.ndarray], ties: np.ndarray, idf: np.ndarray, mean_length: float) -> np.ndarray:
+    """A number for each document whose order puts related ones together: the three terms that win a race with their
+    squared BM25 weights as rates, 16 bits each, and 16 bits of ties, which divide groups of copies of any size."""
+    race = -np.log((mix(np.arange(1, len(idf) + 1, dtype=np.uint64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54)
+    out = np.zeros(len(docs), np.uint64)
+    for k, ids in enumerate(docs):
+        t, w = _weights(ids, idf, mean_length)
+        time = race[t] / np.maximum(w.astype(np.float64) ** 2, 1e-12)
+        first = np.argpartition(time, 2)[:3] if len(t) > 3 else np.arange(len(t))
+        for x in t[first[np.argsort(time[first], kind="stable")]]:
+            out[k] = out[k] << np.uint64(16) | np.uint64(int(x) & 0xFFFF)
+        out[k] <<= np.uint64(16 * max(0, 3 - len(t)))
+    return out << np.uint64(16) | ties.astype(np.uint64) & np.uint64(0xFFFF)
+
+
+def _weights(ids: np.ndarray, idf: np.ndarray, mean_length: float) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a document and their BM25 weights."""
+    t, tf = np.unique(ids, return_counts=True)
+    tf = tf.astype(np.float32)
+    return t, idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean_length))
+
+
 class Index:
     """A BM25 inverted index over the documents of one shard, with statistics of all documents."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
         terms, owners, weights, self.queries = [], [], [], []
         for k, ids in enumerate(docs):
-            t, tf = np.unique(ids, return_counts=True)
-            tf = tf.astype(np.float32)
-            w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean_length))
+            t, w = _weights(ids, idf, mean_length)
             terms.append(t), owners.append(np.full(len(t), k, np.int32)), weights.append(w)
             top = np.argpartition(-w, TERMS)[:TERMS] if len(t) > TERMS else np.arange(len(t))
             self.queries.append(t[np.sort(top)])
@@ -112,7 +136,8 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, wind
 
 
 def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, window: int = WINDOW, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
-    """A row for each piece. To the driver go the number of documents of each id, bounded by the vocabulary, and sums."""
+    """A row for each piece. To the driver go the number of documents of each id, bounded by the vocabulary, sums,
+    and the keys of a sample, SAMPLED for each shard."""
     path = path or vocabulary_path("word_bpe_49k.json")
     size = max(encoder(path, False).size, end_id + 1)
     dtype = "<u2" if size <= 1 << 16 else "<u4"
@@ -124,7 +149,28 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, window: int
     n_docs, n_ids = whole.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     idf = np.log1p((n_docs - holds + 0.5) / (holds + 0.5)).astype(np.float32)
     mean_length = n_ids / max(1, n_docs)
-    shards = max(1, math.ceil(n_docs / docs_per_shard))
+
+    def keyed(bounds: np.ndarray | None):
+        """Rows with their shard, or the content keys alone where there are no bounds yet."""
+
+        def run(batches):
+            unpack = zstandard.ZstdDecompressor()
+            for b in batches:
+                ids = [np.frombuffer(unpack.decompress(x.as_buffer()), dtype) for x in b.column("ids")]
+                keys = content_keys(ids, b.column("tie").to_numpy(), idf, mean_length)
+                if bounds is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, keys, side="right")), *(b.column(c) for c in ("doc_id", "n", "ids"))], ["shard", "doc_id", "n", "ids"])
+
+        return run
+
+    tied = whole.withColumn("tie", F.xxhash64("doc_id", F.crc32("ids")))
+    bounds = np.zeros(0, np.uint64)
+    if n_docs > docs_per_shard:  # the sample is chosen by hash: equal tables have equal bounds
+        one_of = max(1, docs_per_shard // SAMPLED)
+        some = tied.filter(F.pmod(F.xxhash64("tie"), F.lit(one_of)) == 0).mapInArrow(keyed(None), "key long").toArrow()
+        bounds = np.sort(some.column("key").to_numpy().view(np.uint64))[:: max(1, docs_per_shard // one_of)][1:]
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         unpack = zstandard.ZstdDecompressor()
@@ -137,5 +183,5 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, window: int
         ]
         return pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
 
-    dealt = whole.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(shards)))
+    dealt = tied.mapInArrow(keyed(bounds), "shard long, doc_id long, n long, ids binary")
     return dealt.groupBy("shard").applyInPandas(packed, PIECES)

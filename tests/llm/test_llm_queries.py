@@ -84,6 +84,28 @@ def test_packing_holds_each_id_once(spark, sf):
     check_packed(registry.op7_lexical_packing(spark, sf).collect(), {r.doc_id: r.text for r in documents(spark, sf)})
 
 
+def test_packing_deals_related_documents_to_one_shard(spark):
+    import random
+
+    r, encode, texts = random.Random(3), ids_of("word_bpe_49k.json"), {}
+    words = ["".join(r.choices("aeioulnrst", k=r.randint(3, 9))) for _ in range(4000)]
+    for group in range(80):
+        base = r.choices(words, k=120)
+        for k in range(8):
+            texts[len(texts)] = " ".join(r.choice(words) if r.random() < 0.03 * k else w for w in base)
+    docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    found = packing.pack(docs, docs_per_shard=64).collect()
+    check_packed(found, texts)
+    shard = {x.doc_id: x.sequence_id >> 32 for x in found}
+    assert max(shard.values()) >= 5
+    ids = [np.array(encode(texts[k]), np.uint16) for k in range(len(texts))]
+    holds = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=50_000)
+    index = packing.Index(ids, np.log1p((len(ids) - holds + 0.5) / (holds + 0.5)).astype(np.float32), sum(map(len, ids)) / len(ids))
+    best = [index.neighbours(k, np.arange(len(ids)) != k)[0] for k in range(len(ids))]
+    # of neighbours over all documents; dealing by doc_id reaches a tenth
+    assert sum(shard[k] == shard[b] for k, b in enumerate(best)) >= 0.6 * len(ids)
+
+
 def test_marginals_equal_enumeration():
     r = np.random.default_rng(1)
     parents, levels = np.array([-1, 0, 0, 1]), [np.array([0]), np.array([1, 2]), np.array([3])]
