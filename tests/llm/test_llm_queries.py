@@ -106,6 +106,26 @@ def test_packing_deals_related_documents_to_one_shard(spark):
     assert sum(shard[k] == shard[b] for k, b in enumerate(best)) >= 0.6 * len(ids)
 
 
+def test_licences_in_the_forms_of_real_files(spark):
+    import textwrap
+
+    mit, bsd, gpl = licences.KNOWN["MIT"], licences.FILES["BSD-3-Clause"], licences.FILES["GPL-2.0"]
+    texts = {
+        "MIT": ["MIT License\n\nCopyright (c) 2020 A Person\n\n" + mit, "# The MIT License (MIT)\n\nCopyright © A Person\n\n" + mit, mit, "MIT License\n\nCopyright A Person and others\n\n" + mit],
+        "BSD-2-Clause": [textwrap.fill(licences.KNOWN["BSD-2-Clause"], w) for w in range(20, 100)],
+        "BSD-3-Clause": ["BSD 3-Clause License\n\nCopyright (c) 2009, A Person\nAll rights reserved.\n\n" + bsd.replace("copyright holder nor", "Example Foundation nor"), bsd, *(textwrap.fill(bsd, w) for w in range(20, 100))],
+        "WTFPL": [licences.FILES["WTFPL"], licences.KNOWN["WTFPL"]],
+        "GPL-2.0": [gpl, gpl[gpl.index("Preamble") :], gpl.replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA"), gpl[: gpl.index("How to Apply These Terms")]],
+        "CC0-1.0": [licences.FILES["CC0-1.0"], licences.FILES["CC0-1.0"].split("HEREUNDER.\n")[1]],
+        "Apache-2.0": [licences.FILES["Apache-2.0"].replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2021 A Person"), *(textwrap.fill(licences.FILES["Apache-2.0"].split("APPENDIX")[0], w) for w in (40, 72, 90))],
+        **{k: [licences.FILES[k]] for k in ("Unlicense", "GPL-1.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0")},
+        None: ["MIT License", "Copyright (c) 2020 A Person", mit + " And more.", bsd.replace("are permitted", "are not permitted"), "the name of"],
+    }
+    rows = [(k, t, i) for i, (k, t) in enumerate((k, t) for k, ts in texts.items() for t in ts)]
+    found = {r.doc_id: r.license for r in licences.scan(spark.createDataFrame([(i, t) for _, t, i in rows], "doc_id long, text string")).collect()}
+    assert [(k, found[i], t[:200]) for k, t, i in rows if found[i] != k] == []
+
+
 def test_marginals_equal_enumeration():
     r = np.random.default_rng(1)
     parents, levels = np.array([-1, 0, 0, 1]), [np.array([0]), np.array([1, 2]), np.array([3])]
