@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard
+from .common import WORD, cut, discard
 from .links import link_components
 from .shingles import mix, shingle_sets
 from .tokens import slices
@@ -77,9 +77,9 @@ def _prefixes(tokens: np.ndarray, counts: np.ndarray, length: int) -> list[np.nd
     return out
 
 
-def signatures(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
-    """doc_id, n (shingles), digest of the set, and the prefixes under each order, of sets that may have a link to
-    another set. counts: a broadcast sketch."""
+def signatures(docs: DataFrame, size: int, percent: int, counts, mark: Column | None = None) -> DataFrame:
+    """doc_id, n (shingles), digest of the set, the prefixes under each order, of sets that may have a link to another
+    set, and mark (binary) of the row. counts: a broadcast sketch."""
     least = -(-percent // (100 - percent))  # a smaller set can only link with itself
 
     def run(batches):
@@ -98,11 +98,12 @@ def signatures(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
                 for k in range(3):
                     first[k].append(p[k])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(first[0], pa.list_(pa.int64())), *(pa.array(x, pa.list_(pa.int32())) for x in first[1:])],
-                ["doc_id", "n", "digest", "p1", "p2", "p3"],
+                [b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(first[0], pa.list_(pa.int64())), *(pa.array(x, pa.list_(pa.int32())) for x in first[1:]), b.column("mark")],
+                ["doc_id", "n", "digest", "p1", "p2", "p3", "mark"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, p1 array<long>, p2 array<int>, p3 array<int>")
+    marked = (F.lit(None) if mark is None else mark).cast("binary").alias("mark")
+    return docs.select("doc_id", "text", marked).mapInArrow(run, "doc_id long, n long, digest binary, p1 array<long>, p2 array<int>, p3 array<int>, mark binary")
 
 
 def _bit(c: Column) -> Column:
@@ -152,11 +153,12 @@ def _verified(percent: int):
     return run
 
 
-def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def _components(docs: DataFrame, size: int, percent: int, mark: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all rows, and (digest, c, least) of all sets: c numbers the component, least is the smallest
+    doc_id with the set."""
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(sketch(docs, size))
-    rows = cut(signatures(docs, size, percent, counts))
+    rows = cut(signatures(docs, size, percent, counts, mark))
     classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("n", "p1", "p2", "p3"), F.coalesce("doc_id", F.lit(0))).alias("s"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "digest", "least", "s.*"))
     posted = classes.filter("p1 is not null").select("id", "n", F.posexplode("p1").alias("pos", "key"))
@@ -182,17 +184,30 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
         return linked
 
     comps = link_components(postings, verify, may_link, central=F.col("pos"))
-    found = classes.join(comps, "id", "left").select("digest", F.coalesce("c", "id").alias("c"), "least")
+    return rows, classes.join(comps, "id", "left").select("digest", F.coalesce("c", "id").alias("c"), "least")
+
+
+def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    rows, found = _components(docs, size, percent)
     smallest = found.groupBy("c").agg(F.min("least").alias("component_id"))
     named = found.join(smallest, "c").select("digest", "component_id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(named, "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """One document of each component, its smallest doc_id, with all columns."""
-    kept = join(docs, **kw).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+def keep_one(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """One row of each component, with all columns: that of its smallest doc_id (null comes last), then of the smallest
+    digest of doc_id and text, then of the smallest hash of the row. Rows are linked by their texts alone: equal or null
+    doc_id with unlinked texts are all kept, and so is every row without words."""
+    mark = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text"))))
+    blank = F.coalesce(~F.col("text").rlike(WORD), F.lit(True))
+    rows, found = _components(docs, size, percent, mark)
+    first = rows.join(found, "digest").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("_s"))
+    first = first.select(F.col("_s.mark").alias("_m"))
+    kept = docs.filter(~blank).withColumn("_m", mark).join(first, "_m", "left_semi")
+    one = kept.groupBy("_m").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_r"))
+    return one.select("_r.*").union(docs.filter(blank))
 
 
 ORACLE = """

@@ -204,6 +204,15 @@ def test_pipeline_stages_keep_columns(spark, sf):
     assert corpus_pipeline.STAGES[2][1](spark, docs, sf).columns == columns
 
 
+def test_keep_one_goes_by_texts(spark):
+    copy = " ".join(f"w{i}" for i in range(60))
+    other, third, fourth = ("an unrelated text of its own", "quite another one it is", "a last text with nothing alike")
+    rows = [(None, other, "a"), (None, third, "b"), (5, fourth, "c"), (5, copy, "d"), (5, copy, "d"), (4, copy, "e"), (None, copy, "f"), (None, None, "g"), (None, None, "g"), (6, " ", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = sorted(r.source for r in ngram_join.keep_one(docs).collect())
+    assert found == ["a", "b", "c", "e", "g", "g", "h"]
+
+
 @pytest.mark.parametrize(("name", "spaces"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_word_encoder_equals_the_library(name, spaces):
     import random
