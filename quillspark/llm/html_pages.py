@@ -8,7 +8,8 @@ text of leaves above one half is the page's text. Both potentials are trained fr
 
 Text: character references are decoded, white space in a block becomes one space, blocks are trimmed, empty ones left
 out, and joined by one newline in page order. Line breaks (br) are white space. Scripts, styles, templates and comments
-are never text. Tags that close others by HTML's rules do so here; unclosed tags end with their parent or the page.
+are never text; of elements whose content is no markup, a self-closing svg is empty, and one without an end tag, scripts
+and styles apart, is passed over as a tag alone. Tags that close others by HTML's rules do so here; unclosed tags end with their parent or the page.
 
 Defined cases: null or empty html gives an empty text; text outside any element is judged as the page's own; equal rows
 stay; an empty table gives an empty result; other columns are ignored."""
@@ -31,6 +32,8 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 # fixed values: HTML's void elements, elements whose content is no markup, inline elements, and what closes what
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
+#: What ends the attributes of a self-closing tag: a slash that no unquoted value holds. HTML heeds it in svg alone.
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'/]|(?:^|\s)[^\s=\"'/]+)/$")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"},
@@ -86,7 +89,7 @@ def parse(page: str) -> Tree:
                 del stack[i:]
                 return
 
-    at, end = 0, len(page)
+    at, end, unclosed = 0, len(page), set()
     while at < end:
         m = TAG.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
@@ -101,8 +104,13 @@ def parse(page: str) -> Tree:
             continue
         name = name.lower()
         if name in RAW and not slash:
-            shut = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = shut.end() if shut else end
+            if name == "svg" and SELF_CLOSED.search(attributes):
+                continue
+            shut = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            if not shut:  # nor has any later one of that name
+                unclosed.add(name)
+            if shut or name in ("script", "style"):
+                at = shut.end() if shut else end
             continue
         if name in INLINE:
             if name == "a":

@@ -144,6 +144,17 @@ def test_main_text(spark):
     assert {r.page_id: (r.text, r.n_chars) for r in html_pages.main_text(df).collect()} == {1: (want, len(want)), 2: ("", 0), 3: ("", 0)}
 
 
+@pytest.mark.parametrize(
+    "tag",
+    ["<svg/>", '<svg class="icon" />', "<svg width=1 />", "<svg hidden/>", "<svg viewBox='0 0 1 1'/>", "<template>", "<noscript>", "<iframe src=/x>", "<svg>", "<textarea>", "<svg><path/></svg>", "<iframe src=/x/></iframe>", "<script>x()</script>"],
+)
+def test_text_after_raw_tags_stays(tag):
+    tree = html_pages.parse(f"<body><p>Before.</p>{tag}<p>After.</p></body>")
+    assert list(tree.texts.values()) == ["Before.", "After."]
+    assert list(html_pages.parse("<body><p>Before.</p><script>x() <p>After.</p>").texts.values()) == ["Before."]
+    assert list(html_pages.parse("<p>a</p><svg/><p>b</p><svg><text>no</text></svg><p>c</p>").texts.values()) == ["a", "b", "c"]
+
+
 def test_shards(spark, sf):
     texts = {r.doc_id: r.text for r in documents(spark, sf)}
     found, slots, sizes = registry.op10_balanced_shards(spark, sf).collect(), defaultdict(list), defaultdict(int)
