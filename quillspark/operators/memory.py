@@ -14,8 +14,9 @@ def tiers(turns: DataFrame, session: str, order: list[str], hot: int = 30, warm:
     return turns.withColumn("_r", r).withColumn("tier", F.when(F.col("_r") <= hot, "hot").when(F.col("_r") <= hot + warm, "warm").otherwise("cold")).drop("_r")
 
 
-def _line(role: str, text: str, most: int) -> Column:
-    return F.concat(F.col(role), F.lit(": "), F.substring(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[ \t\n\r]+", " "), 1, most))
+def _line(role: str, text: str, most: int | None = None) -> Column:
+    whole = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[ \t\n\r]+", " ")
+    return F.concat(F.col(role), F.lit(": "), whole if most is None else F.substring(whole, 1, most))
 
 
 def tail_within(lines: DataFrame, session: str, order: list[str], line: str, budget: int) -> DataFrame:
@@ -35,7 +36,7 @@ def context(turns: DataFrame, session: str, order: list[str], role: str, text: s
     trimmed to budget; the collected lines are bounded by hot and budget."""
     t = tiers(turns, session, order, hot, warm)
     w = tail_within(t.where("tier = 'warm'").withColumn("_line", _line(role, text, 240)), session, order, "_line", max(400, budget // 3))
-    h = tail_within(t.where("tier = 'hot'").withColumn("_line", _line(role, text, 1_000_000)), session, order, "_line", budget)
+    h = tail_within(t.where("tier = 'hot'").withColumn("_line", _line(role, text)), session, order, "_line", budget)
     both = _joined(h, session, order, "_line", "_hot").join(_joined(w, session, order, "_line", "_warm"), session, "left")
     return both.select(session, F.concat_ws("\n", "_warm", "_hot").alias("context"))
 

@@ -84,3 +84,9 @@ def test_missing_vector_raises(spark):
     chunks, vectors = spark.createDataFrame([(1, "a"), (2, "b")], "chunk_id long, text string"), spark.createDataFrame([(1, [0.5])], "chunk_id long, v array<double>")
     with pytest.raises(Exception, match="no vector for chunk 2"):
         records.with_embeddings(chunks, vectors).collect()
+
+
+def test_newest_turn_stays_whole(spark):
+    long = "a" * 1_200_000
+    t = spark.createDataFrame([(1, 1, "user", "hi"), (1, 2, "user", long)], "s int, turn int, role string, text string")
+    assert memory.context(t, "s", ["turn"], "role", "text").first().context == f"user: {long}"
