@@ -2,7 +2,8 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. The probability of a word is the sum over
 all its segmentations into pieces (forward algorithm); a text's is the product over its words. Words are scored once per
-batch, all words and languages together, and the sums for the texts are gathered from them.
+batch, all words and languages together, and the sums for the texts are gathered from them. A word of any length, such as
+a text without spaces, is summed over whole: a window as wide as the longest piece moves over it, rescaled as it goes.
 
 Training: labelled documents, at most PER_LANGUAGE of each language by the order of a hash (the bound of the sample); the
 pieces that the vocabulary's own segmentation finds in them are counted. Scoring covers whole texts of all documents.
@@ -23,8 +24,10 @@ from .common import hash60
 from .tokens import slices, vocabulary_path
 
 PER_LANGUAGE, SMOOTHING = 4000, 0.5
-#: Longer words are scored in parts of that many characters; a character outside the vocabulary has this probability.
-PART, UNKNOWN = 32, 1e-6
+#: Words up to SHORT characters are scored without rescaling; a character outside the vocabulary has this probability.
+SHORT, UNKNOWN = 32, 1e-6
+#: Bytes of text, and characters of long words, that a worker scores at a time.
+SLICE, LONG_CHARS = 3_000_000, 200_000
 UND = "und"
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _SLOTS = 20
@@ -44,7 +47,7 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = self.model.get_piece_size()
         texts = {self.model.id_to_piece(i): i for i in range(self.size) if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i))}
-        self.longest = min(PART, max(map(len, texts)))
+        self.longest = max(map(len, texts))
         self.tables, rest = [], list(texts.items())
         for factor in _FACTORS:
             keys, values, later = np.zeros(1 << _SLOTS, np.uint64), np.full(1 << _SLOTS, -1, np.int32), []
@@ -93,25 +96,14 @@ def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
 
 
-def _parts(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Words with the vocabulary's mark of a word's begin, in parts of PART characters; the word of each part."""
-    texts, owner = [], []
-    for i, w in enumerate(words):
-        w = "▁" + w
-        for a in range(0, len(w), PART):
-            texts.append(w[a : a + PART])
-            owner.append(i)
-    return texts, np.array(owner, np.int64)
-
-
 def log_forward(texts: list[str], probability: np.ndarray, vocabulary: Pieces) -> np.ndarray:
-    """[text, language] log of the sum over all segmentations; texts have PART characters at most. probability: [piece,
-    language], with a row at the end for what is no piece."""
+    """[text, language] log of the sum over all segmentations. probability: [piece, language], with a row at the end for
+    what is no piece."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     out = np.zeros((len(texts), probability.shape[1]))
-    for n in np.unique(lengths):
+    for n in np.unique(lengths[lengths <= SHORT]):
         own = np.flatnonzero(lengths == n)
-        chars = np.frombuffer("".join([texts[i] for i in own]).encode("utf-32-le"), np.uint32).reshape(len(own), n).astype(np.uint64)
+        chars = np.frombuffer("".join([texts[i] for i in own]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), n).astype(np.uint64)
         alpha = np.zeros((n + 1, len(own), probability.shape[1]))
         alpha[0] = 1
         for i in range(n):
@@ -125,9 +117,44 @@ def log_forward(texts: list[str], probability: np.ndarray, vocabulary: Pieces) -
                     some = np.flatnonzero(found >= 0)
                     alpha[j + 1][some] += alpha[i][some] * probability[found[some]]
         out[own] = np.log(alpha[n])
+    long = np.flatnonzero(lengths > SHORT)
+    long = long[np.argsort(-lengths[long], kind="stable")]
+    ends = np.cumsum(lengths[long])
+    for own in np.split(long, np.flatnonzero(np.diff(ends // LONG_CHARS)) + 1) if len(long) else ():
+        out[own] = _log_forward_long([texts[i] for i in own], probability, vocabulary)
     return out
 
 
+def _log_forward_long(texts: list[str], probability: np.ndarray, vocabulary: Pieces) -> np.ndarray:
+    """The same for long texts, longest first, position by position for all of them together: of the sums only those
+    as far back as a piece may reach are kept, and they are divided by the last one, whose logarithm is added up."""
+    lengths = np.array([len(t) for t in texts])
+    begins = np.cumsum(lengths) - lengths
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    left = np.repeat(begins + lengths, lengths) - np.arange(len(chars))  # characters up to the text's end
+    longest = vocabulary.longest
+    pieces_at = np.full((len(chars), longest), -1, np.int32)  # [last character, length - 1]
+    h = np.zeros(len(chars), np.uint64)
+    for n in range(1, min(longest, int(lengths[0])) + 1):
+        fits = len(chars) - n + 1
+        h = h[:fits] * np.uint64(1_000_003) + chars[n - 1 :] + np.uint64(1)
+        pieces_at[n - 1 :, n - 1] = np.where(left[:fits] >= n, vocabulary.find(h), -1)
+    table = np.concatenate([probability[:-1], np.zeros((1, probability.shape[1])), np.full((1, probability.shape[1]), UNKNOWN)])
+    pieces_at[pieces_at < 0] = len(table) - 2
+    alone = pieces_at[:, 0]
+    alone[alone == len(table) - 2] = len(table) - 1
+    back = np.zeros((len(texts), longest, probability.shape[1]))
+    back[:, 0] = 1
+    total = np.zeros((len(texts), probability.shape[1]))
+    for j in range(int(lengths[0])):
+        active = int(np.searchsorted(-lengths, -j, side="left"))
+        new = (back[:active] * table[pieces_at[begins[:active] + j]]).sum(1)
+        total[:active] += np.log(new)
+        back[:active, 1:] = back[:active, :-1] / new[:, None]
+        back[:active, 0] = 1
+    return total
+
+
 def train(labelled: DataFrame, path: str, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """(languages, [piece + 1, language] probabilities) from (doc_id, text, lang). The driver gets a count for each
     piece and language: bounded by the vocabulary and the languages, whatever the input."""
@@ -143,7 +170,7 @@ def train(labelled: DataFrame, path: str, per_language: int = PER_LANGUAGE) -> t
     def count(batches):
         v = pieces(path)
         sums = np.zeros((len(languages), v.size), np.int64)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             for k, name in enumerate(languages):
                 words, _ = _words(b.filter(pc.equal(b.column("lang"), name)).column("text"))
                 if len(words):
@@ -164,40 +191,55 @@ def train(labelled: DataFrame, path: str, per_language: int = PER_LANGUAGE) -> t
     return languages, counts
 
 
+def score_texts(column: pa.Array, model: tuple[list[str], np.ndarray], path: str) -> tuple[list[str], np.ndarray]:
+    """(language, score) of each text."""
+    languages, probability = model
+    names, score = [UND] * len(column), np.zeros(len(column))
+    words, offsets = _words(column)
+    letters = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    if languages and len(words):
+        kinds = words.dictionary_encode()
+        of_word = log_forward(["▁" + w for w in kinds.dictionary.to_pylist()], probability, pieces(path))
+        index, total = kinds.indices.to_numpy(), np.zeros((len(column), len(languages)))
+        some = np.flatnonzero(np.diff(offsets))
+        for k in range(len(languages)):
+            total[some, k] = np.add.reduceat(of_word[index, k], offsets[:-1][some])
+        best = total.argmax(1)
+        top = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        names = [languages[k] if x else UND for k, x in zip(best, letters, strict=True)]
+        score = np.where(letters, top, 0.0)
+    return names, score
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score (the posterior of lang_pred among the languages) of every document."""
-    languages, probability = model
 
     def run(batches):
-        for b in slices(batches, "text"):
-            names, score = [UND] * b.num_rows, np.zeros(b.num_rows)
-            words, offsets = _words(b.column("text"))
-            letters = pc.fill_null(pc.match_substring_regex(b.column("text"), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            if languages and len(words):
-                kinds = words.dictionary_encode()
-                texts, owner = _parts(kinds.dictionary.to_pylist())
-                of_part = log_forward(texts, probability, pieces(path))
-                index, total = kinds.indices.to_numpy(), np.zeros((b.num_rows, len(languages)))
-                some = np.flatnonzero(np.diff(offsets))
-                for k in range(len(languages)):
-                    of_word = np.bincount(owner, of_part[:, k], len(kinds.dictionary))
-                    total[some, k] = np.add.reduceat(of_word[index], offsets[:-1][some])
-                best = total.argmax(1)
-                top = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-                names = [languages[k] if x else UND for k, x in zip(best, letters, strict=True)]
-                score = np.where(letters, top, 0.0)
+        for b in slices(batches, "text", SLICE):
+            names, score = score_texts(b.column("text"), model, path)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), b.column("held_out"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def _learned(docs: DataFrame, path: str, per_language: int) -> tuple[list[str], np.ndarray]:
+    return train(docs.filter(~held_out(F.col("doc_id"))), path, per_language)
+
+
 def identify(docs: DataFrame, path: str | None = None, per_language: int = PER_LANGUAGE) -> DataFrame:
     """Learns from the labelled documents that aren't held out, and predicts all."""
     path = path or vocabulary_path("piece_bpe_32k.model")
-    return predict(docs, train(docs.filter(~held_out(F.col("doc_id"))), path, per_language), path)
+    return predict(docs, _learned(docs, path, per_language), path)
+
 
+def keep_identified(docs: DataFrame, path: str | None = None, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """The rows that have a language, with all their columns: one pass, without a shuffle."""
+    path = path or vocabulary_path("piece_bpe_32k.model")
+    model = _learned(docs, path, per_language)
+
+    def run(batches):
+        for b in slices(batches, "text", SLICE):
+            names, _ = score_texts(b.column("text"), model, path)
+            yield b.filter(pa.array([x != UND for x in names]))
 
-def keep_identified(docs: DataFrame, **kw) -> DataFrame:
-    """The documents that have a language, with all their columns."""
-    named = identify(docs, **kw).filter(F.col("lang_pred") != UND).select("doc_id").distinct()
-    return docs.join(named, docs["doc_id"].eqNullSafe(named["doc_id"]), "left_semi")
+    return docs.mapInArrow(run, docs.schema)
