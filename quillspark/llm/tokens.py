@@ -8,6 +8,7 @@ for later batches, up to a number of words."""
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaces_count = Tokenizer.from_file(path), spaces_count
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that the library takes as one id wherever they stand: texts that hold one are encoded in one piece.
+        self.special = "|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or r"[^\s\S]"
         self.size = self.tokenizer.get_vocab_size()
         self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         self.clear()
@@ -130,15 +132,17 @@ class WordEncoder:
         column = pc.fill_null(column, "")
         if not len(column):
             return self.pool[:0], np.zeros(0, np.int64)
-        whole = np.zeros(len(column), bool)
+        # either case: a vocabulary may put texts in lower case first
+        whole = pc.match_substring_regex(column, f"(?i){self.special}").to_numpy(zero_copy_only=False)
+        if self.spaces_count:
+            whole = whole | pc.match_substring_regex(column, UNEVEN).to_numpy(zero_copy_only=False)
+        divided = pc.if_else(pa.array(whole), "", column) if whole.any() else column
         if self.spaces_count:
-            whole = pc.match_substring_regex(column, UNEVEN).to_numpy(zero_copy_only=False)
-            divided = pc.if_else(pa.array(whole), "", column) if whole.any() else column
             divided = pc.replace_substring(divided, " ", f"{BORDER} ")
             divided = pc.replace_substring_regex(divided, SIGN_AFTER, rf"\1{BORDER}\2")
             divided = pc.replace_substring_regex(divided, LINE_END, f"\\1{BORDER}\n{BORDER}\\2")
         else:
-            divided = self._divided(column)
+            divided = self._divided(divided)
         parts = pc.split_pattern(divided, BORDER if self.spaces_count else " ")
         words = parts.flatten().dictionary_encode()
         offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
