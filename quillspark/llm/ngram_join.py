@@ -29,6 +29,8 @@ from .tokens import slices
 SKETCH_BITS, SKETCH_ROWS, SLICES = 20, 2, 64
 #: Bits of the map of wanted documents that every task gets: 4 MB at any size of the corpus.
 WANTED_BITS = 25
+#: Bytes of text that a worker hashes at a time.
+SLICE = 1_000_000
 _SEED = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -42,7 +44,7 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
 
     def count(batches):
         sums = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.uint32)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             tokens = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(b.column("text"), size)])
             for r in range(SKETCH_ROWS):
                 sums[r] += np.bincount(_slots(tokens, r), minlength=1 << SKETCH_BITS).astype(np.uint32)
@@ -77,19 +79,23 @@ def _prefixes(tokens: np.ndarray, counts: np.ndarray, length: int) -> list[np.nd
     return out
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts)))
+
+
 def signatures(docs: DataFrame, size: int, percent: int, counts, mark: Column | None = None) -> DataFrame:
     """doc_id, n (shingles), digest of the set, the prefixes under each order, of sets that may have a link to another
     set, and mark (binary) of the row. counts: a broadcast sketch."""
     least = -(-percent // (100 - percent))  # a smaller set can only link with itself
 
     def run(batches):
-        table = counts.value
-        for b in slices(batches, "text"):
+        table, none = counts.value, np.zeros(0, np.int64)
+        for b in slices(batches, "text", SLICE):
             n, digest, first = [], [], [[], [], []]
             for tokens in shingle_sets(b.column("text"), size):
                 n.append(len(tokens))
                 digest.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
-                p = [None, None, None]
+                p = [none, none.view(np.int32), none.view(np.int32)]
                 if len(tokens) >= least:
                     seen = np.minimum(*(table[r][_slots(tokens, r)] for r in range(SKETCH_ROWS)))
                     length = len(tokens) - -(-percent * len(tokens) // 100) + 1
@@ -98,7 +104,7 @@ def signatures(docs: DataFrame, size: int, percent: int, counts, mark: Column |
                 for k in range(3):
                     first[k].append(p[k])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(first[0], pa.list_(pa.int64())), *(pa.array(x, pa.list_(pa.int32())) for x in first[1:]), b.column("mark")],
+                [b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *map(_lists, first), b.column("mark")],
                 ["doc_id", "n", "digest", "p1", "p2", "p3", "mark"],
             )
 
@@ -125,7 +131,7 @@ def _sets(docs: DataFrame, size: int, reps: DataFrame) -> DataFrame:
 
     def run(batches):
         bits = wanted.value
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             at = b.column("at").to_numpy()
             b = b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             if not b.num_rows:
@@ -161,7 +167,7 @@ def _components(docs: DataFrame, size: int, percent: int, mark: Column | None =
     rows = cut(signatures(docs, size, percent, counts, mark))
     classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("n", "p1", "p2", "p3"), F.coalesce("doc_id", F.lit(0))).alias("s"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "digest", "least", "s.*"))
-    posted = classes.filter("p1 is not null").select("id", "n", F.posexplode("p1").alias("pos", "key"))
+    posted = classes.select("id", "n", F.posexplode("p1").alias("pos", "key"))
     twice = posted.groupBy("key").agg(F.count("*").alias("_k")).filter("_k > 1").select("key")
     postings = cut(posted.join(twice, "key").select("key", "id", "n", "pos"))
 

@@ -6,10 +6,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] += np.uint64(32)
+_VALUE = _LOWER + np.uint64(1)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
+#: Bytes that are hashed at a time: 8-byte arrays of more than that never arise, however long a text or a word is.
+CHUNK = 1 << 18
 _RANDOM = np.random.default_rng(20240229)
 _PLACE = _RANDOM.integers(1 << 62, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -36,17 +39,21 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     heads = offsets[:-1][(offsets[:-1] < len(data))]
     begins[heads] = inside[heads]
     starts = np.flatnonzero(begins)
-    where = np.flatnonzero(inside)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(column), np.int64)
-    in_word = np.cumsum(begins)[where] - 1
-    place = where - starts[in_word]
-    value = (_LOWER[data[where]].astype(np.uint64) + np.uint64(1)) * _PLACE[place & 4095]
-    far = place >= 4096
-    if far.any():
-        value[far] *= mix((place[far] >> 12).astype(np.uint64) + np.uint64(1)) | np.uint64(1)
-    hashes = mix(np.add.reduceat(value, np.searchsorted(where, starts)))
-    return hashes, np.diff(np.searchsorted(starts, offsets))
+    sums = np.zeros(len(starts), np.uint64)
+    for a in range(0, len(data), CHUNK):
+        at = np.flatnonzero(inside[a : a + CHUNK])
+        if not len(at):
+            continue
+        # words before the chunk are counted; a word that began there goes on, its sum is added to
+        word = np.cumsum(begins[a : a + CHUNK], dtype=np.int64)[at] + (np.searchsorted(starts, a) - 1)
+        place = at + a - starts[word]
+        value = _VALUE[data[a : a + CHUNK][at]] * _PLACE[place & 4095]
+        far = place >= 4096
+        if far.any():
+            value[far] *= mix((place[far] >> 12).astype(np.uint64) + np.uint64(1)) | np.uint64(1)
+        edges = np.flatnonzero(np.diff(word, prepend=-1))
+        sums[word[edges]] += np.add.reduceat(value, edges)
+    return mix(sums), np.diff(np.searchsorted(starts, offsets))
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
