@@ -210,7 +210,7 @@ def test_pipeline_stages_keep_columns(spark, sf):
     known = corpus_pipeline.STAGES[0][1](spark, docs, sf)
     assert known.columns == columns and known.count() <= len(texts)
     alone = corpus_pipeline.STAGES[1][1](spark, docs, sf)
-    want = {r.doc_id for r in ngram_join.join(docs).collect() if r.doc_id == r.component_id}
+    want = {r.doc_id for r in ngram_join.join(docs, size=5, percent=80).collect() if r.doc_id == r.component_id}
     assert alone.columns == columns and {r.doc_id for r in alone.collect()} == want
     assert corpus_pipeline.STAGES[2][1](spark, docs, sf).columns == columns
 
@@ -233,10 +233,78 @@ def test_word_encoder_equals_the_library(name, spaces):
     from tokenizers import Tokenizer
 
     r, library = random.Random(5), Tokenizer.from_file(vocabulary_path(name))
-    library.encode_special_tokens = True
-    signs = [*"aAbHTJWYsS'ß éÉİıſḴ̈̊̌ ,.;:!?#%<|>_-`\n\t\r\x0b\x1c\x85　 09²½中σΣς  ", "'s", "'LL", "<|endoftext|>", " the", "Word, ", "x### "]
+    signs = [*"aAbHTJWYsS'ß éÉİıſḴ̈̊̌ ,.;:!?#%<|>_-`\n\t\r\x0b\x1c\x85　 09²½中σΣς  ", "'s", "'LL", "<|endoftext|>", " the", "Word, ", "x### ", "<|startoftext|>", "<|ENDOFTEXT|>"]
     texts = [None, "", " ", "a,", *("".join(r.choices(signs, k=r.randint(0, 30))) for _ in range(5000))]
     ids, n = WordEncoder(vocabulary_path(name), spaces).encode(pa.array(texts))
     at = np.concatenate([[0], np.cumsum(n)])
     for k, want in enumerate(library.encode_batch([t or "" for t in texts], add_special_tokens=False)):
         assert ids[at[k] : at[k + 1]].tolist() == want.ids, texts[k]
+
+
+def test_word_sums_equal_enumeration():
+    """Sums over all segmentations of whole words, short, long and longer than a window, against every one of them."""
+    import itertools
+
+    class Few:
+        longest, size = 3, 5
+        ids = {"a": 0, "ab": 1, "bab": 2, "b": 3, "ba": 4}
+
+        def find(self, h):
+            known = {}
+            for text, i in self.ids.items():
+                x = 0
+                for c in text:
+                    x = (x * 1_000_003 + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+                known[x] = i
+            return np.array([known.get(int(x), -1) for x in h], np.int32)
+
+    r = np.random.default_rng(3)
+    probability = np.concatenate([r.random((5, 2)), np.full((1, 2), langid.UNKNOWN)])
+
+    def every(word):
+        total = np.zeros(2)
+        for cuts in itertools.product([0, 1], repeat=len(word) - 1):
+            parts, at = [], 0
+            for i, c in enumerate([*cuts, 1], 1):
+                if c:
+                    parts.append(word[at:i])
+                    at = i
+            if all(p in Few.ids or len(p) == 1 for p in parts):
+                total += np.prod([probability[Few.ids.get(p, -1)] for p in parts], axis=0)
+        return np.log(total)
+
+    words = ["a", "abab", "xab", "babab" * 2, "abxbaabba", "bababbabaabab"]
+    assert np.allclose(langid.log_forward(words, probability, Few()), [every(w) for w in words])
+    assert np.allclose(langid._log_forward_long(sorted(words, key=len, reverse=True), probability, Few()), [every(w) for w in sorted(words, key=len, reverse=True)])
+    # beyond enumeration: by the plain recurrence
+    word, sums = "abbab" * 60, [np.ones(2)]
+    for i in range(1, len(word) + 1):
+        parts = [(word[j:i], sums[j]) for j in range(max(0, i - 3), i)]
+        sums.append(sum(x * probability[Few.ids.get(p, -1)] for p, x in parts if p in Few.ids or len(p) == 1))
+    assert np.allclose(langid.log_forward([word, word[:40]], probability, Few()), np.log([sums[300], sums[40]]))
+
+
+def test_words_in_small_chunks(monkeypatch):
+    import pyarrow as pa
+    from quillspark.llm import shingles
+
+    texts = pa.array([None, "", " a\tB ", "c" * 9000 + " d", "a b " * 50, "é É", " "])
+    want = shingles.words(texts)
+    for chunk in (1, 7, 64):
+        monkeypatch.setattr(shingles, "CHUNK", chunk)
+        assert all((x == y).all() for x, y in zip(want, shingles.words(texts), strict=True))
+    assert want[1].tolist() == [0, 0, 2, 2, 100, 2, 0]
+
+
+def test_a_slice_takes_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+    from quillspark.llm import shingles
+
+    column = pa.array([" ".join(f"w{i % 977}" for i in range(k, k + 200_000)) for k in range(1)])
+    tracemalloc.start()
+    shingles.shingle_sets(column, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * column.nbytes + 60 * shingles.CHUNK
