@@ -1,8 +1,8 @@
 """The corpus pipeline: language ID, one document of each group of near copies, mixing by source, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. A stage
-works on all that the one before it kept: documents without a language go; of each component of near copies (three-word
-shingles, Jaccard 0.9) the smallest doc_id stays; each document comes as often as the mix takes it; what is left is
+works on all that the one before it kept: documents without a language go; of each component of near copies (five-word
+shingles, Jaccard 0.8) the smallest doc_id stays; each document comes as often as the mix takes it; what is left is
 packed into sequences."""
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ def _language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, size=5, percent=80)
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
