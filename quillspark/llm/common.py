@@ -24,6 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_asked: dict[str, int] = {}
+
+
+def batches_of(spark: SparkSession, rows: int) -> None:
+    """Arrow batches of at most so many rows from now on, fewer if the session asked for fewer at first: an executor and
+    its Python workers hold whole texts of a batch or two at a time."""
+    own = _asked.setdefault(spark.sparkContext.applicationId, int(spark.conf.get(_ARROW_ROWS)))
+    spark.conf.set(_ARROW_ROWS, str(min(rows, own) if own > 0 else rows))
+
+
 def cut(df: DataFrame, codec: str = "snappy", by: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends in files that outlive any executor."""
     spark = df.sparkSession

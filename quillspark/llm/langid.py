@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash60
+from .common import batches_of, hash60
 from .tokens import slices, vocabulary_path
 
 PER_LANGUAGE, SMOOTHING = 4000, 0.5
@@ -28,6 +28,8 @@ PER_LANGUAGE, SMOOTHING = 4000, 0.5
 SHORT, UNKNOWN = 32, 1e-6
 #: Bytes of text, and characters of long words, that a worker scores at a time.
 SLICE, LONG_CHARS = 3_000_000, 200_000
+#: Rows of an Arrow batch.
+ROWS = 1000
 UND = "und"
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _SLOTS = 20
@@ -223,6 +225,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str) ->
 
 
 def _learned(docs: DataFrame, path: str, per_language: int) -> tuple[list[str], np.ndarray]:
+    batches_of(docs.sparkSession, ROWS)
     return train(docs.filter(~held_out(F.col("doc_id"))), path, per_language)
 
 

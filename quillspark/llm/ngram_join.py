@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, discard
+from .common import WORD, batches_of, cut, discard
 from .links import link_components
 from .shingles import mix, shingle_sets
 from .tokens import slices
@@ -31,6 +31,8 @@ SKETCH_BITS, SKETCH_ROWS, SLICES = 20, 2, 64
 WANTED_BITS = 25
 #: Bytes of text that a worker hashes at a time.
 SLICE = 1_000_000
+#: Rows of an Arrow batch.
+ROWS = 1000
 _SEED = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -163,6 +165,7 @@ def _components(docs: DataFrame, size: int, percent: int, mark: Column | None =
     """The signatures of all rows, and (digest, c, least) of all sets: c numbers the component, least is the smallest
     doc_id with the set."""
     spark = docs.sparkSession
+    batches_of(spark, ROWS)
     counts = spark.sparkContext.broadcast(sketch(docs, size))
     rows = cut(signatures(docs, size, percent, counts, mark))
     classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("n", "p1", "p2", "p3"), F.coalesce("doc_id", F.lit(0))).alias("s"))
