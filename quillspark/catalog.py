@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from .plans import records, retrieval
+from .plans import agent, answers, memories, records, retrieval, stores, texts
 
 FLAGSHIP = "v9_hybrid_fusion"
 
 
+PLANS = (retrieval, records, agent, texts, stores, answers, memories)
+
+
 def queries() -> dict:
-    return retrieval.QUERIES | records.QUERIES
+    return {name: q for plan in PLANS for name, q in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return retrieval.SQL | records.SQL
+    return {name: sql for plan in PLANS for name, sql in plan.SQL.items()}

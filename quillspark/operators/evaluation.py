@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .planning import any_of
+
 
 def _f1(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
@@ -55,3 +57,125 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     j = a.select("metric", F.col("mean").alias("a")).join(b.select("metric", F.col("mean").alias("b")), "metric", "full_outer")
     diff = F.round(F.coalesce("b", F.lit(0.0)) - F.coalesce("a", F.lit(0.0)), 4)
     return j.select("metric", "a", "b", diff.alias("diff"), F.when(diff > 0, "improved").when(diff < 0, "regressed").otherwise("unchanged").alias("verdict"))
+
+
+# fixed values: intents and words of safety, words that are no attribute, how a claim looks
+MEDICAL = ("disease_diet", "medical", "diet_advice")
+SAFETY_TERMS = ("医生", "医师", "营养师", "专业人士", "就医", "咨询")
+HISTORY = ("历史问答参考", "根据历史问答")
+SKIPPED = ("约含", "含有", "大约", "约莫", "约为", "包括", "包含", "分为", "其中")
+CLAIM = r"([一-鿿]{2,6})\s*(?:是|为|含|有|约|大约|约莫|达到|超过|低于)?\s*([0-9][0-9.]*)\s*(k?cal|g|mg|μg|千卡|大卡|克|毫克|微克)?"
+PRONOUN = "[那这它]"
+
+
+def _share(part: Column, whole: Column, empty: float) -> Column:
+    return F.when(whole > 0, part / whole).otherwise(F.lit(empty))
+
+
+def _n(values: Column) -> Column:
+    return F.size(F.array_distinct(values))
+
+
+def _hits(expected: Column, actual: Column) -> Column:
+    return F.size(F.array_intersect(expected, actual))
+
+
+def planner_scores(expected_intent: Column, intent: Column, expected: Column, actual: Column) -> Column:
+    """struct(intent_accuracy, route_precision, route_recall, route_f1); null where nothing is expected, so that an average
+    leaves the row out."""
+    s = set_scores(actual, expected)
+    has = F.size(expected) > 0
+    return F.struct(F.when(expected_intent != "", (expected_intent == intent).cast("double")).alias("intent_accuracy"), *(F.when(has, s[k]).alias(f"route_{k}") for k in ("precision", "recall", "f1")))
+
+
+def citation_scores(cited: Column, contexts: Column) -> Column:
+    """struct(validity, coverage): the share of citations that exist, and of contexts that are cited."""
+    valid = F.filter(cited, lambda c: (c >= 1) & (c <= contexts))
+    return F.struct(_share(F.size(valid), F.size(cited), 0.0).alias("validity"), F.when((F.size(cited) > 0) & (contexts > 0), _n(valid) / contexts).otherwise(0.0).alias("coverage"))
+
+
+def context_use(pairs: DataFrame, key: list[str], context_key: str, answer: str, context: str) -> DataFrame:
+    """key, context_utilization: the best lexical F1 of an answer with one of its contexts."""
+    return lexical_f1(pairs, [*key, context_key], answer, context).groupBy(*key).agg(F.max("lexical_f1").alias("context_utilization"))
+
+
+def _names(text: Column, names: Column) -> Column:
+    return F.exists(names, lambda x: (x != "") & F.contains(text, x)).cast("double")
+
+
+def safety_scores(intent: Column, answer: Column, allergies: Column, restrictions: Column, forbidden: Column) -> Column:
+    """struct(safety_notice, allergy_violation, restriction_violation, forbidden_violation)."""
+    notice = F.when(intent.isin(*MEDICAL) & ~any_of(answer, SAFETY_TERMS), 0.0).otherwise(1.0)
+    return F.struct(notice.alias("safety_notice"), _names(answer, allergies).alias("allergy_violation"), _names(answer, restrictions).alias("restriction_violation"), _names(answer, F.concat(forbidden, allergies)).alias("forbidden_violation"))
+
+
+def memory_scores(answer: Column, policies: Column) -> Column:
+    """struct(context_only_violation, memory_compliance)."""
+    broken = (F.array_contains(policies, "context_only") & any_of(answer, HISTORY)).cast("double")
+    return F.struct(broken.alias("context_only_violation"), (1 - broken).alias("memory_compliance"))
+
+
+def route_order(expected: Column, actual: Column) -> Column:
+    """1 less the edit distance of the expected order and the expected routes among the actual ones, over the longer.
+    Routes become one character each, so the built-in distance of strings counts them."""
+    seen = F.filter(actual, lambda r: F.array_contains(expected, r))
+    once = F.array_distinct(expected)
+
+    def letters(routes: Column) -> Column:
+        return F.array_join(F.transform(routes, lambda r: F.char(F.array_position(once, r) + 64)), "")
+
+    return F.when(F.size(expected) == 0, 1.0).when(F.size(seen) == 0, 0.0).otherwise(1 - F.levenshtein(letters(expected), letters(seen)) / F.greatest(F.size(expected), F.size(seen)))
+
+
+def discovery_scores(expected: Column, actual: Column) -> Column:
+    """struct(precision, recall) of found entities; precision is over all that were found, copies counted."""
+    hits, none = _hits(expected, actual), F.size(expected) == 0
+    precision = F.when(none, (F.size(actual) == 0).cast("double")).otherwise(_share(hits, F.size(actual), 1.0))
+    return F.struct(precision.alias("precision"), F.when(none, 1.0).otherwise(hits / _n(expected)).alias("recall"))
+
+
+def dynamic_route_scores(expected: Column, actual: Column) -> Column:
+    """struct(precision, recall) of added routes."""
+    hits, none = _hits(expected, actual), F.size(expected) == 0
+    return F.struct(F.when(none, (F.size(actual) == 0).cast("double")).otherwise(_share(hits, _n(actual), 0.0)).alias("precision"), F.when(none, 1.0).otherwise(hits / _n(expected)).alias("recall"))
+
+
+def filter_scores(expected: Column, actual: Column) -> Column:
+    """struct(precision, recall, false_positive) of safety warnings."""
+    s = dynamic_route_scores(expected, actual)
+    wrong = ((F.size(actual) > 0) & (_hits(expected, actual) == 0)).cast("double")
+    return F.struct(s["precision"].alias("precision"), s["recall"].alias("recall"), wrong.alias("false_positive"))
+
+
+def run_agent(examples: DataFrame, agent) -> DataFrame:
+    """examples with the response of agent, a function from DataFrame to DataFrame that adds the column response."""
+    return agent(examples)
+
+
+def dynamic_routes(executed: Column, fallbacks: Column, expected: Column) -> Column:
+    """Routes that were done or fallen back to beyond the expected ones, in order of name."""
+    return F.array_sort(F.array_except(F.array_union(executed, fallbacks), F.concat(expected, F.array(F.lit("rerank"), F.lit("answer")))))
+
+
+def session_scores(turns: DataFrame, session: str, turn: str, question: str, answer: str) -> DataFrame:
+    """session, pronoun_resolution, factual_consistency and info_repetition over neighbouring turns of each session; 1
+    where there is nothing to check. A claim conflicts with one of the turn before it that has its attribute and unit and
+    another value; conflicts are counted for each earlier claim, checks for each attribute, so the score can be below 0."""
+    w = Window.partitionBy(session).orderBy(turn)
+    t = turns.withColumns({"_prev": F.lag(answer).over(w)}).where("_prev is not null")
+
+    def long_tokens(c: str) -> Column:
+        return F.filter(lexical_tokens(F.col(c)), lambda x: F.length(x) >= 2)
+
+    def claims(c: str) -> Column:
+        a, v, u = (F.regexp_extract_all(F.col(c), F.lit(CLAIM), F.lit(k)) for k in (1, 2, 3))
+        both = F.zip_with(F.zip_with(a, v, lambda x, y: F.struct(x.alias("a"), y.alias("v"))), u, lambda p, x: F.struct(p["a"].alias("a"), p["v"].alias("v"), F.coalesce(x, F.lit("")).alias("u")))
+        return F.filter(both, lambda x: ~x["a"].isin(*SKIPPED))
+
+    t = t.withColumns({"_asks": F.col(question).rlike(PRONOUN), "_p": claims("_prev"), "_c": claims(answer)})
+    conflicts = F.size(F.filter("_p", lambda p: F.exists(F.col("_c"), lambda c: (c["a"] == p["a"]) & (c["u"] == p["u"]) & (c["v"] != p["v"]))))
+    checks = F.size(F.array_intersect(F.transform("_p", lambda x: x["a"]), F.transform("_c", lambda x: x["a"])))
+    found = t.select(session, F.col("_asks").cast("int").alias("_f"), (F.col("_asks") & F.arrays_overlap(long_tokens("_prev"), long_tokens(answer))).cast("int").alias("_k"), conflicts.alias("_x"), checks.alias("_n"), repetition(F.col("_prev"), F.col(answer)).alias("_r"))
+    s = found.groupBy(session).agg(F.sum("_f").alias("_f"), F.sum("_k").alias("_k"), F.sum("_x").alias("_x"), F.sum("_n").alias("_n"), F.avg("_r").alias("_r"))
+    one = F.lit(1.0)
+    return turns.select(session).distinct().join(s, session, "left").select(session, F.when(F.col("_f") > 0, F.col("_k") / F.col("_f")).otherwise(one).alias("pronoun_resolution"), F.when(F.col("_n") > 0, 1 - F.col("_x") / F.col("_n")).otherwise(one).alias("factual_consistency"), F.coalesce("_r", one).alias("info_repetition"))

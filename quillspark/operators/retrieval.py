@@ -109,3 +109,31 @@ def rank_fusion(lists: list[DataFrame], key: str, k: int, constant: int = 60) ->
 def text_fallback(docs: DataFrame, key: str, text: str, query: str, hits: str, k: int) -> DataFrame:
     """Rows that contain the first 50 characters of query, most hits first; score 0.5."""
     return docs.where(F.contains(F.col(text), F.lit(query[:50]))).orderBy(F.desc(hits), key).limit(k).select(key, F.col(hits), F.lit(0.5).alias("score"))
+
+
+# fixed values: names that a search may find in its evidence
+DISCOVERABLE = {"番茄": "ingredient", "西红柿": "ingredient", "鸡蛋": "ingredient", "牛奶": "ingredient", "花生": "ingredient", "虾": "ingredient", "鱼": "ingredient", "鸡肉": "ingredient", "牛肉": "ingredient", "豆腐": "ingredient", "菠菜": "ingredient", "香蕉": "ingredient", "苹果": "ingredient", "米饭": "ingredient", "燕麦": "ingredient", "蛋白质": "nutrient", "脂肪": "nutrient", "碳水": "nutrient", "碳水化合物": "nutrient", "热量": "nutrient", "钠": "nutrient", "糖": "nutrient", "嘌呤": "nutrient", "膳食纤维": "nutrient", "痛风": "symptom", "糖尿病": "symptom", "高血压": "symptom", "高血脂": "symptom"}
+
+
+def discover(evidence: DataFrame, request: str, order: str, text: str, known: Column, top: int = 5, most: int = 8) -> DataFrame:
+    """request, discovered: the first `most` of DISCOVERABLE that stand in the first `top` texts of a request and aren't
+    in known (array of names)."""
+    first = evidence.withColumn("_r", F.row_number().over(Window.partitionBy(request).orderBy(order))).where(F.col("_r") <= top)
+    texts = first.groupBy(request).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(text).alias("_t")))), lambda x: x["_t"]), "\n").alias("_x")).withColumn("_known", known)
+    names = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in DISCOVERABLE.items()))
+    found = F.filter(names, lambda e: F.contains(F.col("_x"), e["name"]) & ~F.array_contains(F.col("_known"), e["name"]))
+    return texts.select(request, F.slice(found, 1, most).alias("discovered"))
+
+
+def semantic_evidence(dense: DataFrame, sparse: DataFrame, chunks: DataFrame, key: str, text: str, k: int = 15) -> DataFrame:
+    """The evidence of one search: the k best of both lists by hybrid(), with their texts."""
+    best = hybrid(dense, sparse, key, k)
+    return chunks.select(key, F.col(text).alias("content")).join(F.broadcast(best), key).withColumns({"source_type": F.lit("semantic")})
+
+
+def embed(chunks: DataFrame, key: str, text: str) -> DataFrame:
+    """key, dense (array(struct(idx, value))), sparse (array(struct(token_id, weight))) of every chunk."""
+    d = hashed_dense(chunks, key, text).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("dense"))
+    s = bm25(chunks, key, text).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(token_id(F.col("token")).alias("token_id"), "token", "weight"))).alias("sparse"))
+    out = chunks.select(key).join(d, key, "left").join(s, key, "left")
+    return out.select(key, F.coalesce("dense", F.array().cast(d.schema["dense"].dataType)).alias("dense"), F.coalesce("sparse", F.array().cast(s.schema["sparse"].dataType)).alias("sparse"))

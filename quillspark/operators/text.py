@@ -1,22 +1,11 @@
-"""Blocks of text, cleaning, rule scores."""
+"""Cleaning of text, rule scores."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def line_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, block, kind, n_lines, content: runs of lines of one kind. A blank line ends a block; a heading starts one
-    and is a part of it; table lines begin and end with |; list lines begin with -, *, + and a space."""
-    lines = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
-    kind = F.when(F.col("line").rlike(r"^[ \t]*$"), "blank").when(F.col("line").rlike(r"^\|.+\|$"), "table").when(F.col("line").rlike(r"^#{1,6} "), "heading").when(F.col("line").rlike(r"^[-*+] "), "list").otherwise("text")
-    w = Window.partitionBy(key).orderBy("pos")
-    lines = lines.withColumn("kind", kind).withColumn("_p", F.lag("kind").over(w))
-    same = (F.col("kind") == F.col("_p")) | ((F.col("kind") == "text") & (F.col("_p") == "heading"))
-    starts = F.when((F.col("kind") != "heading") & F.coalesce(same, F.lit(False)), 0).otherwise(1)
-    lines = lines.withColumn("block", F.sum(starts).over(w)).where("kind <> 'blank'")
-    return lines.groupBy(key, "block").agg(F.min_by("kind", "pos").alias("kind"), F.count("*").alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n").alias("content"))
+from .blocks import line_blocks  # noqa: F401
 
 
 def squeeze(text: Column) -> Column:

@@ -159,7 +159,7 @@ HITS = ", ".join(f"CASE WHEN contains(lower(coalesce(text, '')), '{x}') THEN '{x
 SQL = {
     "n1_canonical_id": r"WITH s AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(coalesce(p_name, '')), '[^\p{L}\p{N}_]+', '_', 'g'), '_+', '_', 'g'), '_') AS a, trim(regexp_replace(regexp_replace(lower(coalesce(p_type, '')), '[^\p{L}\p{N}_]+', '_', 'g'), '_+', '_', 'g'), '_') AS b FROM part) SELECT p_partkey, CASE WHEN a = '' THEN 'unknown' ELSE a END AS plain, CASE WHEN starts_with(b, 'type_') THEN b ELSE 'type_' || b END AS prefixed FROM s",
     "r1_alias_resolve": "SELECT p_name AS name, 'part_' || p_partkey AS entity FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_size DESC, p_partkey) = 1",
-    "r4_triples_of": f"WITH {NEAR} SELECT subject, predicate, object FROM near",
+    "r4_triples_of": f"WITH {TRIPLES_SQL} SELECT subject, predicate, object FROM triples WHERE subject IN ({NAMES}) OR object IN ({NAMES})",
     "r5_triples_distinct_on": f"WITH {FIRST} SELECT * FROM first",
     "r7_entity_report": f"WITH {ATTRIBUTES_SQL}, {FIRST} SELECT entity, count(DISTINCT attribute) AS n_attributes, max_by(value, seq) FILTER (WHERE attribute = 'name') AS name, (SELECT count(*) FROM first WHERE subject = entity) AS n_out, (SELECT count(*) FROM first WHERE object = entity) AS n_in FROM attributes GROUP BY entity",
     "r8_one_hop": f"WITH {NEAR}, n AS (SELECT * FROM near ORDER BY confidence DESC, subject, predicate, object LIMIT 80), e AS (SELECT DISTINCT x FROM (SELECT subject AS x FROM n UNION ALL SELECT object FROM n) WHERE x NOT IN ({NAMES}) ORDER BY x LIMIT 5), f AS (SELECT * FROM first WHERE (subject IN (SELECT x FROM e) OR object IN (SELECT x FROM e)) AND predicate IN ('supplies', 'located_in') AND (subject, predicate, object) NOT IN (SELECT (subject, predicate, object) FROM n) ORDER BY confidence DESC, subject, predicate, object LIMIT 30) SELECT subject, predicate, object, 0 AS hop FROM n UNION ALL SELECT subject, predicate, object, 1 FROM f",

@@ -103,12 +103,18 @@ TERMS = f"""qt AS (SELECT token, count(*) AS tf FROM (SELECT unnest(regexp_extra
 terms AS (SELECT token, tf / (SELECT max(tf) FROM qt)::double AS share FROM qt),
 sparse AS (SELECT doc_id, round(sum(weight * share), 6) AS score FROM bm JOIN terms USING (token) GROUP BY 1 HAVING score > 0)"""
 DENSE = f"dense AS (SELECT e.vec_id, round(sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: (x[1]::double - x[2]::double) * (x[1]::double - x[2]::double)))), 6) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {VECTOR_ID}) q WHERE e.embedding IS NOT NULL)"
-LINES = r"""
-ln AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
-k AS (SELECT *, CASE WHEN regexp_full_match(line, '[ \t]*') THEN 'blank' WHEN regexp_full_match(line, '\|.+\|') THEN 'table' WHEN regexp_matches(line, '^#{1,6} ') THEN 'heading' WHEN regexp_matches(line, '^[-*+] ') THEN 'list' ELSE 'text' END AS kind FROM ln),
+def lines_sql(table: str = "documents") -> str:
+    """CTE blocks(doc_id, block, kind, n_lines, content) of the texts of table."""
+    return rf"""
+ln AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM {table})),
+k AS (SELECT *, CASE WHEN regexp_full_match(line, '\|.+\|') THEN 'table' WHEN regexp_full_match(line, '#{{1,6}}\s+.+') THEN 'heading' WHEN regexp_full_match(line, '\s*[-*+]\s+.+') THEN 'list' WHEN regexp_full_match(line, '\s*') THEN 'blank' ELSE 'text' END AS kind FROM ln),
 p AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM k),
-b AS (SELECT *, sum(CASE WHEN kind <> 'heading' AND coalesce(kind = prev OR (kind = 'text' AND prev = 'heading'), false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS block FROM p),
-blocks AS (SELECT doc_id, block::bigint AS block, min_by(kind, pos) AS kind, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY pos) AS content FROM b WHERE kind <> 'blank' GROUP BY doc_id, block)"""
+b AS (SELECT *, sum(CASE WHEN kind <> 'heading' AND coalesce(kind = prev OR (kind = 'text' AND prev = 'heading'), false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM p),
+g AS (SELECT doc_id, run, CASE min_by(kind, pos) WHEN 'heading' THEN 'text' ELSE min_by(kind, pos) END AS kind, count(*) AS n_lines, string_agg(CASE WHEN kind = 'list' THEN '- ' || regexp_replace(regexp_replace(line, '^\s*[-*+]\s+', ''), '\s+$', '') ELSE line END, chr(10) ORDER BY pos) AS content FROM b WHERE kind <> 'blank' GROUP BY doc_id, run),
+blocks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run) AS block, kind, n_lines, CASE kind WHEN 'text' THEN regexp_replace(content, '^\s+|\s+$', '', 'g') ELSE content END AS content FROM g WHERE kind <> 'table' OR n_lines > 1)"""
+
+
+LINES = lines_sql()
 
 
 def _count(term: str) -> str:
