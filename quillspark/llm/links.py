@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 Verify = Callable[[DataFrame], DataFrame]
 
@@ -57,11 +57,14 @@ def link_components(postings: DataFrame, verify: Verify, may_link: Callable[[str
         leaders = leaders.filter("_lo <> _hi").select("key", "_l.*")
         pairs = p.alias("x").join(leaders.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & allowed("x", "y"))
         pairs = pairs.groupBy("x.id", F.col("y.id").alias("leader")).agg(F.count("*").alias("n")).groupBy("id").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
-        comps = _merge(comps, verify(cut(pairs.select(F.col("id").alias("a"), F.col("leader").alias("b")))))
+        tested = cut(pairs.select(F.col("id").alias("a"), F.col("leader").alias("b")))
+        comps = _merge(comps, verify(tested))
+        discard(tested)
     p = cut(postings.join(comps, "id"))
     sizes = p.groupBy("key", "c").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.count("*").alias("several")).filter("several > 1").select("key", "largest")
     mixed = cut(p.join(largest, "key"))
+    discard(p)
     outside = mixed.filter("c <> largest")
     # a pair outside the largest component on both sides comes once
     once = (F.col("y.c") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id"))

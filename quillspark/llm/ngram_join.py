@@ -170,6 +170,10 @@ def _components(docs: DataFrame, size: int, percent: int, mark: Column | None =
     rows = cut(signatures(docs, size, percent, counts, mark))
     classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("n", "p1", "p2", "p3"), F.coalesce("doc_id", F.lit(0))).alias("s"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "digest", "least", "s.*"))
+    # of the rows' signatures only these are needed from here on; the prefixes are kept once, by class
+    kept = cut(rows.select("doc_id", "n", "digest", "mark"))
+    discard(rows)
+    rows = kept
     posted = classes.select("id", "n", F.posexplode("p1").alias("pos", "key"))
     twice = posted.groupBy("key").agg(F.count("*").alias("_k")).filter("_k > 1").select("key")
     postings = cut(posted.join(twice, "key").select("key", "id", "n", "pos"))
