@@ -73,6 +73,20 @@ def gapless(df: DataFrame, group: list[str], bucket: str, order: list[str], out:
     return ranked.join(offsets, [*group, bucket]).withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long")).drop("_off", "_rn")
 
 
+#: Parts that a key's rows are dealt over where a key may hold a large share of all rows.
+SALTS = 4096
+
+
+def with_group(rows: DataFrame, key: list[str], row_id: list[str], partial: dict[str, Column], merged: dict[str, Column]) -> DataFrame:
+    """rows with aggregates of their key's rows, however many rows a key has: they are dealt over SALTS parts by row_id,
+    aggregated in each part (partial), the parts' results by key (merged, over the columns of partial), and joined back
+    by key and part. Null keys get null."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*row_id), F.lit(SALTS)))
+    parts = salted.where(" and ".join(f"`{k}` is not null" for k in key)).groupBy(*key, "_salt").agg(*(v.alias(k) for k, v in partial.items()))
+    whole = parts.groupBy(*key).agg(*(v.alias(k) for k, v in merged.items()))
+    return salted.join(parts.select(*key, "_salt").join(whole, key), [*key, "_salt"], "left").drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
