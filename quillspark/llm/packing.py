@@ -18,7 +18,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -28,7 +27,7 @@ from .common import cut
 from .shingles import mix
 from .tokens import encoder, slices, vocabulary_path
 
-WINDOW, DOCS_PER_SHARD, TERMS = 4096, 1024, 8
+WINDOW, DOCS_PER_SHARD = 4096, 1024
 #: Sampled keys for each shard: their order gives the bounds between shards.
 SAMPLED = 16
 K1, B = 1.2, 0.75
@@ -82,12 +81,11 @@ class Index:
     """A BM25 inverted index over the documents of one shard, with statistics of all documents."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        terms, owners, weights, self.queries = [], [], [], []
+        terms, owners, weights = [], [], []
         for k, ids in enumerate(docs):
             t, w = _weights(ids, idf, mean_length)
             terms.append(t), owners.append(np.full(len(t), k, np.int32)), weights.append(w)
-            top = np.argpartition(-w, TERMS)[:TERMS] if len(t) > TERMS else np.arange(len(t))
-            self.queries.append(t[np.sort(top)])
+        self.queries = terms
         t, o, w = np.concatenate(terms), np.concatenate(owners), np.concatenate(weights)
         by = np.argsort(t, kind="stable")
         self.owners, self.weights = o[by], w[by]
@@ -95,7 +93,7 @@ class Index:
         self.n = len(docs)
 
     def neighbours(self, k: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share one of k's strongest terms, best first; ties by place."""
+        """Unused documents that share a term with k, best first; ties by place."""
         spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in self.queries[k]]
         score = np.bincount(np.concatenate([self.owners[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
         found = np.flatnonzero((score > 0) & unused)
@@ -172,16 +170,15 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, window: int
         some = tied.filter(F.pmod(F.xxhash64("tie"), F.lit(one_of)) == 0).mapInArrow(keyed(None), "key long").toArrow()
         bounds = np.sort(some.column("key").to_numpy().view(np.uint64))[:: max(1, docs_per_shard // one_of)][1:]
 
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+    def packed(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
-        pdf = pdf.sort_values(["doc_id", "n", "ids"], kind="stable")
-        ids = [np.frombuffer(unpack.decompress(x), dtype) for x in pdf["ids"]]
-        shard, numbers = int(pdf["shard"].iloc[0]), pdf["doc_id"].tolist()
-        out = [
-            (None if pd.isna(numbers[k]) else int(numbers[k]), a, n, zlib.crc32(ids[k][a : a + n].astype("<u4")), len(ids[k]), (shard << 32) | s, o)
-            for k, a, n, s, o in pack_shard(ids, idf, mean_length, window)
-        ]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")]).astype({"doc_id": "Int64"})
+        table = table.sort_by([("doc_id", "ascending"), ("n", "ascending"), ("ids", "ascending")])
+        ids = [np.frombuffer(unpack.decompress(x), dtype) for x in table.column("ids").to_pylist()]
+        shard, numbers = table.column("shard")[0].as_py(), table.column("doc_id").combine_chunks()
+        pieces = np.array(pack_shard(ids, idf, mean_length, window), np.int64).reshape(-1, 5)
+        crcs = [zlib.crc32(ids[k][a : a + n].astype("<u4")) for k, a, n, _, _ in pieces.tolist()]
+        columns = [numbers.take(pa.array(pieces[:, 0])), pieces[:, 1], pieces[:, 2], crcs, np.array([len(x) for x in ids], np.int64)[pieces[:, 0]], (shard << 32) | pieces[:, 3], pieces[:, 4]]
+        return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], [c.split()[0] for c in PIECES.split(", ")])
 
     dealt = tied.mapInArrow(keyed(bounds), "shard long, doc_id long, n long, ids binary")
-    return dealt.groupBy("shard").applyInPandas(packed, PIECES)
+    return dealt.groupBy("shard").applyInArrow(packed, PIECES)
