@@ -4,7 +4,8 @@ A page becomes its element tree with a leaf for each block of text. Every node i
 comes from its tag, its class, id and role words, its text length and its share of link text; a potential on each edge
 ties it to its parent. Sum-product messages, up from the leaves and down from the root, give each node's marginal; the
 text of leaves above one half is the page's text. Both potentials are trained from labelled pages: made by rule here
-(training_pages), or given by the caller.
+(training_pages), or given by the caller. Pages that have text, but none that the first model takes for content, are
+judged by a second one, trained on pages whose containers have no telling names.
 
 Text: character references are decoded, white space in a block becomes one space, blocks are trimmed, empty ones left
 out, and joined by one newline in page order. Line breaks (br) are white space. Scripts, styles, templates and comments
@@ -27,8 +28,9 @@ from pyspark.sql import DataFrame
 
 from .tokens import slices
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(?=/?[a-zA-Z!?])[^>]*$", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: A quote begins a quoted value right after an equals sign alone, as in HTML; elsewhere it is a character like others.
+TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)>|<[!?][^>]*>|<(?=/?[a-zA-Z!?])[^>]*$", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 # fixed values: HTML's void elements, elements whose content is no markup, inline elements, and what closes what
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg".split())
@@ -246,8 +248,9 @@ def train(pages: list[str], rounds: int = 250) -> Model:
     return Model(dict(zip(names, w[:a].tolist(), strict=True)), w[a : a + n_text], w[a + 2 * n_text : -4], w[a + n_text : a + 2 * n_text], w[-4:].reshape(2, 2))
 
 
-def training_pages(count: int = 400, seed: int = 5) -> list[str]:
-    """Labelled pages made by rule: an article in one of the usual containers, amid, and with, the usual other parts."""
+def training_pages(count: int = 400, seed: int = 5, named_containers: bool = True) -> list[str]:
+    """Labelled pages made by rule: an article in one of the usual containers amid, and with, the usual other parts. Without
+    named containers it stands in one whose name says nothing, or that has no name, or in none; some have no other part."""
     r = random.Random(seed)
 
     def words(a: int, b: int) -> str:
@@ -299,18 +302,32 @@ def training_pages(count: int = 400, seed: int = 5) -> list[str]:
             )
         )()
 
+    def plain() -> str:
+        """A container whose name says nothing, or one that has no name."""
+        name = r.choice(("", "", f' class="{words(1, 2)[:-1].lower()}"', ' class="c-rich__copy"', ' class="postBody"', ' id="x1"', ' class="td-prose clearfix"'))
+        return f"<{r.choice(('div', 'div', 'section'))}{name}>"
+
     out = []
     for _ in range(count):
-        opening = r.choice(["<article>", "<article>", "<article>", "<main>", "<main><article>", *(f"<div {named('content,post,entry,article,article-body,story,main-content,post-content,entry-content,text,page-content')}>" for _ in range(3)), f"<section {named('content,post,article,story')}>"])
+        if not named_containers:
+            opening = "" if r.random() < 0.45 else plain()
+        else:
+            opening = r.choice(["<article>", "<article>", "<article>", "<main>", "<main><article>", *(f"<div {named('content,post,entry,article,article-body,story,main-content,post-content,entry-content,text,page-content')}>" for _ in range(3)), f"<section {named('content,post,article,story')}>"])
         tags = re.findall(r"<(\w+)", opening)
         body = [f"<h1>{words(1, 9)}</h1>" if r.random() < 0.85 else "", *(block() for _ in range(r.randint(0 if r.random() < 0.1 else 1, 14)))]
         if r.random() < 0.45:
             body.insert(r.randint(1, len(body)), other())
         if r.random() < 0.2:
             body.append(other())
-        article = opening[:-1] + ' data-y="1">' + "".join(body) + "".join(f"</{t}>" for t in reversed(tags))
+        if opening:
+            article = opening[:-1] + ' data-y="1">' + "".join(body) + "".join(f"</{t}>" for t in reversed(tags))
+        else:  # the blocks stand among the other parts
+            article = "".join(x if 'data-y="0"' in x else re.sub(r"^<(\w+)", r'<\1 data-y="1"', x) for x in body)
         before = [other() for _ in range(r.randint(0, 3))]
         after = [other() for _ in range(r.randint(0, 3))]
+        if not named_containers and r.random() < 0.25:  # nothing else
+            out.append(article if r.random() < 0.5 else f"<html><body>{article}</body></html>")
+            continue
         if r.random() < 0.5:
             before.insert(0, f'<header data-y="0"{" " + named("header,masthead,head") if r.random() < 0.5 else ""}><h1>{words(1, 3)}</h1><p>{words(1, 9)}</p></header>')
         elif r.random() < 0.5:
@@ -326,18 +343,30 @@ def training_pages(count: int = 400, seed: int = 5) -> list[str]:
     return out
 
 
-def extract(pages: list[str], model: Model) -> list[str]:
+def extract(pages: list[str], model: Model, unnamed: Model | None = None) -> list[str]:
+    """The main text of each page. unnamed: the model for pages with text of which model finds none to be content, as in
+    pages whose containers have no telling names."""
     trees = [parse(p) for p in pages]
-    return ["\n".join(x for k, x in t.texts.items() if p[k] > 0.5) for t, p in zip(trees, marginals(trees, model), strict=True)] if trees else []
+    out = ["\n".join(x for k, x in t.texts.items() if p[k] > 0.5) for t, p in zip(trees, marginals(trees, model), strict=True)] if trees else []
+    rest = [i for i, t in enumerate(trees) if t.texts and not out[i]] if unnamed else []
+    for i, p in zip(rest, marginals([trees[i] for i in rest], unnamed) if rest else [], strict=True):
+        out[i] = "\n".join(x for k, x in trees[i].texts.items() if p[k] > 0.5)
+    return out
+
+
+def default_models() -> tuple[Model, Model]:
+    """Of pages with named containers, and of pages without."""
+    return train(training_pages()), train(training_pages(seed=6, named_containers=False))
 
 
-def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
-    model = model or train(training_pages())
+def main_text(pages: DataFrame, models: tuple[Model, Model | None] | None = None) -> DataFrame:
+    """page_id, url, text and n_chars of every page. models: for all pages, and for those of which the first finds
+    nothing."""
+    models = models or default_models()
 
     def run(batches):
         for b in slices(batches, "html", 2_000_000):
-            text = extract([x or "" for x in b.column("html").to_pylist()], model)
+            text = extract([x or "" for x in b.column("html").to_pylist()], *models)
             yield pa.RecordBatch.from_arrays([b.column("page_id").cast(pa.int64()), b.column("url"), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
