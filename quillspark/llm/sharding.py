@@ -3,8 +3,8 @@
 Law ``rows``: shard counts differ by one at most. Documents without links only fill room. Linked documents start with
 the label of their hash; in each round a hub's members move to the label that most of them have, among labels with
 room, as far as the label's quota of rows goes: hubs are admitted by a hash threshold, so no round sorts. A hub that
-holds more than a quarter of a shard is first divided by hash into pieces of that size; a piece is then a hub. After
-the rounds, what stands above a shard's quota, and all documents without links, fill the free places in order.
+holds more than a shard's quota is first divided by hash into pieces of that size; a piece is then a hub. After the
+rounds, what stands above a shard's quota, and all documents without links, fill the free places in order.
 
 Defined cases: null text counts as empty; equal rows are separate rows with a slot each; an empty table gives an empty
 result; other columns are ignored."""
@@ -60,9 +60,9 @@ def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = 4) -> DataF
     n = base.count()
     floor, extra = divmod(n, shards)
     quota = {k: floor + (k < extra) for k in range(shards)}
-    piece = max(1, floor // 4)
+    piece = max(1, floor)
     groups = base.groupBy("group").agg(F.count("*").alias("members")).filter("members > 1")
-    # at most n / piece groups, that is 160 or so, are larger than a piece: these alone are broadcast
+    # at most n / piece groups, that is as many as shards or so, are larger than a piece: these alone are broadcast
     large = F.broadcast(groups.filter(F.col("members") > piece).select("group", F.ceil(F.col("members") / piece).alias("pieces")))
     small = groups.filter(F.col("members") <= piece).select("group", F.lit(True).alias("linked"))
     marked = base.join(large, "group", "left")
