@@ -1 +1 @@
-"""See README for the layout."""
+"""Scalar functions for SQL text."""

@@ -16,10 +16,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?d)^\s+|\s+$", "")
 
 
-def fenced(c: Column) -> Column:
-    """c as it is, but marked as nondeterministic: a filter on it stays above. Pushed below a chain of columns that use
-    each other, a filter would hold the expressions of all of them, many times over."""
-    return F.when(F.rand(0) >= 0, c)
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once and bound to a variable. Columns that are built on each other over many
+    steps would be written out in full, many times over, where a filter or a join above makes the optimiser look through
+    them; a variable stays one."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
 
 
 def islands(units: Column, starts: Column, sep: str = "\n") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_list, document_text, fenced, strip, table_headers, title
+from .blocks import block_list, document_text, let, strip, table_headers, title
 from .planning import strings
 from .text import occurrences
 
@@ -54,34 +54,62 @@ def header_score(blocks: Column, category: str) -> Column:
     return F.aggregate(F.transform(tables, hits), F.lit(0), lambda a, x: a + x)
 
 
+def _scored(blocks: Column, body: Column, low: Column, strong: Column) -> Column:
+    """array(struct(score, before, name)) of the categories that score, best first."""
+    n = F.greatest(F.size(blocks), F.lit(1))
+    tables = F.size(F.filter(blocks, lambda b: b["kind"] == "table")) / n
+    lists = F.size(F.filter(blocks, lambda b: b["kind"] == "list")) / n
+    steps = F.size(F.regexp_extract_all(body, F.lit(STEP), F.lit(1)))
+    shapes = {"nutrition": F.when(tables > 0.5, 2).otherwise(0), "daily": F.when(tables > 0.5, 1).otherwise(0), "recipe": F.when(lists > 0.3, 2).otherwise(0) + F.when(steps >= 3, 5).otherwise(0)}
+
+    def of(i: int, k: str) -> Column:
+        terms = sum((occurrences(low, t.lower()) for t in TERMS[k][1:]), occurrences(low, TERMS[k][0].lower()))
+        parts = F.struct(terms.alias("terms"), header_score(blocks, k).alias("heads"), shapes.get(k, F.lit(0)).alias("shape"), F.coalesce(strong == k, F.lit(False)).alias("strong"))
+        late = 20 + (_STRUCTURE_ORDER.index(k) if k in shapes else 9)
+
+        def score(x: Column) -> Column:
+            at = F.when(x["strong"], -1).when(x["terms"] > 0, i).when(x["heads"] > 0, 10 + _HEADER_ORDER.index(k)).otherwise(late)
+            return F.struct((F.when(x["strong"], 10).otherwise(0) + x["terms"] + x["heads"] + x["shape"]).cast("long").alias("score"), (-at).alias("before"), F.lit(k).alias("name"))
+
+        return let(parts, score)
+
+    return F.sort_array(F.filter(F.array(*(of(i, k) for i, k in enumerate(CATEGORIES))), lambda s: s["score"] > 0), asc=False)
+
+
+def classify(blocks: Column, body: Column, label: Column) -> Column:
+    """struct(category, confidence, secondary, method, scores, needs_model) of a document: its blocks, its text and tables
+    (body), its title and file name (label). Equal scores go by the order in which the rules name a category: strong
+    pattern, terms, table headers, structure. needs_model: too unsure for the rules alone."""
+    zero = F.lit(0).cast("long")
+
+    def judged(strong: Column, ranked: Column) -> Column:
+        def result(t: Column) -> Column:
+            share = F.coalesce(t["s1"] / F.nullif(t["total"], zero), F.lit(0.0))
+            category = F.when(share < LEAST, "unknown").otherwise(F.get(ranked, 0)["name"])
+            secondary = F.transform(F.filter(F.slice(ranked, 2, 2), lambda s: s["score"] / t["total"] >= SECOND), lambda s: s["name"])
+            unsure = (category == "unknown") | (F.round(share, 4) < MODEL_BELOW) | (t["s1"] - t["s2"] < MARGIN)
+            return F.struct(
+                category.alias("category"),
+                F.round(share, 4).alias("confidence"),
+                secondary.alias("secondary"),
+                F.when(F.coalesce(strong == category, F.lit(False)), "rule_strong").otherwise("rule").alias("method"),
+                F.transform(ranked, lambda s: F.struct(s["name"].alias("category"), s["score"].alias("score"))).alias("scores"),
+                ((F.length(strip(body)) >= MODEL_CHARS) & unsure).alias("needs_model"),
+            )
+
+        sums = F.struct(F.aggregate(ranked, zero, lambda a, s: a + s["score"]).alias("total"), F.coalesce(F.get(ranked, 0)["score"], zero).alias("s1"), F.coalesce(F.get(ranked, 1)["score"], zero).alias("s2"))
+        return let(sums, result)
+
+    def whole(text: Column) -> Column:
+        parts = F.struct(F.lower(text).alias("low"), strong_category(text).alias("strong"))
+        return let(parts, lambda p: let(_scored(blocks, body, p["low"], p["strong"]), lambda ranked: judged(p["strong"], ranked)))
+
+    return let(F.concat_ws("\n", label, body), whole)
+
+
 def classified(docs: DataFrame, text: str, name: str | None = None) -> DataFrame:
-    """docs with blocks, body (text and tables) and category, confidence, secondary, method, scores and needs_model: too
-    unsure for the rules alone. name: a column with the file name. Equal scores go by the order in which the rules name
-    a category: strong pattern, terms, table headers, structure. Each step is a column of its own, so that no step is
-    computed twice; all are one narrow pass."""
-    c = F.col
-    d = docs.withColumn("blocks", block_list(c(text))).withColumn("body", document_text(c("blocks")))
-    label = F.concat_ws(" ", F.nullif(title(c("blocks")), F.lit("")), *([c(name)] if name else []))
-    d = d.withColumn("_whole", F.concat_ws("\n", label, "body")).withColumn("_low", F.lower("_whole")).withColumn("_strong", strong_category(c("_whole")))
-    n = F.greatest(F.size("blocks"), F.lit(1))
-    d = d.withColumns({"_tables": F.size(F.filter("blocks", lambda b: b["kind"] == "table")) / n, "_lists": F.size(F.filter("blocks", lambda b: b["kind"] == "list")) / n, "_steps": F.size(F.regexp_extract_all(c("body"), F.lit(STEP), F.lit(1)))})
-    d = d.withColumns({f"_t_{k}": sum((occurrences(c("_low"), t.lower()) for t in TERMS[k][1:]), occurrences(c("_low"), TERMS[k][0].lower())) for k in CATEGORIES})
-    d = d.withColumns({f"_h_{k}": header_score(c("blocks"), k) for k in CATEGORIES})
-    structure = {"nutrition": F.when(c("_tables") > 0.5, 2).otherwise(0), "daily": F.when(c("_tables") > 0.5, 1).otherwise(0), "recipe": F.when(c("_lists") > 0.3, 2).otherwise(0) + F.when(c("_steps") >= 3, 5).otherwise(0)}
-    scored = []
-    for i, k in enumerate(CATEGORIES):
-        is_strong, terms, heads = F.coalesce(c("_strong") == k, F.lit(False)), c(f"_t_{k}"), c(f"_h_{k}")
-        at = F.when(is_strong, -1).when(terms > 0, i).when(heads > 0, 10 + _HEADER_ORDER.index(k)).otherwise(20 + (_STRUCTURE_ORDER.index(k) if k in structure else 9))
-        scored.append(F.struct((F.when(is_strong, 10).otherwise(0) + terms + heads + structure.get(k, F.lit(0))).cast("long").alias("score"), (-at).alias("before"), F.lit(k).alias("name")))
-    d = d.withColumn("_ranked", F.sort_array(F.filter(F.array(*scored), lambda s: s["score"] > 0), asc=False))
-    d = d.withColumn("_total", F.aggregate("_ranked", F.lit(0).cast("long"), lambda a, s: a + s["score"]))
-    d = d.withColumns({"_s1": F.coalesce(F.get("_ranked", 0)["score"], F.lit(0).cast("long")), "_s2": F.coalesce(F.get("_ranked", 1)["score"], F.lit(0).cast("long"))})
-    share = F.coalesce(c("_s1") / F.nullif(c("_total"), F.lit(0).cast("long")), F.lit(0.0))
-    d = d.withColumns({"confidence": F.round(share, 4), "category": F.when(share < LEAST, "unknown").otherwise(F.get("_ranked", 0)["name"])})
-    out = {
-        "secondary": F.transform(F.filter(F.slice("_ranked", 2, 2), lambda s: s["score"] / c("_total") >= SECOND), lambda s: s["name"]),
-        "method": F.when(F.coalesce(c("_strong") == c("category"), F.lit(False)), "rule_strong").otherwise("rule"),
-        "scores": F.transform("_ranked", lambda s: F.struct(s["name"].alias("category"), s["score"].alias("score"))),
-        "needs_model": (F.length(strip(c("body"))) >= MODEL_CHARS) & ((c("category") == "unknown") | (c("confidence") < MODEL_BELOW) | (c("_s1") - c("_s2") < MARGIN)),
-    }
-    return d.withColumns(out).select(*docs.columns, "blocks", "body", fenced(c("category")).alias("category"), *(fenced(c(k)).alias(k) for k in ("confidence", *out)))
+    """docs with blocks, body (text and tables) and the fields of classify. name: a column with the file name."""
+    d = docs.withColumn("blocks", block_list(F.col(text))).withColumn("body", document_text(F.col("blocks")))
+    label = F.concat_ws(" ", F.nullif(title(F.col("blocks")), F.lit("")), *([F.col(name)] if name else []))
+    d = d.withColumn("_class", classify(F.col("blocks"), F.col("body"), label))
+    return d.select(*docs.columns, "blocks", "body", "_class.*")

@@ -8,7 +8,6 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import fenced
 from .text import occurrences
 
 # fixed values: intents, routes, terms, entity names and patterns that the rules know, in the order that decides
@@ -179,7 +178,8 @@ def clean_entities(found: Column) -> Column:
 def checked_plans(requests: DataFrame, query: str, found: str, intent: str, routes: str, confidence: str, asks: str, question: str, signal: str) -> DataFrame:
     """requests with a model's plans within the rules: intent, routes, clarification_needed, clarification_question and
     has_profile_signal. The arguments name the columns of the question, its entities and the model's plan. Each rule is a
-    column of its own, so that the plan grows with the rules, not with their product."""
+    column of its own, so that the plan grows with the rules, not with their product; write the result before it is
+    filtered or joined, or the optimiser looks through all of them."""
     c, q = F.col, F.col(query)
     d = requests.withColumns({"_i": F.when(c(intent).isin(*INTENTS), c(intent)).otherwise("general"), "_r": clean_routes(c(routes)), "_sick": disease(q), "_number": numeric(q), "_recipe": asks_recipe(q), "_profile": profile_signal(q), "_manages": manages_profile(q), "_safety": asks_safety(q), "_known": F.size(entities(q)) > 0})
 
@@ -202,7 +202,7 @@ def checked_plans(requests: DataFrame, query: str, found: str, intent: str, rout
     own = F.coalesce(*(F.when(c("_i") == k, v) for k, v in ASK.items()), F.lit(ASK_OTHER))
     text = F.when(c("_unclear"), F.coalesce(F.nullif(c(question), F.lit("")), own)).when(c("_unsure"), ASK_UNSURE).otherwise(F.coalesce(c(question), F.lit("")))
     out = {"intent": c("_i"), "routes": c("_r"), "clarification_needed": c(asks) | c("_unclear") | c("_unsure"), "clarification_question": text, "has_profile_signal": c(signal) | c("_profile")}
-    return d.select(*(x for x in requests.columns if x not in out), *(fenced(v).alias(k) for k, v in out.items()))
+    return d.select(*(x for x in requests.columns if x not in out), *(v.alias(k) for k, v in out.items()))
 
 
 def constraints(q: Column) -> Column:

@@ -13,7 +13,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import fenced
 from .planning import ROUTES, clean_routes, strings
 
 # fixed values: routes that an intent needs, routes after a failure, search terms and predicates of an intent, limits
@@ -174,18 +173,20 @@ def step(states: DataFrame) -> DataFrame:
         "steps": c("_steps"),
         "next_route": c("_next"),
     }
-    out = s.withColumns({k: fenced(F.when(going, v).otherwise(c(k))) for k, v in new.items()})
+    out = s.withColumns({k: F.when(going, v).otherwise(c(k)) for k, v in new.items()})
     return out.select(*states.columns)
 
 
-def run(requests: DataFrame, retrieve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def run(requests: DataFrame, retrieve: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame] = lambda states: states) -> DataFrame:
     """Steps requests until all have ended. retrieve sets the evidence columns of the rows whose next_route it serves;
     it is a projection or a join by the key of requests. Every row ends within MAX_STEPS + 1 steps, so no row is
-    collected to see whether to go on."""
+    collected to see whether to go on. cut ends the lineage of each step's states, by checkpoint() or a written table:
+    give it where retrieve joins, or where the result is filtered or joined, so that the optimiser need not look through
+    all steps at once."""
     states = start(requests)
     for _ in range(MAX_STEPS + 1):
-        states = retrieve(step(states))
-    return states
+        states = retrieve(cut(step(states)))
+    return cut(states)
 
 
 def envelope(requests: DataFrame, found: DataFrame, key: str) -> DataFrame:

@@ -1 +1 @@
-"""See README for the layout."""
+"""Structured Streaming versions of operators that work on rows as they come."""
