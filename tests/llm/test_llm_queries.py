@@ -308,3 +308,52 @@ def test_a_slice_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40 * column.nbytes + 60 * shingles.CHUNK
+
+
+def jaccard_components(texts, size, percent):
+    """The smallest id of each text's component, by all pairs."""
+    import re
+
+    sets = {}
+    for k, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets[k] = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+    label = {k: k for k in texts}
+
+    def find(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    keys = sorted(texts)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                label[y] = x
+    return {k: find(k) for k in keys}
+
+
+def test_pipeline_from_end_to_end(spark, sf):
+    import corpus_pipeline
+
+    texts = {r.doc_id: r.text or "" for r in documents(spark, sf)}
+    lettered = {k: t for k, t in texts.items() if any(c.isalpha() for c in t)}
+    kept = {k for k, c in jaccard_components(lettered, 5, 80).items() if k == c}
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in out} <= kept
+    encode, pieces, sequences = ids_of("word_bpe_49k.json"), defaultdict(list), defaultdict(list)
+    for r in out:
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for k, rows in pieces.items():
+        ids = encode(texts[k])
+        times, rest = divmod(sum(r.length for r in rows), len(ids))
+        assert 1 <= times <= 3 and rest == 0 and all(r.ids_crc32 == crc(ids[r.start : r.start + r.length]) for r in rows)
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
