@@ -34,13 +34,17 @@ def hashed_dense(docs: DataFrame, key: str, text: str, dim: int = 384) -> DataFr
     return v.select(key, "idx", (F.col("s") / norm).alias("value"))
 
 
-def bm25(docs: DataFrame, key: str, text: str, stats: DataFrame | None = None) -> DataFrame:
+def bm25(docs: DataFrame, key: str, text: str, stats: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
     """key, token, weight > 0 of every document. stats: (token, df) of another corpus, 1 where it lacks a token; without
-    it document frequencies are of docs. Term counts are aggregated before the shuffle by token; the corpus totals are
-    one row."""
+    it document frequencies are of docs. terms: (token, ...) of queries; other tokens are left out before anything is
+    grouped, so a search groups and joins its own terms alone. Term counts are aggregated before the shuffle by token; the
+    corpus totals are one row. The postings of a common token are the left side of the join, which AQE splits."""
     t = docs.select(key, tokens(F.col(text)).alias("_t"))
     corpus = t.agg(F.count("*").alias("_n"), F.greatest(F.avg(F.size("_t")), F.lit(1.0)).alias("_avg"))
-    tf = t.select(key, F.size("_t").alias("_dl"), F.explode("_t").alias("token")).groupBy(key, "_dl", "token").agg(F.count("*").alias("_tf"))
+    words = t.select(key, F.size("_t").alias("_dl"), F.explode("_t").alias("token"))
+    if terms is not None:
+        words = words.join(terms.select("token").distinct(), "token", "left_semi")
+    tf = words.groupBy(key, "_dl", "token").agg(F.count("*").alias("_tf"))
     df = tf.groupBy("token").agg(F.count("*").alias("_df")) if stats is None else stats.select("token", F.col("df").alias("_df"))
     j = tf.join(df, "token", "left").crossJoin(F.broadcast(corpus))
     f, n, d = F.coalesce(F.col("_df"), F.lit(1)), F.col("_n"), F.col("_dl") / F.col("_avg")

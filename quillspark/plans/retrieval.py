@@ -35,7 +35,8 @@ def v7_dense_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    return R.sparse_topk(R.bm25(table(spark, sf, "documents"), "doc_id", "text"), R.query_terms(_phrase(spark), "query_id", "text"), "doc_id", "query_id", k)
+    terms = R.query_terms(_phrase(spark), "query_id", "text")
+    return R.sparse_topk(R.bm25(table(spark, sf, "documents"), "doc_id", "text", terms=terms), terms, "doc_id", "query_id", k)
 
 
 def v8_sparse_topk(spark: SparkSession, sf: str) -> DataFrame:

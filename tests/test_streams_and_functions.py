@@ -43,7 +43,8 @@ def test_blocks_of_a_stream(spark, tmp_path):
 def test_late_logs_are_left_out(spark, tmp_path):
     first = [{"at": "2024-01-01T00:01:00Z", "intent": "a", "ms": 10}, {"at": "2024-01-01T00:02:00Z", "intent": "a", "ms": 30}, {"at": "2024-01-01T01:00:00Z", "intent": "a", "ms": 5}]
     late = [{"at": "2024-01-01T00:03:00Z", "intent": "a", "ms": 99}, {"at": "2024-01-01T02:00:00Z", "intent": "a", "ms": 1}]
-    arrive(tmp_path, first, late, [{"at": "2024-01-01T03:00:00Z", "intent": "b", "ms": 1}])
+    # rows are late by the watermark that the batch before the last one left
+    arrive(tmp_path, first, [{"at": "2024-01-01T01:10:00Z", "intent": "a", "ms": 7}], late, [{"at": "2024-01-01T03:00:00Z", "intent": "b", "ms": 1}], [{"at": "2024-01-01T04:00:00Z", "intent": "b", "ms": 1}])
     logs = flows.texts(spark, str(tmp_path), "at timestamp, intent string, ms long", 1)
     got = run(flows.log_figures(logs, "at", ["intent"], "ms"), "stream_figures", "append").collect()
     by_hour = {r.window.start.hour * 60 + r.window.start.minute: (r.requests, r.mean_latency, r.max_latency) for r in got}

@@ -203,3 +203,15 @@ def test_empty_tables(spark):
 def test_one_turn_has_nothing_to_check(spark):
     t = spark.createDataFrame([(1, 0, "那它呢", "热量 5 g")], "s long, t long, question string, answer string")
     assert tuple(evaluation.session_scores(t, "s", "t", "question", "answer").first()) == (1, 1.0, 1.0, 1.0)
+
+
+def test_bm25_of_query_terms_and_of_other_statistics(spark):
+    from quillspark.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "red apple red"), (2, "green apple"), (3, None)], "id int, text string")
+    terms = spark.createDataFrame([("red",), ("blue",)], "token string")
+    every = {(r.id, r.token): r.weight for r in retrieval.bm25(docs, "id", "text").collect()}
+    assert {(r.id, r.token): r.weight for r in retrieval.bm25(docs, "id", "text", terms=terms).collect()} == {k: v for k, v in every.items() if k[1] == "red"}
+    other = {(r.id, r.token): r.weight for r in retrieval.bm25(docs, "id", "text", stats=spark.createDataFrame([("apple", 3)], "token string, df long")).collect()}
+    # df 1 where the statistics lack a token; apple, in all three documents, weighs less than of this corpus
+    assert other[1, "red"] == pytest.approx(every[1, "red"]) and other[2, "apple"] < every[2, "apple"]
