@@ -94,8 +94,10 @@ class Index:
 
     def neighbours(self, k: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with k, best first; ties by place."""
-        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in self.queries[k]]
-        score = np.bincount(np.concatenate([self.owners[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
+        t = self.queries[k]
+        first, n = self.bounds[t], self.bounds[t + 1] - self.bounds[t]
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score = np.bincount(self.owners[at], self.weights[at], self.n)
         found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")]
 
