@@ -49,7 +49,7 @@ def a3_a4_content_weight(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def a6_a8_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    return _ranked(spark, sf).select("request", "key", "rank", F.round("rerank_score", 6).alias("score"), "mode", "status")
+    return _ranked(spark, sf).select("request", "key", "rank", F.round("rerank_score", 10).alias("score"), "mode", "status")
 
 
 def a7_evidence_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,7 +61,7 @@ def a7_evidence_text(spark: SparkSession, sf: str) -> DataFrame:
 def a9_flag_for_user(spark: SparkSession, sf: str) -> DataFrame:
     r = _ranked(spark, sf).withColumn("text", F.coalesce(F.nullif("content", F.lit("")), F.concat("subject", "predicate", "object"), "value")).withColumn("allergies", F.when(F.col("request") % 3 > 0, F.array(*map(F.lit, ALLERGIES))))
     f = A.flag_for_user(r, "request", "text", "rerank_score", "allergies")
-    return f.select("request", "key", F.array_join("hits", ",").alias("hits"), "snippet", F.round("rerank_score", 6).alias("score"))
+    return f.select("request", "key", F.array_join("hits", ",").alias("hits"), "snippet", F.round("rerank_score", 10).alias("score"))
 
 
 def a10_a13_blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,9 +192,9 @@ GRAMS10 = "list_distinct(list_transform(range(1, greatest(length({c}) - 9, 0) +
 SQL = {
     "a2_policy": f"WITH {REQUESTS_SQL}, t AS (SELECT request_id, query, {_policy('query')} AS types FROM requests), m AS (SELECT *, {_mode('query', 'types')} AS mode FROM t) SELECT request_id, mode, mode = 'strong' AS required, CASE WHEN mode = 'strong' THEN coalesce(array_to_string(types, ','), '') ELSE '' END AS types FROM m",
     "a3_a4_content_weight": f"WITH {WEIGHTED} SELECT key, owner, ctype AS content_type, owner IS NULL OR owner = user_id AS visible, weight FROM e4",
-    "a6_a8_rerank": f"WITH RECURSIVE {RANKED} SELECT request, key, rank, round(rs, 6) AS score, mode, status FROM ranked",
+    "a6_a8_rerank": f"WITH RECURSIVE {RANKED} SELECT request, key, rank, round(rs, 10) AS score, mode, status FROM ranked",
     "a7_evidence_text": f"WITH {EVIDENCE} SELECT key, CASE WHEN coalesce(content, '') <> '' THEN content WHEN predicate IS NOT NULL THEN {SENTENCE} ELSE coalesce(value, '') END AS text FROM ev",
-    "a9_flag_for_user": f"WITH RECURSIVE {RANKED}, t AS (SELECT request, key, rs, coalesce(nullif(content, ''), subject || predicate || object, value, '') AS text FROM ranked), h AS (SELECT *, CASE WHEN request % 3 > 0 THEN list_filter({sql_list(ALLERGIES)}, lambda x: contains(text, x)) ELSE [] END AS hits FROM t) SELECT request, key, coalesce(array_to_string(hits, ','), '') AS hits, CASE WHEN len(hits) > 0 THEN substr(text, 1, 120) END AS snippet, round(CASE WHEN len(hits) > 0 THEN rs * 0.3::double ELSE rs END, 6) AS score FROM h",
+    "a9_flag_for_user": f"WITH RECURSIVE {RANKED}, t AS (SELECT request, key, rs, coalesce(nullif(content, ''), subject || predicate || object, value, '') AS text FROM ranked), h AS (SELECT *, CASE WHEN request % 3 > 0 THEN list_filter({sql_list(ALLERGIES)}, lambda x: contains(text, x)) ELSE [] END AS hits FROM t) SELECT request, key, coalesce(array_to_string(hits, ','), '') AS hits, CASE WHEN len(hits) > 0 THEN substr(text, 1, 120) END AS snippet, round(CASE WHEN len(hits) > 0 THEN rs * 0.3::double ELSE rs END, 10) AS score FROM h",
     "a10_a13_blocks": f"WITH {EVIDENCE} SELECT key, concat_ws(chr(10), '[来源' || key || '] (类型: ' || source_type || ')', CASE WHEN coalesce(content, '') <> '' THEN substr(content, 1, 600) WHEN predicate IS NOT NULL THEN subject || ' --(' || predicate || ')--> ' || object WHEN key % 3 = 2 THEN '鸡蛋: 热量 = ' || value END, CASE WHEN score IS NOT NULL THEN '(相关度: ' || printf('%.3f', round(score + 0.00011::double, 6)) || ')' END) AS block, CASE WHEN key % 2 = 0 THEN key ELSE key * 2 END::varchar AS context_id, CASE WHEN coalesce(content, '') <> '' THEN content WHEN predicate IS NOT NULL THEN trim(concat_ws(' ', subject, predicate, object)) WHEN key % 3 = 2 THEN '鸡蛋 热量 ' || value END AS context FROM ev",
     "a11_cited": f"WITH {EVIDENCE}, c AS (SELECT DISTINCT request, unnest([2, 1, request % {PER}]) AS rank FROM ev) SELECT request, rank::int AS source_id, source_type, coalesce(nullif(substr(content, 1, 200), ''), concat_ws(' ', coalesce(subject, ''), coalesce(predicate, ''), coalesce(object, ''))) AS content FROM (SELECT DISTINCT request, rank FROM c) JOIN (SELECT *, key % {PER} + 1 AS rank FROM ev) USING (request, rank)",
     "a12_missing_answer": f"WITH {REQUESTS_SQL}, t AS (SELECT request_id, n, query, {_policy('query')} AS types FROM requests), m AS (SELECT *, {_mode('query', 'types')} AS mode FROM t) SELECT request_id, CASE WHEN len(types) > 0 THEN replace({sql_text(A.MISSING)}, '{{x}}', array_to_string(list_transform(types, lambda t: CASE t {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in A.CONTENT_NAMES.items())} END), '、')) ELSE {sql_text(A.MISSING_ANY)} END AS answer FROM m WHERE mode = 'strong' AND n % 2 = 1",
