@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_pages, langid, licences, mixing, ngram_join, ogg, packing, sharding, token_files, vectors
+from . import exact_dedup, html_pages, langid, licences, mixing, ngram_join, ogg, packing, sharding, spelling, token_files, vectors
 from .common import table
 
 
@@ -52,9 +52,13 @@ def op11_fingerprint_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_license_scan, op4_ogg_media, op5_ngram_jaccard, op6_token_files, op7_lexical_packing, op8_html_main_text, op9_embedding_near_dups, op10_balanced_shards, op11_fingerprint_exchange)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_license_scan, op4_ogg_media, op5_ngram_jaccard, op6_token_files, op7_lexical_packing, op8_html_main_text, op9_embedding_near_dups, op10_balanced_shards, op11_fingerprint_exchange, op12_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE, "op3_license_scan": licences.oracle(), "op5_ngram_jaccard": ngram_join.ORACLE, "op9_embedding_near_dups": vectors.ORACLE, "op11_fingerprint_exchange": exact_dedup.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op3_license_scan": licences.oracle(), "op5_ngram_jaccard": ngram_join.ORACLE, "op9_embedding_near_dups": vectors.ORACLE, "op11_fingerprint_exchange": exact_dedup.ORACLE, "op12_spelling_variants": spelling.ORACLE}
