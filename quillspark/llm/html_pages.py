@@ -1,11 +1,11 @@
 """Main text of web pages by a tree-structured graphical model.
 
 A page becomes its element tree with a leaf for each block of text. Every node is content or not: a local potential
-comes from its tag, its class, id and role words, its text length and its share of link text; a potential on each edge
-ties it to its parent. Sum-product messages, up from the leaves and down from the root, give each node's marginal; the
-text of leaves above one half is the page's text. Both potentials are trained from labelled pages: made by rule here
-(training_pages), or given by the caller. Pages that have text, but none that the first model takes for content, are
-judged by a second one, trained on pages whose containers have no telling names.
+comes from its tag, its class, id and role words, its text length, its share of link text and its share of the page's
+text; a potential on each edge, one for each sort of child, ties it to its parent, so that a notice in an article need not
+pull the article with it. Sum-product messages, up from the leaves and down from the root, give each node's marginal; the
+text of leaves above one half is the page's text. All potentials are trained from labelled pages: made by rule here
+(training_pages), or given by the caller. An element that holds the article's blocks is content, be it the body or the page.
 
 Text: character references are decoded, white space in a block becomes one space, blocks are trimmed, empty ones left
 out, and joined by one newline in page order. Line breaks (br) are white space. Scripts, styles, templates and comments
@@ -21,6 +21,7 @@ import html
 import random
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,14 @@ WORDS = (
     "ad ads advert advertisement banner sponsor sponsored promo cookie consent notice alert popup modal overlay nav navigation navbar menu breadcrumb breadcrumbs sidebar aside widget "
     "footer foot copyright legal header head masthead logo comment comments reply respond disqus discussion share social follow related recommended more subscribe newsletter signup login form search tags meta pagination"
 ).split()
-TEXT_BINS, LINK_BINS = np.array([1, 20, 60, 150, 400, 1200, 5000]), np.array([0.01, 0.2, 0.5, 0.9])
+TEXT_BINS, LINK_BINS, SHARE_BINS = np.array([1, 20, 60, 150, 400, 1200, 5000]), np.array([0.01, 0.2, 0.5, 0.9]), np.array([0.05, 0.2, 0.4, 0.6, 0.8, 0.999])
 LEAF = "#text"
+#: Sorts of children by tag: text, blocks, the page's frame, parts that are seldom content; of others, named and nameless ones.
+BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th figure figcaption hr caption address".split())
+PARTS = frozenset("nav aside header footer form button fieldset menu dialog select label".split())
+SORTS = 6
+#: Begins a training page whose blocks stand in no element, so that the page itself is content.
+ROOT_IS_CONTENT = "<!--y=1-->"
 
 
 @dataclass
@@ -64,8 +71,14 @@ class Tree:
     labels: list[int]
 
 
-def parse(page: str) -> Tree:
-    t = Tree([-1], [0], [("#page", "")], {}, [0], [0])
+def sort_of(kind: tuple[str, str]) -> int:
+    tag, attributes = kind
+    return 0 if tag == LEAF else 1 if tag in BLOCKS else 2 if tag in ("html", "body", "main") else 3 if tag in PARTS else 4 if attributes else 5
+
+
+def parse(page: str, label: int = 0) -> Tree:
+    """label: the page's own, for training."""
+    t = Tree([-1], [0], [("#page", "")], {}, [0], [label])
     stack, run, links, in_link = [(0, "#page")], [], 0, 0
 
     def add(kind: tuple[str, str], label: int) -> int:
@@ -154,7 +167,8 @@ class Model:
     text: np.ndarray
     link: np.ndarray
     leaf_text: np.ndarray
-    edge: np.ndarray  # log potentials [parent, child]
+    share: np.ndarray
+    edge: np.ndarray  # log potentials [sort of child, parent, child]
 
     def __post_init__(self):
         self.known: dict[tuple[str, str], float] = {}
@@ -168,7 +182,7 @@ class Model:
 
 
 def _joined(trees: list[Tree]):
-    """parents, depths, bins of text length and of link share, whether leaf: of all nodes of all trees."""
+    """parents, levels, bins of text length, link share and share of the page, whether leaf, sorts: of all nodes of all trees."""
     base = np.cumsum([0] + [len(t.parents) for t in trees])
     parents = np.concatenate([np.where(np.array(t.parents) < 0, -1, np.array(t.parents) + b) for t, b in zip(trees, base, strict=False)])
     depths = np.concatenate([np.array(t.depths) for t in trees])
@@ -183,24 +197,28 @@ def _joined(trees: list[Tree]):
         np.add.at(length, parents[own], length[own])
         np.add.at(linked, parents[own], linked[own])
     share = linked / np.maximum(length, 1)
-    return parents, levels, np.digitize(length, TEXT_BINS), np.digitize(share, LINK_BINS), leaf, base
+    of_page = length / np.maximum(1, np.repeat(length[base[:-1]], np.diff(base)))
+    sorts = np.fromiter((sort_of(k) for t in trees for k in t.kinds), int, base[-1])
+    return parents, levels, np.digitize(length, TEXT_BINS), np.digitize(share, LINK_BINS), np.digitize(of_page, SHARE_BINS), leaf, sorts, base
 
 
 def sum_product(local: np.ndarray, edge: np.ndarray, parents: np.ndarray, levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(probability that each node is content, probabilities [node, parent's state, own state]) for all trees at once,
-    level by level. local: log potential of content against not; edge: log potentials [parent, child]."""
+    level by level. local: log potential of content against not; edge: log potentials [parent, child], of each node or
+    of all."""
+    edge = np.broadcast_to(edge, (len(local), 2, 2))
     below = np.stack([np.zeros_like(local), local], axis=1)
     up, down = np.zeros_like(below), np.zeros_like(below)
     for own in levels[:0:-1]:
-        up[own] = np.logaddexp(edge[:, 0] + below[own, :1], edge[:, 1] + below[own, 1:])
+        up[own] = np.logaddexp(edge[own, :, 0] + below[own, :1], edge[own, :, 1] + below[own, 1:])
         np.add.at(below, parents[own], up[own])
     pair = np.zeros((len(local), 2, 2))
     for own in levels[1:]:
         rest = below[parents[own]] + down[parents[own]] - up[own]
-        both = rest[:, :, None] + edge + below[own][:, None, :]
+        both = rest[:, :, None] + edge[own] + below[own][:, None, :]
         both = np.exp(both - both.max(axis=(1, 2), keepdims=True))
         pair[own] = both / both.sum(axis=(1, 2), keepdims=True)
-        down[own] = np.logaddexp(rest[:, :1] + edge[0], rest[:, 1:] + edge[1])
+        down[own] = np.logaddexp(rest[:, :1] + edge[own, 0], rest[:, 1:] + edge[own, 1])
         down[own] -= down[own].max(axis=1, keepdims=True)
     belief = below + down
     return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -500, 500))), pair
@@ -208,18 +226,18 @@ def sum_product(local: np.ndarray, edge: np.ndarray, parents: np.ndarray, levels
 
 def marginals(trees: list[Tree], model: Model) -> list[np.ndarray]:
     """The probability that each node of each tree is content."""
-    parents, levels, text, link, leaf, base = _joined(trees)
+    parents, levels, text, link, share, leaf, sorts, base = _joined(trees)
     local = np.fromiter((model.of(k) for t in trees for k in t.kinds), float, base[-1])
-    local += np.where(leaf, model.leaf_text[text], model.text[text]) + model.link[link]
-    return np.split(sum_product(local, model.edge, parents, levels)[0], base[1:-1])
+    local += np.where(leaf, model.leaf_text[text], model.text[text]) + model.link[link] + model.share[share]
+    return np.split(sum_product(local, model.edge[sorts], parents, levels)[0], base[1:-1])
 
 
 def train(pages: list[str], rounds: int = 250) -> Model:
     """pages: html with data-y="1" on elements that are content and data-y="0" on such that aren't; children are as
     their parent unless labelled. All potentials climb the likelihood of the labels together: its slope is what the
     labels show of each feature and pair, less what the marginals expect."""
-    trees = [parse(p) for p in pages]
-    parents, levels, text, link, leaf, base = _joined(trees)
+    trees = [parse(p, int(p.startswith(ROOT_IS_CONTENT))) for p in pages]
+    parents, levels, text, link, share, leaf, sorts, _ = _joined(trees)
     y = np.concatenate([np.array(t.labels, float) for t in trees])
     kinds = [k for t in trees for k in t.kinds]
     distinct = sorted(set(kinds))
@@ -230,27 +248,35 @@ def train(pages: list[str], rounds: int = 250) -> Model:
     for k, i in row.items():
         of_kind[i, [place[n] for n in _names(k)]] = 1
     kind = np.array([row[k] for k in kinds])
-    n_text, a = len(TEXT_BINS) + 1, len(names)
-    slot, bins = np.where(leaf, n_text, 0) + text, 2 * n_text + link
-    w = np.zeros(a + 2 * n_text + len(LINK_BINS) + 1 + 4)
+    n_text, n_link, n_share = len(TEXT_BINS) + 1, len(LINK_BINS) + 1, len(SHARE_BINS) + 1
+    slot = np.where(leaf, n_text, 0) + text
+    ends = np.cumsum([0, len(names), 2 * n_text, n_link, n_share, 4 * SORTS])
+    w = np.zeros(ends[-1])
+    parts = [slice(a, b) for a, b in zip(ends, ends[1:], strict=False)]
     inner = parents >= 0
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[parents[inner]].astype(int), y[inner].astype(int)), 1)
+    states = (sorts[inner], y[parents[inner]].astype(int), y[inner].astype(int))
+    seen = np.zeros((SORTS, 2, 2))
+    np.add.at(seen, states, 1)
     mean, square = np.zeros_like(w), np.zeros_like(w)
     for i in range(1, rounds + 1):
-        local = (of_kind @ w[:a])[kind] + w[a + slot] + w[a + bins]
-        p, pair = sum_product(local, w[-4:].reshape(2, 2), parents, levels)
+        names_w, text_w, link_w, share_w, edge_w = (w[p] for p in parts)
+        local = (of_kind @ names_w)[kind] + text_w[slot] + link_w[link] + share_w[share]
+        p, pair = sum_product(local, edge_w.reshape(SORTS, 2, 2)[sorts], parents, levels)
         miss = y - p
-        slope = np.concatenate([of_kind.T @ np.bincount(kind, miss, len(distinct)), np.bincount(slot, miss, 2 * n_text) + 0, np.bincount(link, miss, len(LINK_BINS) + 1), (seen - pair[inner].sum(axis=0)).reshape(-1)])
+        expected = np.zeros_like(seen)
+        np.add.at(expected, sorts[inner], pair[inner])
+        slope = np.concatenate([of_kind.T @ np.bincount(kind, miss, len(distinct)), np.bincount(slot, miss, 2 * n_text), np.bincount(link, miss, n_link), np.bincount(share, miss, n_share), (seen - expected).reshape(-1)])
         slope -= 0.5 * w
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
         w += 0.15 * (mean / (1 - 0.9**i)) / (np.sqrt(square / (1 - 0.99**i)) + 1e-8)
-    return Model(dict(zip(names, w[:a].tolist(), strict=True)), w[a : a + n_text], w[a + 2 * n_text : -4], w[a + n_text : a + 2 * n_text], w[-4:].reshape(2, 2))
+    names_w, text_w, link_w, share_w, edge_w = (w[p] for p in parts)
+    return Model(dict(zip(names, names_w.tolist(), strict=True)), text_w[:n_text], link_w, text_w[n_text:], share_w, edge_w.reshape(SORTS, 2, 2))
 
 
-def training_pages(count: int = 400, seed: int = 5, named_containers: bool = True) -> list[str]:
-    """Labelled pages made by rule: an article in one of the usual containers amid, and with, the usual other parts. Without
-    named containers it stands in one whose name says nothing, or that has no name, or in none; some have no other part."""
+def training_pages(count: int = 900, seed: int = 5) -> list[str]:
+    """Labelled pages made by rule: an article amid, and with, the usual other parts, or alone. It stands in one of the
+    usual containers, in one whose name says nothing, or in none, and has one block or many, short or long, some of them
+    links."""
     r = random.Random(seed)
 
     def words(a: int, b: int) -> str:
@@ -265,12 +291,13 @@ def training_pages(count: int = 400, seed: int = 5, named_containers: bool = Tru
     def block() -> str:
         kind = r.random()
         if kind < 0.62:
-            inside = words(1, 120) if r.random() < 0.9 else f'{words(4, 20)} <a href="/x">{words(1, 4)}</a> {words(4, 30)}'
+            turn = r.random()
+            inside = words(1, 120) if turn < 0.82 else f'{words(4, 20)} <a href="/x">{words(1, 4)}</a> {words(4, 30)}' if turn < 0.9 else f'<a href="/x">{words(3, 30)}</a>'
             return f"<p>{f'<b>{inside}<br>' if r.random() < 0.12 else inside}" + ("</p>" if r.random() < 0.9 else "")
         if kind < 0.72:
             return f"<h{(n := r.randint(2, 4))}>{words(1, 8)}</h{n}>"
         if kind < 0.8:
-            return items(2, 6, False)
+            return items(2, 6, r.random() < 0.3)
         if kind < 0.86:
             return f"<blockquote>{words(5, 40)}</blockquote>"
         if kind < 0.9:
@@ -309,25 +336,26 @@ def training_pages(count: int = 400, seed: int = 5, named_containers: bool = Tru
 
     out = []
     for _ in range(count):
-        if not named_containers:
-            opening = "" if r.random() < 0.45 else plain()
-        else:
+        kind = r.random()
+        if kind < 0.55:
             opening = r.choice(["<article>", "<article>", "<article>", "<main>", "<main><article>", *(f"<div {named('content,post,entry,article,article-body,story,main-content,post-content,entry-content,text,page-content')}>" for _ in range(3)), f"<section {named('content,post,article,story')}>"])
+        else:
+            opening = plain() if kind < 0.78 else ""
         tags = re.findall(r"<(\w+)", opening)
-        body = [f"<h1>{words(1, 9)}</h1>" if r.random() < 0.85 else "", *(block() for _ in range(r.randint(0 if r.random() < 0.1 else 1, 14)))]
-        if r.random() < 0.45:
+        count_of = 1 if r.random() < 0.25 else r.randint(1, 3) if r.random() < 0.35 else r.randint(2, 14)
+        body = [f"<h1>{words(1, 9)}</h1>" if r.random() < 0.7 else "", *(block() for _ in range(count_of))]
+        if r.random() < 0.4:
             body.insert(r.randint(1, len(body)), other())
-        if r.random() < 0.2:
+        if r.random() < 0.3:
             body.append(other())
-        if opening:
-            article = opening[:-1] + ' data-y="1">' + "".join(body) + "".join(f"</{t}>" for t in reversed(tags))
-        else:  # the blocks stand among the other parts
-            article = "".join(x if 'data-y="0"' in x else re.sub(r"^<(\w+)", r'<\1 data-y="1"', x) for x in body)
+        article = opening[:-1] + ' data-y="1">' + "".join(body) + "".join(f"</{t}>" for t in reversed(tags)) if opening else "".join(body)
+        own = "" if opening else ' data-y="1"'  # the element that the blocks stand in is content
+        if r.random() < 0.3:  # nothing else
+            bare = words(2, 200) if not opening and r.random() < 0.3 else article
+            out.append(f"{ROOT_IS_CONTENT if own else ''}{bare}" if r.random() < 0.5 else f"<html><body{own}>{bare}</body></html>")
+            continue
         before = [other() for _ in range(r.randint(0, 3))]
         after = [other() for _ in range(r.randint(0, 3))]
-        if not named_containers and r.random() < 0.25:  # nothing else
-            out.append(article if r.random() < 0.5 else f"<html><body>{article}</body></html>")
-            continue
         if r.random() < 0.5:
             before.insert(0, f'<header data-y="0"{" " + named("header,masthead,head") if r.random() < 0.5 else ""}><h1>{words(1, 3)}</h1><p>{words(1, 9)}</p></header>')
         elif r.random() < 0.5:
@@ -338,30 +366,25 @@ def training_pages(count: int = 400, seed: int = 5, named_containers: bool = Tru
             after.append(f'<div {named("footer,foot,copyright,legal")} data-y="0"><p>{words(3, 40)}</p></div>')
         inside = "".join(before) + article + "".join(after)
         if r.random() < 0.35:
-            inside = f'<div {named("wrapper,container,page,main,body,site")}>{inside}</div>'
-        out.append(f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title></head><body>{inside}</body></html>")
+            inside = f'<div {named("wrapper,container,page,main,body,site")}{own}>{inside}</div>'
+            own = ""
+        out.append(f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title></head><body{own}>{inside}</body></html>")
     return out
 
 
-def extract(pages: list[str], model: Model, unnamed: Model | None = None) -> list[str]:
-    """The main text of each page. unnamed: the model for pages with text of which model finds none to be content, as in
-    pages whose containers have no telling names."""
+def extract(pages: list[str], model: Model) -> list[str]:
+    """The main text of each page."""
     trees = [parse(p) for p in pages]
-    out = ["\n".join(x for k, x in t.texts.items() if p[k] > 0.5) for t, p in zip(trees, marginals(trees, model), strict=True)] if trees else []
-    rest = [i for i, t in enumerate(trees) if t.texts and not out[i]] if unnamed else []
-    for i, p in zip(rest, marginals([trees[i] for i in rest], unnamed) if rest else [], strict=True):
-        out[i] = "\n".join(x for k, x in trees[i].texts.items() if p[k] > 0.5)
-    return out
+    return ["\n".join(x for k, x in t.texts.items() if p[k] > 0.5) for t, p in zip(trees, marginals(trees, model), strict=True)] if trees else []
 
 
-def default_models() -> tuple[Model, Model]:
-    """Of pages with named containers, and of pages without."""
-    return train(training_pages()), train(training_pages(seed=6, named_containers=False))
+@lru_cache(maxsize=1)
+def default_models() -> tuple[Model]:
+    return (train(training_pages()),)
 
 
-def main_text(pages: DataFrame, models: tuple[Model, Model | None] | None = None) -> DataFrame:
-    """page_id, url, text and n_chars of every page. models: for all pages, and for those of which the first finds
-    nothing."""
+def main_text(pages: DataFrame, models: tuple[Model] | None = None) -> DataFrame:
+    """page_id, url, text and n_chars of every page."""
     models = models or default_models()
 
     def run(batches):

@@ -6,12 +6,12 @@ finer buckets, until it holds one hash. A document is then taken if its hash is
 and a smaller budget takes a subset of what a larger one takes.
 
 Defined cases: null or empty text has size 0; null source is a source of its own, the last; documents with equal
-doc_id share a hash and are taken together; an empty table gives an empty result; other columns are kept by
-``mix_documents`` and must not be named like those that it adds (they are replaced)."""
+doc_id share a hash and are taken together within their source; a source whose texts have no words has size and target 0 and nothing is
+taken of it; an empty table gives an empty result; ``mix_documents`` keeps other columns, whatever their names and types."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, hash60, word_count
@@ -57,7 +57,7 @@ def _same_source(a: str, b: str):
 def thresholds(meta: DataFrame, targets: DataFrame) -> DataFrame:
     """meta (source, size, h) and targets -> per source and budget: full (whole repeats) and threshold (hashes below
     it get one repeat more)."""
-    full = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long")
+    full = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long")
     goal = cut(targets.withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")))
     shift = HASH_BITS - BITS
     level = meta.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words"), F.min("h").alias("low"), F.max("h").alias("high"))
@@ -75,18 +75,30 @@ def thresholds(meta: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def _meta(docs: DataFrame) -> DataFrame:
+    return cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("h")))
+
+
+def _marks(meta: DataFrame, budgets: tuple[float, ...], weights: tuple[int, ...], max_repeat: int) -> DataFrame:
+    """A row for each source: source, source_size and b, its budgets. Spark broadcasts it only below
+    spark.sql.autoBroadcastJoinThreshold, else AQE splits hot sources."""
+    sizes = meta.groupBy("source").agg(F.sum("size").alias("source_size"))
+    marks = thresholds(meta, source_targets(sizes, budgets, weights, max_repeat))
+    return marks.groupBy("source", "source_size").agg(F.sort_array(F.collect_list(F.struct("budget_no", "target", "full", "threshold"))).alias("b"))
+
+
+def _copies(b: Column, h: Column) -> Column:
+    return F.transform(b, lambda x: x["full"] + (h < x["threshold"]).cast("long"))
+
+
 def mix(docs: DataFrame, budgets: tuple[float, ...] = (0.25, 0.5, 1.0), weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, copies and taken (words) at the last budget, and
     first_budget, the number of the smallest budget that takes the document (null: none). Budgets are shares of all
     words, in ascending order."""
-    meta = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("h")))
-    sizes = meta.groupBy("source").agg(F.sum("size").alias("source_size"))
-    marks = thresholds(meta, source_targets(sizes, budgets, weights, max_repeat))
-    # one row per source; Spark broadcasts it only below spark.sql.autoBroadcastJoinThreshold, else AQE splits hot sources
-    marks = marks.groupBy("source", "source_size").agg(F.sort_array(F.collect_list(F.struct("budget_no", "target", "full", "threshold"))).alias("b"))
+    meta = _meta(docs)
+    marks = _marks(meta, budgets, weights, max_repeat)
     d = meta.alias("m").join(marks.alias("k"), _same_source("m", "k")).select("m.doc_id", "m.source", "m.size", "m.h", "k.source_size", "k.b")
-    copies = F.transform("b", lambda x: x["full"] + (F.col("h") < x["threshold"]).cast("long"))
-    d = d.withColumn("_copies", copies).withColumn("copies", F.element_at("_copies", -1))
+    d = d.withColumn("_copies", _copies(F.col("b"), F.col("h"))).withColumn("copies", F.element_at("_copies", -1))
     first = F.array_position(F.transform("_copies", lambda x: x > 0), True)
     return d.select(
         "doc_id", "source", "size", "source_size", F.element_at("b", -1)["target"].alias("target"), "copies", (F.col("size") * F.col("copies")).alias("taken"),
@@ -94,11 +106,14 @@ def mix(docs: DataFrame, budgets: tuple[float, ...] = (0.25, 0.5, 1.0), weights:
     )
 
 
-def mix_documents(docs: DataFrame, **kw) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with all its columns. Documents without words are left
-    out: they carry no weight."""
-    plan = mix(docs, **kw).filter("taken > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"])).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+def mix_documents(docs: DataFrame, budgets: tuple[float, ...] = (0.25, 0.5, 1.0), weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
+    """The mix itself: each document as often as the last budget takes it, with all its columns. Documents without words
+    are left out: they carry no weight."""
+    marks = _marks(_meta(docs), budgets, weights, max_repeat)
+    # the row is one column, so that no name of its own can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("source"), hash60(F.col("doc_id")).alias("h"), word_count(F.col("text")).alias("size"))
+    taken = rows.where("size > 0").alias("m").join(marks.alias("k"), _same_source("m", "k")).select("m.row", F.element_at(_copies(F.col("k.b"), F.col("m.h")), -1).cast("int").alias("times"))
+    return taken.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 
 ORACLE = """

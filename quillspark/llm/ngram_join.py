@@ -212,15 +212,23 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     """One row of each component, with all columns: that of its smallest doc_id (null comes last), then of the smallest
     digest of doc_id and text, then of the smallest hash of the row. Rows are linked by their texts alone: equal or null
-    doc_id with unlinked texts are all kept, and so is every row without words."""
+    doc_id with unlinked texts are all kept, and so is every row without words. Other columns may have any name and type."""
     mark = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text"))))
     blank = F.coalesce(~F.col("text").rlike(WORD), F.lit(True))
     rows, found = _components(docs, size, percent, mark)
     first = rows.join(found, "digest").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("_s"))
-    first = first.select(F.col("_s.mark").alias("_m"))
-    kept = docs.filter(~blank).withColumn("_m", mark).join(first, "_m", "left_semi")
-    one = kept.groupBy("_m").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_r"))
-    return one.select("_r.*").union(docs.filter(blank))
+    first = first.select(F.col("_s.mark").alias("mark"))
+    # the row is one column, so that no name of its own can clash
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.filter(~blank).select(F.struct(*own).alias("row"), mark.alias("mark"), _row_hash(docs).alias("turn")).join(first, "mark", "left_semi")
+    one = kept.groupBy("mark").agg(F.min_by("row", "turn").alias("row"))
+    return one.select("row.*").union(docs.filter(blank))
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of the whole row; types that can't be hashed, such as maps, by their JSON."""
+    odd = [f.name for f in docs.schema if any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return F.xxhash64(*(F.to_json(F.struct(F.col(f"`{c}`").alias("v"))) if c in odd else F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE = """
