@@ -102,6 +102,16 @@ def hybrid(dense: DataFrame, sparse: DataFrame, key: str, k: int, dense_weight:
     return d.join(s, key, "full_outer").select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def hybrid_all(dense: DataFrame, sparse: DataFrame, k: int, dense_weight: float = 0.7, sparse_weight: float = 0.3) -> DataFrame:
+    """query, doc, score, rank of the k best documents of each query by both lists: dense (query, doc, distance) and sparse
+    (query, doc, score), of 2 k rows a query each. Sparse scores are shares of the query's largest."""
+    d = dense.select("query", "doc", (1 / (1 + F.col("distance")) * dense_weight).alias("s"))
+    share = F.col("score") / F.max("score").over(Window.partitionBy("query"))
+    both = d.unionByName(sparse.select("query", "doc", (share * sparse_weight).alias("s")))
+    fused = both.groupBy("query", "doc").agg(F.round(F.sum("s"), 6).alias("score"))
+    return _best(fused, "query", [F.desc("score"), F.col("doc")], k)
+
+
 def rank_fusion(lists: list[DataFrame], key: str, k: int, constant: int = 60) -> DataFrame:
     """lists: (key, rank) each, ranks from 1. Sum of 1 / (constant + rank)."""
     out = lists[0].select(key, "rank")
