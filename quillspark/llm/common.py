@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,20 @@ def batches_of(spark: SparkSession, rows: int) -> None:
     spark.conf.set(_ARROW_ROWS, str(min(rows, own) if own > 0 else rows))
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: str):
+    """Arrow batches of about so many bytes at most, for jobs that run inside: those of long rows have few."""
+    before = spark.conf.get(_BATCH_BYTES)
+    spark.conf.set(_BATCH_BYTES, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_BYTES, before)
+
+
 def cut(df: DataFrame, codec: str = "snappy", by: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends in files that outlive any executor."""
     spark = df.sparkSession

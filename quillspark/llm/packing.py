@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .shingles import mix
 from .tokens import encoder, slices, vocabulary_path
 
@@ -141,7 +141,8 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, window: int
     path = path or vocabulary_path("word_bpe_49k.json")
     size = max(encoder(path, False).size, end_id + 1)
     dtype = "<u2" if size <= 1 << 16 else "<u4"
-    rows = cut(docs.select("doc_id", "text").mapInArrow(_tokenize(path, end_id, dtype), "doc_id long, n long, ids binary"), codec="none")
+    with small_batches(docs.sparkSession, "8m"):
+        rows = cut(docs.select("doc_id", "text").mapInArrow(_tokenize(path, end_id, dtype), "doc_id long, n long, ids binary"), codec="none")
     holds = np.zeros(size, np.int64)
     for x in rows.filter("ids is null").groupBy("doc_id").agg(F.sum("n").alias("n")).collect():
         holds[x["doc_id"]] = x["n"]
@@ -165,7 +166,8 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, window: int
 
         return run
 
-    tied = whole.withColumn("tie", F.xxhash64("doc_id", F.crc32("ids")))
+    # rows that repeat have ties of their own, so that they are dealt over shards too
+    tied = whole.withColumn("tie", F.xxhash64("doc_id", F.crc32("ids"), F.monotonically_increasing_id()))
     bounds = np.zeros(0, np.uint64)
     if n_docs > docs_per_shard:  # the sample is chosen by hash: equal tables have equal bounds
         one_of = max(1, docs_per_shard // SAMPLED)

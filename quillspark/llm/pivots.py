@@ -20,34 +20,21 @@ empty table gives an empty result; other columns are ignored."""
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard
+from .common import cut, discard, small_batches
 
 SCALE, POSITIVES, NEGATIVES, LOW, HIGH = 256, 5, 10, 30, 90
 PIVOTS, SAMPLE, BLOCK, SEEDS = 16, 4096, 1024, 2
 #: Brackets are widened by this share of the squared distances' size, for rounding.
 SLACK = 1e-9
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 FOUND = "qid long, q_at long, q_id long, turn int, at long, vec_id long, score long"
 BLOCKS = "dim int, n int, first int, last int, kind string, ats binary, ids binary, labels binary, vectors binary, norms binary, dists binary, lo array<double>, hi array<double>, norm_lo double, norm_hi double"
 
 
-@contextmanager
-def small_batches(spark, most: str = "16m"):
-    before = spark.conf.get(BATCH_BYTES)
-    spark.conf.set(BATCH_BYTES, most)
-    try:
-        yield
-    finally:
-        spark.conf.set(BATCH_BYTES, before)
-
-
 def whole(vectors: list, scale: int) -> np.ndarray:
     return np.floor(scale * np.asarray(vectors, np.float64))
 
@@ -269,7 +256,7 @@ def _compare(pairs: DataFrame, asked: DataFrame, blocks: DataFrame, limits: Data
     full = pairs.select("qid", "block").join(x, "block").join(q, "qid").drop("block")
     # as the blocks of one side come together by the joins, they are dealt anew, as rows of about a tenth of a megabyte
     spark = pairs.sparkSession
-    with small_batches(spark):
+    with small_batches(spark, "16m"):
         return cut(full.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(scan, FOUND))
 
 
