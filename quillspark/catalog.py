@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from .plans import agent, answers, indexes, memories, records, retrieval, stores, texts
+from .plans import agent, answers, indexes, memories, records, requests, retrieval, stores, texts
 
 FLAGSHIP = "v9_hybrid_fusion"
 
 
-PLANS = (retrieval, indexes, records, agent, texts, stores, answers, memories)
+PLANS = (retrieval, indexes, records, agent, texts, stores, answers, memories, requests)
 
 
 def queries() -> dict:

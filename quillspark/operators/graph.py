@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
+
 SPO = ["subject", "predicate", "object"]
 
 
@@ -51,6 +53,34 @@ def one_hop(triples: DataFrame, entities: DataFrame, direct: int = 80, expand: i
     return near.select(*SPO, F.lit(0).alias("hop")).union(far.orderBy(*top).limit(expanded).select(*SPO, F.lit(1)))
 
 
+def _ends(triples: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
+    """entity, the triple and its confidence: the first `most` triples with each wanted entity at either end, in order of
+    subject, predicate and object. No request can use more of an entity, and so a common entity is `most` rows."""
+    e = wanted.select("entity").distinct()
+    both = [triples.join(e, triples[c] == e["entity"]).select("entity", *SPO, "confidence") for c in ("subject", "object")]
+    once = both[0].union(both[1]).groupBy("entity", *SPO).agg(F.max("confidence").alias("confidence"))
+    return once.withColumn("_r", F.row_number().over(Window.partitionBy("entity").orderBy(*SPO))).where(F.col("_r") <= most).drop("_r")
+
+
+def relations_of_requests(triples: DataFrame, requests: DataFrame, expand_by: tuple[str, ...] | None = None, direct: int = 80, expand: int = 5, expanded: int = 30) -> DataFrame:
+    """request, subject, predicate, object, confidence, hop of every request at once. requests: request and entity, a row
+    each. A request has the first `direct` triples of its entities, each once, hop 0; then those among the first
+    `expanded` triples of its first `expand` other ends, by name, of triples by the predicates of expand_by, that it
+    doesn't have yet, hop 1. Joins are by entity alone, and of every entity only its first triples take part."""
+    asked = requests.select("request", "entity").where("entity is not null").distinct()
+
+    def first(wanted: DataFrame, most: int) -> DataFrame:
+        found = wanted.join(_ends(triples, wanted, most), "entity").groupBy("request", *SPO).agg(F.max("confidence").alias("confidence"))
+        return found.withColumn("_r", F.row_number().over(Window.partitionBy("request").orderBy(*SPO))).where(F.col("_r") <= most).drop("_r")
+
+    near = cut(first(asked, direct))
+    ends = near.where(F.col("predicate").isin(*(expand_by or EXPAND))).select("request", F.explode(F.array("subject", "object")).alias("entity")).distinct()
+    other = ends.join(asked, ["request", "entity"], "left_anti")
+    other = other.withColumn("_r", F.row_number().over(Window.partitionBy("request").orderBy("entity"))).where(F.col("_r") <= expand).drop("_r")
+    far = first(cut(other), expanded).join(near, ["request", *SPO], "left_anti")
+    return near.withColumn("hop", F.lit(0)).unionByName(far.withColumn("hop", F.lit(1)))
+
+
 def relation_evidence(pairs: DataFrame, triples: DataFrame, entities: DataFrame, direct: int = 80, expand: int = 5, expanded: int = 30) -> tuple[DataFrame, DataFrame]:
     """(relations, infos): the formatted triples of entities and of their neighbours by the predicates of EXPAND, and the
     attributes of both, with hop."""

@@ -115,12 +115,22 @@ def batch_rows(entities: DataFrame, profiles: DataFrame, relations: DataFrame) -
 
 def with_ids(rows: DataFrame, seq: str, name: str, start: int = 0, bucket: int = 1 << 16) -> DataFrame:
     """rows with ids start + 1, start + 2, ... in the order of seq (whole numbers, no two equal): ranks within buckets of
-    neighbouring numbers and the sums of the buckets' counts, so no task sorts all rows."""
-    r = rows.withColumn("_b", F.floor(F.col(seq) / bucket))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = r.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    ranked = r.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(seq)))
-    return ranked.join(offsets, "_b").withColumn(name, (F.col("_off") + F.col("_r") + start).cast("long")).drop("_b", "_r", "_off")
+    neighbouring numbers, and the sums of counts before them within buckets of buckets, three levels of these. So no task
+    sorts all rows, and the last level has 65,536 rows at most, however far apart the numbers lie."""
+    before = (Window.unboundedPreceding, -1)
+    levels = [F.floor(F.col(seq) / bucket).alias("_b1"), F.floor(F.col(seq) / bucket / 65536).alias("_b2"), F.floor(F.col(seq) / bucket / 65536 / 65536).alias("_b3")]
+    if bucket == 1 << 16:  # exact for all long numbers
+        levels = [F.shiftright(F.col(seq).cast("long"), 16 * k).alias(f"_b{k}") for k in (1, 2, 3)]
+    r = rows.select("*", *levels)
+    counts = r.groupBy("_b1", "_b2", "_b3").agg(F.count("*").alias("_n"))
+    offsets = counts.withColumn("_o1", F.sum("_n").over(Window.partitionBy("_b2", "_b3").orderBy("_b1").rowsBetween(*before)))
+    second = counts.groupBy("_b2", "_b3").agg(F.sum("_n").alias("_n")).withColumn("_o2", F.sum("_n").over(Window.partitionBy("_b3").orderBy("_b2").rowsBetween(*before)))
+    third = counts.groupBy("_b3").agg(F.sum("_n").alias("_n")).withColumn("_o3", F.sum("_n").over(Window.orderBy("_b3").rowsBetween(*before)))
+    zero = F.lit(0)
+    joined = offsets.join(second.drop("_n"), ["_b2", "_b3"]).join(third.drop("_n"), "_b3")
+    offsets = joined.select("_b1", "_b2", "_b3", (F.coalesce("_o1", zero) + F.coalesce("_o2", zero) + F.coalesce("_o3", zero)).alias("_off"))
+    ranked = r.withColumn("_r", F.row_number().over(Window.partitionBy("_b1", "_b2", "_b3").orderBy(seq)))
+    return ranked.join(offsets, ["_b1", "_b2", "_b3"]).withColumn(name, (F.col("_off") + F.col("_r") + start).cast("long")).drop("_b1", "_b2", "_b3", "_r", "_off")
 
 
 def remapped(rows: DataFrame, ids: DataFrame, temporary: str, name: str) -> DataFrame:

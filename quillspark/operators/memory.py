@@ -9,6 +9,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import cut
+from . import vector_index
 from .imports import with_ids
 from .planning import any_of
 from .text import token_count
@@ -214,6 +216,48 @@ def store_answers(entries: DataFrame, new: DataFrame, matches: DataFrame) -> Dat
     return kept.unionByName(added)
 
 
+def founders(new: DataFrame, pairs: DataFrame) -> DataFrame:
+    """new_id of the new questions that become entries if all come one after the other: those that no earlier such one
+    equals. pairs: (new_id, earlier), questions that are the same. Decided in rounds: who has only merged earlier ones
+    left is one, who has one of them isn't; a round for each step of the longest chain of decisions."""
+    open_ = new.select("new_id")
+    kept, edges = [], cut(pairs.select("new_id", "earlier"))
+    while True:
+        blocked = edges.select("new_id").distinct()
+        found = cut(open_.join(blocked, "new_id", "left_anti"))
+        kept.append(found)
+        merged = edges.join(found.select(F.col("new_id").alias("earlier")), "earlier", "left_semi").select("new_id").distinct()
+        left = cut(open_.join(found, "new_id", "left_anti").join(merged, "new_id", "left_anti"))
+        # what was merged blocks nobody; what is a founder has merged those that it blocked
+        edges = cut(edges.join(left, "new_id", "left_semi").join(left.select(F.col("new_id").alias("earlier")), "earlier", "left_semi"))
+        open_ = left
+        if not left.limit(1).count():
+            return reduce(DataFrame.unionByName, kept)
+
+
+def store_batch(entries: DataFrame, new: DataFrame, vectors: DataFrame, new_vectors: DataFrame, cells: int = 128) -> DataFrame:
+    """store_answers() with its own search: new questions are compared with the entries' and with each other's, by the
+    vectors (id, vector) and (new_id, vector), as if they came one after the other in order of new_id. A question goes to the
+    most similar of the entries and of the earlier questions that became one (0.92; the entry, then the first, of equals);
+    an entry keeps the vector of the question that it began with."""
+    good = cut(new.where(F.col("quality") >= LEAST_QUALITY))
+    mine = new_vectors.join(good.select("new_id"), "new_id", "left_semi").select((F.col("new_id") * 2 + 1).alias("key"), "vector")
+    every = vectors.join(entries.select("id"), "id", "left_semi").select((F.col("id") * 2).alias("key"), "vector").unionByName(mine)
+    found = vector_index.within(vector_index.build(every, "key", "vector", "cosine", cells), mine, "key", "vector", SAME_FROM)
+    same = cut(found.where("query <> key").select(F.expr("query div 2").alias("new_id"), F.expr("key div 2").alias("other"), (F.col("key") % 2 == 1).alias("is_new"), F.col("value").alias("similarity")))
+    stored = same.where("not is_new").select("new_id").distinct()
+    free = good.join(stored, "new_id", "left_anti")
+    earlier = same.where("is_new and other < new_id").join(stored, "new_id", "left_anti").join(stored.select(F.col("new_id").alias("other")), "other", "left_anti")
+    begun = cut(founders(free, earlier.select("new_id", F.col("other").alias("earlier"))))
+    last = entries.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+    first = with_ids(good.join(begun, "new_id", "left_semi"), "new_id", "_id").crossJoin(F.broadcast(last))
+    first = cut(first.withColumn("id", (F.col("_id") + F.col("_last")).cast("long")).withColumn("hits", F.lit(0).cast("long")))
+    targets = same.where("not is_new").select("new_id", F.col("other").alias("id"), "similarity")
+    targets = targets.unionByName(same.where("is_new and other < new_id").join(first.select(F.col("new_id").alias("other"), "id"), "other").select("new_id", "id", "similarity"))
+    rest = good.join(begun, "new_id", "left_anti")
+    return store_answers(entries.unionByName(first.select(*entries.columns)), rest, targets.join(begun, "new_id", "left_anti"))
+
+
 def count_hits(entries: DataFrame, found: DataFrame) -> DataFrame:
     """entries with a hit more for each row of found (id)."""
     n = found.groupBy("id").agg(F.count("*").alias("_n"))
