@@ -1,6 +1,7 @@
 """Chunks of a document by its category. Each chunker maps blocks to array(struct(chunk_type, content, label)) within
 the row; label is the recipe's name, the table's class, the conditions and groups, the date or the user. Chunks of more
-than 512 tokens are split by sentences in Arrow batches, since that is a fold over the sentences."""
+than 512 tokens are split by sentences, with folds over arrays of sentences in the row; the functions of one text
+(sentences, split_by_similarity, split_by_clauses) give the same for strings."""
 
 from __future__ import annotations
 
@@ -10,9 +11,8 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .blocks import block_text, document_text, islands, strip, table_headers, table_rows, title
+from .blocks import block_text, document_text, islands, let, strip, table_headers, table_rows, title
 from .planning import any_of, strings
 from .text import token_count
 
@@ -294,23 +294,115 @@ def split_by_clauses(text: str, most: int = MOST_TOKENS, overlap: int = OVERLAP_
     return out
 
 
-def split_long(chunks: DataFrame, text: str, split=split_by_similarity, above: int | None = MOST_TOKENS) -> DataFrame:
-    """chunks with part (from 0); those of more than `above` tokens (all if None) become the parts that split gives,
-    their other columns kept. Only these rows go through Python, in Arrow batches, one text at a time."""
-    long = F.lit(True) if above is None else F.coalesce(token_count(F.col(text)) > above, F.lit(False))
-    schema = T.StructType([*chunks.schema.fields, T.StructField("part", T.IntegerType(), False)])
-    at = chunks.columns.index(text)
+def _not_blank(parts: Column) -> Column:
+    return F.filter(F.transform(parts, strip), lambda x: x != "")
 
-    def parts(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                found = split(row.column(at)[0].as_py() or "")
-                if found:
-                    cols = [pa.array(found, pa.string()) if i == at else pa.concat_arrays([row.column(i)] * len(found)) for i in range(row.num_columns)]
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(range(len(found)), pa.int32())], names=[*row.schema.names, "part"])
+def _split_after(text: Column, marks: str) -> Column:
+    return F.split(text, f"(?<=[{marks}])")
 
-    kept = chunks.where(~long).withColumn("part", F.lit(0))
-    return kept.unionByName(chunks.where(long).mapInArrow(parts, schema))
+
+def sentence_list(text: Column) -> Column:
+    return _not_blank(_split_after(F.coalesce(text, F.lit("")), "。！？；\\n"))
+
+
+def _codes(sentence: Column) -> Column:
+    """The hashes of a sentence's words and CJK characters, each times two, and one more where its sign is minus."""
+    tokens = F.regexp_extract_all(sentence, F.lit("([A-Za-z]+|[一-鿿])"), F.lit(1))
+
+    def code(t: Column) -> Column:
+        return let(F.md5(t), lambda h: (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % DIM) * 2 + F.conv(F.substring(h, 9, 2), 16, 10).cast("long") % 2)
+
+    return F.transform(F.when(F.size(tokens) > 0, tokens).otherwise(F.array(sentence)), code)
+
+
+def _similarity(a: Column, b: Column) -> Column:
+    """Cosine of two lists of codes: both are put in one order, so that equal hashes stand together, and summed in one pass."""
+    both = F.array_sort(F.concat(F.transform(a, lambda c: c * 2), F.transform(b, lambda c: c * 2 + 1)))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(-1).cast("long").alias("at"), zero.alias("x"), zero.alias("y"), zero.alias("xy"), zero.alias("xx"), zero.alias("yy"))
+
+    def add(s: Column, c: Column) -> Column:
+        at, sign, second = F.shiftright(c, 2), 1 - 2 * (F.shiftright(c, 1) % 2), c % 2 == 1
+        same = s["at"] == at
+        x, y = F.when(same, s["x"]).otherwise(zero), F.when(same, s["y"]).otherwise(zero)
+        # adding d to x changes x^2 by d (2 x + d), and x y by d y
+        return F.struct(
+            at.alias("at"), F.when(second, x).otherwise(x + sign).alias("x"), F.when(second, y + sign).otherwise(y).alias("y"),
+            (s["xy"] + sign * F.when(second, x).otherwise(y)).alias("xy"), F.when(second, s["xx"]).otherwise(s["xx"] + sign * (2 * x + sign)).alias("xx"), F.when(second, s["yy"] + sign * (2 * y + sign)).otherwise(s["yy"]).alias("yy"),
+        )
+
+    return F.aggregate(both, start, add, lambda s: F.coalesce(F.try_divide(s["xy"].cast("double"), F.sqrt((s["xx"] * s["yy"]).cast("double"))), F.lit(0.0)))
+
+
+def _runs(items: Column, begins: Column, sep: str) -> Column:
+    """Items joined from each that begins a run (an array of booleans) to the next."""
+    starts = F.filter(F.transform(begins, lambda x, i: F.when(x, i + 1)), lambda i: i.isNotNull())
+    return let(starts, lambda s: F.transform(s, lambda a, k: F.array_join(F.slice(items, a, F.coalesce(F.get(s, k + 1), F.size(items) + 1) - a), sep)))
+
+
+def _cut_up(text: Column, most: int) -> Column:
+    width = int(most * 0.7)
+    return F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / width).cast("int")), lambda i: F.substring(text, i * width + 1, F.lit(width)))
+
+
+def _with_last(parts: Column, more: Column) -> Column:
+    return F.concat(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(F.concat(F.element_at(parts, -1), more)))
+
+
+def _last_within(parts: Column, budget: int) -> Column:
+    """The last parts whose tokens stay within budget."""
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("kept"))
+
+    def add(s: Column, x: Column) -> Column:
+        return let(s["used"] + token_count(x), lambda used: F.struct(used.alias("used"), F.when(used <= budget, s["kept"] + 1).otherwise(s["kept"]).alias("kept")))
+
+    kept = F.aggregate(F.reverse(parts), start, add, lambda s: s["kept"])
+    return let(kept, lambda k: F.slice(parts, F.size(parts) - k + 1, k))
+
+
+def similarity_parts(text: Column, least: int = LEAST_TOKENS, most: int = MOST_TOKENS, overlap: int = OVERLAP_TOKENS, similarity: float = SIMILARITY) -> Column:
+    """The parts of split_by_similarity(), as an array."""
+
+    def add(parts: Column, group: Column) -> Column:
+        n = token_count(group)
+        return F.when(n > most, F.concat(parts, _cut_up(group, most))).when((n < least) & (F.size(parts) > 0), _with_last(parts, group)).otherwise(F.concat(parts, F.array(group)))
+
+    def of(found: Column) -> Column:
+        codes = F.transform(found, _codes)
+        begins = let(codes, lambda c: F.transform(c, lambda x, i: (i == 0) | (_similarity(F.get(c, i - 1), x) < similarity)))
+        parts = F.aggregate(_runs(found, begins, ""), F.array().cast("array<string>"), add)
+        return let(parts, lambda p: F.transform(p, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.array_join(let(sentence_list(F.get(p, i - 1)), lambda s: _last_within(s, overlap)), ""), x))))
+
+    return let(sentence_list(text), lambda found: F.when(F.size(found) < 2, found).otherwise(of(found)))
+
+
+def clause_parts(text: Column, most: int = MOST_TOKENS, overlap: int = OVERLAP_TOKENS, least: int = SHORT_TOKENS) -> Column:
+    """The parts of split_by_clauses(), as an array."""
+    clauses = F.flatten(F.transform(sentence_list(text), lambda s: _not_blank(_split_after(s, "，、；："))))
+    none = F.array().cast("array<string>")
+
+    def pack(s: Column, unit: Column) -> Column:
+        n = token_count(unit)
+        held = F.when(F.size(s["held"]) > 0, F.array(F.array_join(s["held"], ""))).otherwise(none)
+        alone = F.struct(F.concat(s["parts"], held, _cut_up(unit, most)).alias("parts"), none.alias("held"), F.lit(0).alias("used"))
+        kept = let(_last_within(s["held"], overlap), lambda k: F.struct(F.concat(s["parts"], held).alias("parts"), F.concat(k, F.array(unit)).alias("held"), (F.aggregate(k, F.lit(0), lambda a, x: a + token_count(x)) + n).alias("used")))
+        on = F.struct(s["parts"].alias("parts"), F.concat(s["held"], F.array(unit)).alias("held"), (s["used"] + n).alias("used"))
+        return F.when(n > most, alone).when(s["used"] + n > most, kept).otherwise(on)
+
+    def join_short(parts: Column, x: Column) -> Column:
+        return F.when((F.size(parts) > 0) & (token_count(x) < least), _with_last(parts, x)).otherwise(F.concat(parts, F.array(x)))
+
+    begins = let(clauses, lambda c: _runs(c, F.transform(c, lambda x, i: (i == 0) | ~x.rlike(f"^(?:{CONTINUES})")), "，"))
+    start = F.struct(none.alias("parts"), none.alias("held"), F.lit(0).alias("used"))
+    packed = F.aggregate(begins, start, pack, lambda s: F.when(F.size(s["held"]) > 0, F.concat(s["parts"], F.array(F.array_join(s["held"], "")))).otherwise(s["parts"]))
+    return F.aggregate(packed, none, join_short)
+
+
+def split_long(chunks: DataFrame, text: str, split=similarity_parts, above: int | None = MOST_TOKENS) -> DataFrame:
+    """chunks with part (from 0); those of more than `above` tokens (all if None) become the parts that split gives as an
+    array, their other columns kept."""
+    c = F.col(text)
+    parts = split(c) if above is None else F.when(F.coalesce(token_count(c) > above, F.lit(False)), split(c)).otherwise(F.array(c))
+    split_up = chunks.select("*", F.posexplode(parts).alias("part", "_text"))
+    return split_up.select(*(F.col("_text").alias(text) if x == text else F.col(x) for x in chunks.columns), "part")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import let
 from .planning import any_of
 
 
@@ -38,12 +39,13 @@ def repetition(previous: Column, current: Column, n: int = 10) -> Column:
 
     def grams(c: Column) -> Column:
         t = F.regexp_replace(F.coalesce(c, F.lit("")), "[ \t\n\r]+", "")
-        return F.when(F.length(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, n)))).otherwise(F.array().cast("array<string>"))
+        # a match at every place that n characters follow: one pass over the text
+        return F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
-    a, b = grams(previous), grams(current)
-    both = F.size(F.array_intersect(a, b))
-    either = F.size(a) + F.size(b) - both
-    return F.when(either > 0, 1 - both / either).otherwise(1.0)
+    def share(a: Column, b: Column, both: Column) -> Column:
+        return F.coalesce(1 - F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(1.0))
+
+    return let(grams(previous), lambda a: let(grams(current), lambda b: let(F.size(F.array_intersect(a, b)), lambda both: share(a, b, both))))
 
 
 def averages(rows: DataFrame, metrics: list[str]) -> DataFrame:

@@ -94,7 +94,7 @@ def h4_similarity_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 def h5_clause_parts(spark: SparkSession, sf: str) -> DataFrame:
     b = _blocks(spark, sf).select("doc_id", F.posexplode("blocks").alias("block", "b")).where("b.kind <> 'table'").select("doc_id", "block", F.col("b.content").alias("content"))
-    return H.split_long(b, "content", H.split_by_clauses, above=None).select("doc_id", "block", "part", _md5(F.col("content")).alias("content_md5"))
+    return H.split_long(b, "content", H.clause_parts, above=None).select("doc_id", "block", "part", _md5(F.col("content")).alias("content_md5"))
 
 
 def h11_split_long(spark: SparkSession, sf: str) -> DataFrame:
@@ -224,7 +224,61 @@ LITERAL = "CASE " + " ".join(f"WHEN {_any('attr', t)} THEN '{k}'" for k, t in G.
 OUT = "doc_id, chunk_type, md5(content) AS content_md5, label"
 VALID_TEXT = "regexp_replace(text, '[^" + VALID[1:].replace("'", "''") + "', '', 'g')"
 
+_SENTENCES = "regexp_extract_all({c}, '[^。！？；\\n]*[。！？；\\n]|[^。！？；\\n]+')"
+_STRIP = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+_N = "floor(length({c}) * 0.7::double)::int"
+_CUT = "list_transform(range(0, (length({c}) - 1) // 358 + 1), lambda i: substr({c}, (i * 358 + 1)::int, 358))"
+
+
+def similarity_sql(source: str) -> str:
+    """CTEs from source(doc_id, block, content) to sp(doc_id, block, part, content)."""
+    key = "doc_id, block"
+    return f"""s0 AS (SELECT {key}, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT {key}, {_SENTENCES.format(c='content')} AS l FROM {source})),
+s1 AS (SELECT {key}, {_STRIP.format(c='s')} AS s, i FROM s0),
+s2 AS (SELECT {key}, s, row_number() OVER (PARTITION BY {key} ORDER BY i) AS k FROM s1 WHERE s <> ''),
+tk AS (SELECT {key}, k, md5(unnest(CASE WHEN len(w) > 0 THEN w ELSE [s] END)) AS h FROM (SELECT *, regexp_extract_all(s, '[A-Za-z]+|[一-鿿]') AS w FROM s2)),
+vc AS (SELECT {key}, k, ('0x' || substr(h, 1, 8))::bigint % 384 AS x, sum(1 - 2 * (('0x' || substr(h, 9, 2))::bigint % 2)) AS w FROM tk GROUP BY ALL),
+nr AS (SELECT {key}, k, sum(w * w)::double AS n FROM vc GROUP BY ALL),
+dt AS (SELECT b.doc_id, b.block, b.k, sum(a.w * b.w)::double AS d FROM vc a JOIN vc b ON a.doc_id = b.doc_id AND a.block = b.block AND a.k = b.k - 1 AND a.x = b.x GROUP BY ALL),
+br AS (SELECT s2.*, s2.k = 1 OR coalesce(d / nullif(sqrt(a.n * b.n), 0), 0) < 0.5 AS cut FROM s2 LEFT JOIN dt USING ({key}, k) LEFT JOIN nr b USING ({key}, k) LEFT JOIN nr a ON a.doc_id = s2.doc_id AND a.block = s2.block AND a.k = s2.k - 1),
+g0 AS (SELECT *, sum(cut::int) OVER (PARTITION BY {key} ORDER BY k) AS g, count(*) OVER (PARTITION BY {key}) AS many FROM br),
+g1 AS (SELECT {key}, g, many, string_agg(s, '' ORDER BY k) AS c FROM g0 GROUP BY ALL),
+g2 AS (SELECT *, {_N.format(c='c')} AS n FROM g1),
+g3 AS (SELECT *, sum((g = 1 OR n >= 100)::int) OVER (PARTITION BY {key} ORDER BY g) AS p FROM g2),
+g4 AS (SELECT {key}, p, many, arg_min(c, g) AS c, arg_min(n, g) AS n, coalesce(substr(string_agg(c, '' ORDER BY g), (length(arg_min(c, g)) + 1)::int), '') AS more FROM g3 GROUP BY ALL),
+g5 AS (SELECT {key}, p, more, CASE WHEN n > 512 AND many > 1 THEN {_CUT.format(c='c')} ELSE [c] END AS l FROM g4),
+g6 AS (SELECT {key}, p, unnest(l) AS c, generate_subscripts(l, 1) AS i, len(l) AS last, more FROM g5),
+g7 AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY p, i) AS part, CASE WHEN i = last THEN c || more ELSE c END AS c FROM g6),
+t0 AS (SELECT {key}, part, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT {key}, part, {_SENTENCES.format(c='c')} AS l FROM g7)),
+t1 AS (SELECT {key}, part, i, {_STRIP.format(c='s')} AS s FROM t0),
+t2 AS (SELECT *, sum({_N.format(c='s')}) OVER (PARTITION BY {key}, part ORDER BY i DESC) AS used FROM t1 WHERE s <> ''),
+t3 AS (SELECT {key}, part + 1 AS part, string_agg(s, '' ORDER BY i) AS head FROM t2 WHERE used <= 50 GROUP BY ALL),
+sp AS (SELECT {key}, part - 1 AS part, coalesce(head, '') || c AS content FROM g7 LEFT JOIN t3 USING ({key}, part))"""
+
+
+_PLAIN = "src AS (SELECT doc_id, block, content FROM blocks WHERE kind <> 'table')"
+CLAUSES = f"""s0 AS (SELECT doc_id, block, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, block, {_SENTENCES.format(c='content')} AS l FROM src)),
+s1 AS (SELECT doc_id, block, i, {_STRIP.format(c='s')} AS s FROM s0),
+c0 AS (SELECT doc_id, block, i, unnest(l) AS c, generate_subscripts(l, 1) AS j FROM (SELECT *, regexp_extract_all(s, '[^，、；：]*[，、；：]|[^，、；：]+') AS l FROM s1 WHERE s <> '')),
+c1 AS (SELECT doc_id, block, row_number() OVER (PARTITION BY doc_id, block ORDER BY i, j) AS k, c FROM (SELECT doc_id, block, i, j, {_STRIP.format(c='c')} AS c FROM c0) WHERE c <> ''),
+c2 AS (SELECT *, sum((k = 1 OR NOT regexp_matches(c, '^(?:{H.CONTINUES})'))::int) OVER (PARTITION BY doc_id, block ORDER BY k) AS u FROM c1),
+un AS (SELECT doc_id, block, u, string_agg(c, '，' ORDER BY k) AS t FROM c2 GROUP BY ALL),
+u2 AS (SELECT *, {_N.format(c='t')} AS n FROM un),
+pk AS (SELECT DISTINCT doc_id, block, 0::hugeint AS u, []::varchar[] AS parts, []::varchar[] AS held, 0::bigint AS used FROM u2
+  UNION ALL SELECT pk.doc_id, pk.block, u2.u,
+    CASE WHEN n > 512 THEN parts || CASE WHEN len(held) > 0 THEN [array_to_string(held, '')] ELSE []::varchar[] END || {_CUT.format(c='t')} WHEN used + n > 512 THEN parts || [array_to_string(held, '')] ELSE parts END,
+    CASE WHEN n > 512 THEN []::varchar[] WHEN used + n > 512 THEN list_filter(held, lambda x, i: list_sum(list_transform(held[i:], lambda y: {_N.format(c='y')})) <= 50) || [t] ELSE held || [t] END,
+    CASE WHEN n > 512 THEN 0 WHEN used + n > 512 THEN coalesce(list_sum(list_transform(list_filter(held, lambda x, i: list_sum(list_transform(held[i:], lambda y: {_N.format(c='y')})) <= 50), lambda y: {_N.format(c='y')})), 0) + n ELSE used + n END
+  FROM pk JOIN u2 ON u2.doc_id = pk.doc_id AND u2.block = pk.block AND u2.u = pk.u + 1),
+fn AS (SELECT doc_id, block, arg_max(parts, u) || CASE WHEN len(arg_max(held, u)) > 0 THEN [array_to_string(arg_max(held, u), '')] ELSE []::varchar[] END AS l FROM pk GROUP BY ALL),
+f1 AS (SELECT doc_id, block, unnest(l) AS c, generate_subscripts(l, 1) AS i FROM fn),
+f2 AS (SELECT *, sum((i = 1 OR {_N.format(c='c')} >= 80)::int) OVER (PARTITION BY doc_id, block ORDER BY i) AS p FROM f1),
+cp AS (SELECT doc_id, block, (p - 1)::int AS part, string_agg(c, '' ORDER BY i) AS content FROM f2 GROUP BY ALL)"""
+
 SQL = {
+    "h4_similarity_parts": f"WITH {BLOCKS}, {_PLAIN}, {similarity_sql('src')}, n AS (SELECT *, {_N.format(c='content')} AS n FROM sp) SELECT doc_id, (block - 1)::int AS block, part::int AS part, md5(content) AS content_md5, CASE WHEN n < 50 THEN 'poor' WHEN n > 1000 THEN 'fair' WHEN n BETWEEN 100 AND 512 THEN 'excellent' ELSE 'good' END AS grade FROM n",
+    "h5_clause_parts": f"WITH RECURSIVE {BLOCKS}, {_PLAIN}, {CLAUSES} SELECT doc_id, (block - 1)::int AS block, part, md5(content) AS content_md5 FROM cp",
+    "h11_split_long": f"WITH {NOTES_SQL}, src AS (SELECT doc_id, 0 AS block, text AS content FROM notes WHERE {_N.format(c='text')} > 512), {similarity_sql('src')} SELECT doc_id, part::int AS part, md5(content) AS content_md5 FROM sp UNION ALL SELECT doc_id, 0, md5(text) FROM notes WHERE {_N.format(c='text')} <= 512",
     "p2_p9_tables": f"WITH {BLOCKS}, c AS (SELECT doc_id, block, headers, rows, txt, list_filter(rows, lambda r: len(list_filter(r, lambda x: x <> '')) > 0) AS kept FROM bt WHERE kind = 'table') SELECT doc_id, block, array_to_string(headers, '|') AS headers, len(rows) AS n_rows, txt AS text, CASE WHEN len(kept) > 0 OR len(headers) > 0 THEN array_to_string(list_concat(CASE WHEN len(headers) > 0 THEN [array_to_string(list_transform(headers, lambda x: regexp_replace(x, '\\s+', ' ', 'g')), ' | ')] ELSE [] END, list_transform(kept, lambda r: array_to_string(list_transform(r, lambda x: regexp_replace(x, '\\s+', ' ', 'g')), ' | '))), chr(10)) END AS clean FROM c",
     "p3_p4_document_text": f"WITH {BLOCKS} SELECT doc_id, title, md5(body) AS body_md5 FROM bodies",
     "p10_images": f"WITH c AS (SELECT doc_id, source, text, {VALID_TEXT} AS clean FROM documents), d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {STRIP.format('source')} END AS description, CASE WHEN doc_id % 4 = 0 THEN {STRIP.format('''CASE WHEN (length(text) - length(clean)) / length(text)::double > 0.3 THEN '' ELSE clean END''')} END AS ocr FROM c) SELECT doc_id, description, md5(ocr) AS ocr_md5 FROM d WHERE coalesce(description, '') <> '' OR coalesce(ocr, '') <> '' OR doc_id % 5 = 0",
