@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import agent_search as A
+from ..operators import facts as T
 from ..operators import graph as G
 from ..operators import memory as M
+from ..operators import planning as P
+from ..sources.samples import notes, requests
 from ..sources.tables import TRIPLES_SQL, table, triples
 
 EXPAND_BY = ("located_in", "belongs_to")
@@ -39,6 +43,21 @@ def m11_store_batch(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("id", "question", F.md5("answer").alias("answer_md5"), F.array_join("entities", ",").alias("entities"), F.array_join("tags", ",").alias("tags"), F.array_join("citations", ",").alias("citations"), "quality", "hits")
 
 
+def f1_f14_agent_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions to ranked evidence over the notes: both indexes, the relations and the facts that the notes hold, by the
+    plan that rules give where no model answers."""
+    chunks = notes(spark, sf)
+    facts = T.extract_facts(chunks, "doc_id", "text")
+    stated = facts.select(F.col("entity").alias("subject"), F.col("attr").alias("predicate"), F.col("value").alias("object"), "confidence")
+    told = T.text_triples(chunks, "doc_id", "text").select("subject", "predicate", "object", F.lit(0.7).alias("confidence"))
+    searcher = A.Searcher.over(chunks.select(F.col("doc_id").alias("doc"), "text"), stated.union(told), facts.select("entity"))
+    r = requests(spark, sf).withColumn("p", P.fallback_plan(F.col("query")))
+    r = r.select("request_id", "query", "p.intent", F.transform(P.entities(F.col("query")), lambda x: x["name"]).alias("entities"), F.col("p.routes").alias("planned"))
+    s = A.run(r, searcher)
+    lists = ("entities", "executed", "fallbacks", "errors")
+    return s.select("request_id", "intent", "next_route", "decision", "steps", *(F.array_join(x, ",").alias(x) for x in lists), F.size("semantic").alias("n_semantic"), F.round(F.array_max("semantic"), 6).alias("best"), F.size("relation_texts").alias("n_relations"), "sql_rows")
+
+
 SPO = "subject, predicate, object"
 SQL = {
     "r8_relations_of_requests": f"""WITH {TRIPLES_SQL},
@@ -69,4 +88,4 @@ agg AS (SELECT to_id, f, list(x ORDER BY o) AS l FROM lists GROUP BY ALL)
 SELECT i.to_id::BIGINT AS id, 'q' || w.id AS question, md5(w.answer) AS answer_md5, coalesce((SELECT array_to_string(l, ',') FROM agg WHERE agg.to_id = i.to_id AND f = 'e'), '') AS entities, coalesce((SELECT array_to_string(l, ',') FROM agg WHERE agg.to_id = i.to_id AND f = 't'), '') AS tags, (SELECT array_to_string(l[1:20], ',') FROM agg WHERE agg.to_id = i.to_id AND f = 'c') AS citations, w.quality, coalesce(k, 0)::BIGINT AS hits
 FROM ids i JOIN q o ON o.id = i.src LEFT JOIN best USING (to_id) LEFT JOIN q n ON n.id = b JOIN q w ON w.id = CASE WHEN n.quality >= o.quality THEN n.id ELSE o.id END""",
 }
-QUERIES = {f.__name__: f for f in (r8_relations_of_requests, m11_store_batch)}
+QUERIES = {f.__name__: f for f in (r8_relations_of_requests, m11_store_batch, f1_f14_agent_run)}
