@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import WORD, batches_of, cut, discard
 from .links import link_components
 from .shingles import mix, shingle_sets
-from .tokens import slices
+from .tokens import release, slices
 
 #: The sketch: rows of so many counters. Its size is fixed, so it may be sent to every task.
 SKETCH_BITS, SKETCH_ROWS, SLICES = 20, 2, 64
@@ -157,6 +157,7 @@ def _verified(percent: int):
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(100 * shared >= percent * (len(both) - shared))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     return run
 

@@ -7,6 +7,7 @@ for later batches, up to a number of words."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 
@@ -170,6 +171,16 @@ def encoder(path: str, spaces_count: bool) -> WordEncoder:
     return _encoders[path, spaces_count]
 
 
+def release() -> None:
+    """Give memory that this worker no longer uses back to the system: workers outlive their tasks, and those of an
+    executor's cores would otherwise each keep the most that any task needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a system without it keeps the memory for later use
+        pass
+
+
 def slices(batches, column: str, most: int = 6_000_000):
     """Parts of the batches with at most that many bytes of text, one row at least: bounds a worker's memory."""
     for b in batches:
@@ -179,3 +190,4 @@ def slices(batches, column: str, most: int = 6_000_000):
             end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
             yield b.slice(at, end - at)
             at = end
+    release()
