@@ -98,7 +98,9 @@ def write_files(docs: DataFrame, path: str | None = None, spaces_count: bool = T
         counts[x["doc_id"]] = x["n"]
     lengths = huffman.code_lengths(counts)
     parts = max(1, int(counts.sum()) // IDS_PER_PARTITION + 1)
-    ordered = rows.filter("ids is not null").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    # rows that share a doc_id, or have none, are dealt over partitions by what they hold
+    order = [F.col("doc_id").asc_nulls_first(), F.crc32("ids")]
+    ordered = rows.filter("ids is not null").repartitionByRange(parts, *order).sortWithinPartitions(*order, "ids")
     return cut(ordered.select("doc_id", "ids").mapInArrow(_write(lengths, dtype), "part long, seq long, n_ids long, image binary"), codec="none")
 
 

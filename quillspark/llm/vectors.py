@@ -141,7 +141,7 @@ def _by_size(column: pa.Array):
 
 def _digests(batches):
     for b in batches:
-        found = [None if v is None else hashlib.blake2b(np.asarray(v, np.float32).tobytes(), digest_size=16).digest() for v in b.column("embedding").to_pylist()]
+        found = [None if v is None else hashlib.blake2b(np.asarray(v, np.float64).tobytes(), digest_size=16).digest() for v in b.column("embedding").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("vec_id").cast(pa.int64()), b.column("at"), b.column("embedding"), pa.array(found, pa.binary())], ["vec_id", "at", "embedding", "digest"])
 
 
@@ -149,8 +149,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """vec_id, n_links, component_id and kept of every row."""
     e = F.col("embedding")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    clean = vectors.select("vec_id", F.monotonically_increasing_id().alias("at"), F.when(finite, F.transform(e, lambda x: x.cast("float") + F.lit(0.0).cast("float"))).alias("embedding"))
-    rows = cut(clean.mapInArrow(_digests, "vec_id long, at long, embedding array<float>, digest binary"))
+    clean = vectors.select("vec_id", F.monotonically_increasing_id().alias("at"), F.when(finite, F.transform(e, lambda x: x.cast("double") + F.lit(0.0))).alias("embedding"))
+    rows = cut(clean.mapInArrow(_digests, "vec_id long, at long, embedding array<double>, digest binary"))
     slim = cut(rows.select("vec_id", "at", "digest"))
     # copies are counted in parts of a digest's rows first, so a common vector needn't come to one task
     salted = rows.where("digest is not null").withColumn("_s", F.pmod(F.xxhash64("at"), F.lit(64)))

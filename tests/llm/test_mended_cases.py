@@ -87,3 +87,30 @@ def test_copies_are_of_the_own_source(spark):
     taken = {(r.doc_id, r.source): r["count"] for r in mixing.mix_documents(df).groupBy("doc_id", "source").count().collect()}
     plan = {(r.doc_id, r.source): r.copies for r in mixing.mix(df).where(F.col("copies") > 0).collect()}
     assert taken == plan
+
+
+def test_vectors_of_doubles_keep_their_size(spark):
+    from quillspark.llm import vectors
+
+    rows = [(1, [1e300, 0.0]), (2, [1e300, 1.0]), (3, [1e-60, 0.0]), (4, [0.0, 1e-60]), (5, [1.0, 1e-9]), (6, [0.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4), 6: (0, 6)}
+
+
+def test_token_files_of_documents_that_share_a_number(spark, monkeypatch):
+    from collections import Counter
+
+    from quillspark.llm import token_files
+
+    monkeypatch.setattr(token_files, "IDS_PER_PARTITION", 200)
+    rows = [(None if i % 3 else 7, f"text number {i} of many") for i in range(120)] + [(9, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    files = token_files.write_files(df)
+    got = token_files.read_files(files).orderBy("start").collect()
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows) and len({r.ids_crc32 for r in got}) == 121
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda d: (d is not None, d or 0))
+    assert files.select("part").distinct().count() > 1
