@@ -10,6 +10,7 @@ from ..operators import facts as T
 from ..operators import graph as G
 from ..operators import memory as M
 from ..operators import planning as P
+from ..operators import stored as W
 from ..sources.samples import notes, requests
 from ..sources.tables import TRIPLES_SQL, table, triples
 
@@ -43,6 +44,25 @@ def m11_store_batch(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("id", "question", F.md5("answer").alias("answer_md5"), F.array_join("entities", ",").alias("entities"), F.array_join("tags", ",").alias("tags"), F.array_join("citations", ",").alias("citations"), "quality", "hits")
 
 
+def k4_bucketed_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Aliases in buckets: half of the parts stored, the other half upserted in two goes."""
+    part = table(spark, sf, "part").select(F.col("p_brand").alias("entity"), F.col("p_name").alias("alias"), F.col("p_type").alias("source"), (F.col("p_size") / 50.0).alias("confidence"), F.col("p_partkey").alias("seq"))
+    none = part.where("seq < 0")
+    store = W.BucketedTable.create(G.upsert_aliases(none, part.where("seq % 2 = 0")), ("entity", "alias"))
+    for turn in (1, 3):
+        store.upsert(part.where(f"seq % 4 = {turn}"), G.upsert_aliases)
+    return store.read()
+
+
+def k9_two_stores(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and their vectors in three batches, of which one comes twice; what both stores have of each."""
+    d, e = table(spark, sf, "documents").select("doc_id", F.length("text").alias("n")), table(spark, sf, "embeddings").select("vec_id", F.size("embedding").alias("dim"))
+    both = W.TwoStores.create(spark)
+    for k in (0, 1, 1, 2):
+        both.write(f"b{k}", {"chunks": d.where(F.col("doc_id") % 4 == k), "vectors": e.where(F.col("vec_id") % 4 == k)})
+    return both.read("chunks").join(both.read("vectors"), F.col("doc_id") == F.col("vec_id"), "left").select("doc_id", "n", "dim")
+
+
 def f1_f14_agent_run(spark: SparkSession, sf: str) -> DataFrame:
     """Questions to ranked evidence over the notes: both indexes, the relations and the facts that the notes hold, by the
     plan that rules give where no model answers."""
@@ -68,6 +88,8 @@ d AS (SELECT * FROM (SELECT DISTINCT request, {SPO}, confidence FROM req JOIN en
 x AS (SELECT * FROM (SELECT request, subject AS entity FROM d WHERE predicate IN ('located_in', 'belongs_to') UNION SELECT request, object FROM d WHERE predicate IN ('located_in', 'belongs_to')) WHERE (request, entity) NOT IN (SELECT (request, entity) FROM req) QUALIFY row_number() OVER (PARTITION BY request ORDER BY entity) <= 5),
 f AS (SELECT * FROM (SELECT DISTINCT request, {SPO}, confidence FROM x JOIN ends USING (entity)) QUALIFY row_number() OVER (PARTITION BY request ORDER BY {SPO}) <= 30)
 SELECT *, 0 AS hop FROM d UNION ALL SELECT *, 1 FROM f ANTI JOIN d USING (request, {SPO})""",
+    "k4_bucketed_upsert": "SELECT p_brand AS entity, p_name AS alias, max_by(p_type, p_partkey) AS source, max(p_size / 50.0::double) AS confidence, max(p_partkey) AS seq FROM part GROUP BY 1, 2",
+    "k9_two_stores": "SELECT doc_id, length(text)::int AS n, len(embedding)::int AS dim FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE doc_id % 4 < 3",
     "m11_store_batch": """WITH RECURSIVE q0 AS (SELECT doc_id AS id, coalesce(text, '') AS answer, coalesce(source, '') AS e, coalesce(lang, '') AS t, doc_id::varchar AS c FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
 q AS (SELECT *, round(greatest(0, least(1, 0.25::double + CASE WHEN length(regexp_replace(answer, '^\\s+|\\s+$', '', 'g')) >= 80 THEN 0.25::double ELSE -0.2::double END + least(0.15::double, length(answer) // 100 * 0.03::double) + CASE WHEN t IN ('', 'general') THEN 0 ELSE 0.1::double END)), 6) AS quality FROM q0),
 v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
@@ -88,4 +110,4 @@ agg AS (SELECT to_id, f, list(x ORDER BY o) AS l FROM lists GROUP BY ALL)
 SELECT i.to_id::BIGINT AS id, 'q' || w.id AS question, md5(w.answer) AS answer_md5, coalesce((SELECT array_to_string(l, ',') FROM agg WHERE agg.to_id = i.to_id AND f = 'e'), '') AS entities, coalesce((SELECT array_to_string(l, ',') FROM agg WHERE agg.to_id = i.to_id AND f = 't'), '') AS tags, (SELECT array_to_string(l[1:20], ',') FROM agg WHERE agg.to_id = i.to_id AND f = 'c') AS citations, w.quality, coalesce(k, 0)::BIGINT AS hits
 FROM ids i JOIN q o ON o.id = i.src LEFT JOIN best USING (to_id) LEFT JOIN q n ON n.id = b JOIN q w ON w.id = CASE WHEN n.quality >= o.quality THEN n.id ELSE o.id END""",
 }
-QUERIES = {f.__name__: f for f in (r8_relations_of_requests, m11_store_batch, f1_f14_agent_run)}
+QUERIES = {f.__name__: f for f in (r8_relations_of_requests, m11_store_batch, k4_bucketed_upsert, k9_two_stores, f1_f14_agent_run)}

@@ -1,8 +1,11 @@
 """Relations of many requests, answers stored in one batch, and ids of sparse numbers, against plain loops."""
 
+import os
 import random
 
-from quillspark.operators import graph, imports, memory
+import pytest
+
+from quillspark.operators import graph, imports, memory, stored
 
 
 def relations_by_hand(triples, requests, expand_by, direct, expand, expanded):
@@ -61,3 +64,39 @@ def test_ids_of_numbers_far_apart(spark):
     numbers = [-(2**62), -70000, -1, 0, 1, 65535, 65536, 2**33, 2**33 + 1, 2**50, 2**62]
     got = imports.with_ids(spark.createDataFrame([(n,) for n in numbers], "seq long"), "seq", "id", 5).collect()
     assert {r.seq: r.id for r in got} == {n: k for k, n in enumerate(numbers, 6)}
+
+
+def files(path):
+    return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+
+def test_an_upsert_rewrites_the_buckets_of_its_keys_alone(spark):
+    rows = spark.createDataFrame([("e", f"a{i}", "s", 0.5, i) for i in range(100)], "entity string, alias string, source string, confidence double, seq long")
+    store = stored.BucketedTable.create(rows, ("entity", "alias"), buckets=16)
+    before = files(store.path)
+    new = spark.createDataFrame([("e", "a3", "t", 0.2, 200), ("e", "new", "t", 0.9, 201)], rows.schema)
+    store.upsert(new, graph.upsert_aliases)
+    assert len(before - files(store.path)) <= 2 and len(before & files(store.path)) >= len(before) - 2
+    got = {r.alias: (r.source, r.confidence) for r in store.read().collect()}
+    assert len(got) == 101 and got["a3"] == ("t", 0.5) and got["new"] == ("t", 0.9) and got["a4"] == ("s", 0.5)
+    store.upsert(new.where("false"), graph.upsert_aliases)
+    store.upsert(new, graph.upsert_aliases)  # again: nothing changes
+    assert {r.alias: (r.source, r.confidence) for r in store.read().collect()} == got
+
+
+def test_a_batch_that_stops_between_two_stores_is_not_seen_until_it_is_written_again(spark):
+    both = stored.TwoStores.create(spark)
+    assert both.read("chunks") is None
+    a, b = (spark.createDataFrame([(i, f"x{i}") for i in ids], "id long, x string") for ids in ((1, 2), (3, 4, 5)))
+    assert both.write("one", {"chunks": a, "vectors": a})
+
+    class Broken:
+        @property
+        def write(self):
+            raise OSError("the second store is down")
+
+    with pytest.raises(OSError, match="second store"):
+        both.write("two", {"chunks": b, "vectors": Broken()})
+    assert both.read("chunks").count() == 2 and both.read("vectors").count() == 2
+    assert both.write("two", {"chunks": b, "vectors": b}) and not both.write("two", {"chunks": a, "vectors": a})
+    assert sorted(r.id for r in both.read("chunks").collect()) == sorted(r.id for r in both.read("vectors").collect()) == [1, 2, 3, 4, 5]
