@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import agent_search as A
+from ..operators import dictionary as D
 from ..operators import facts as T
 from ..operators import graph as G
 from ..operators import memory as M
@@ -63,6 +64,12 @@ def k9_two_stores(spark: SparkSession, sf: str) -> DataFrame:
     return both.read("chunks").join(both.read("vectors"), F.col("doc_id") == F.col("vec_id"), "left").select("doc_id", "n", "dim")
 
 
+def c10_dictionary_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents' names from a dictionary of all words of five letters and more of the benchmark."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("([a-z]{5,})"), F.lit(1))).alias("alias"))
+    return D.mentions(table(spark, sf, "documents"), "doc_id", "text", words, "alias").select("doc_id", F.col("name").alias("alias"), "first")
+
+
 def f1_f14_agent_run(spark: SparkSession, sf: str) -> DataFrame:
     """Questions to ranked evidence over the notes: both indexes, the relations and the facts that the notes hold, by the
     plan that rules give where no model answers."""
@@ -89,6 +96,7 @@ x AS (SELECT * FROM (SELECT request, subject AS entity FROM d WHERE predicate IN
 f AS (SELECT * FROM (SELECT DISTINCT request, {SPO}, confidence FROM x JOIN ends USING (entity)) QUALIFY row_number() OVER (PARTITION BY request ORDER BY {SPO}) <= 30)
 SELECT *, 0 AS hop FROM d UNION ALL SELECT *, 1 FROM f ANTI JOIN d USING (request, {SPO})""",
     "k4_bucketed_upsert": "SELECT p_brand AS entity, p_name AS alias, max_by(p_type, p_partkey) AS source, max(p_size / 50.0::double) AS confidence, max(p_partkey) AS seq FROM part GROUP BY 1, 2",
+    "c10_dictionary_mentions": "WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{5,}')) AS alias FROM benchmark) SELECT doc_id, alias, (strpos(text, alias) - 1)::int AS first FROM documents JOIN a ON contains(text, alias)",
     "k9_two_stores": "SELECT doc_id, length(text)::int AS n, len(embedding)::int AS dim FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE doc_id % 4 < 3",
     "m11_store_batch": """WITH RECURSIVE q0 AS (SELECT doc_id AS id, coalesce(text, '') AS answer, coalesce(source, '') AS e, coalesce(lang, '') AS t, doc_id::varchar AS c FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
 q AS (SELECT *, round(greatest(0, least(1, 0.25::double + CASE WHEN length(regexp_replace(answer, '^\\s+|\\s+$', '', 'g')) >= 80 THEN 0.25::double ELSE -0.2::double END + least(0.15::double, length(answer) // 100 * 0.03::double) + CASE WHEN t IN ('', 'general') THEN 0 ELSE 0.1::double END)), 6) AS quality FROM q0),
@@ -110,4 +118,4 @@ agg AS (SELECT to_id, f, list(x ORDER BY o) AS l FROM lists GROUP BY ALL)
 SELECT i.to_id::BIGINT AS id, 'q' || w.id AS question, md5(w.answer) AS answer_md5, coalesce((SELECT array_to_string(l, ',') FROM agg WHERE agg.to_id = i.to_id AND f = 'e'), '') AS entities, coalesce((SELECT array_to_string(l, ',') FROM agg WHERE agg.to_id = i.to_id AND f = 't'), '') AS tags, (SELECT array_to_string(l[1:20], ',') FROM agg WHERE agg.to_id = i.to_id AND f = 'c') AS citations, w.quality, coalesce(k, 0)::BIGINT AS hits
 FROM ids i JOIN q o ON o.id = i.src LEFT JOIN best USING (to_id) LEFT JOIN q n ON n.id = b JOIN q w ON w.id = CASE WHEN n.quality >= o.quality THEN n.id ELSE o.id END""",
 }
-QUERIES = {f.__name__: f for f in (r8_relations_of_requests, m11_store_batch, k4_bucketed_upsert, k9_two_stores, f1_f14_agent_run)}
+QUERIES = {f.__name__: f for f in (r8_relations_of_requests, m11_store_batch, k4_bucketed_upsert, k9_two_stores, c10_dictionary_mentions, f1_f14_agent_run)}

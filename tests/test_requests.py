@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from quillspark.operators import graph, imports, memory, stored
+from quillspark.operators import dictionary, graph, imports, memory, stored
 
 
 def relations_by_hand(triples, requests, expand_by, direct, expand, expanded):
@@ -100,3 +100,17 @@ def test_a_batch_that_stops_between_two_stores_is_not_seen_until_it_is_written_a
     assert both.read("chunks").count() == 2 and both.read("vectors").count() == 2
     assert both.write("two", {"chunks": b, "vectors": b}) and not both.write("two", {"chunks": a, "vectors": a})
     assert sorted(r.id for r in both.read("chunks").collect()) == sorted(r.id for r in both.read("vectors").collect()) == [1, 2, 3, 4, 5]
+
+
+def test_names_of_a_dictionary_equal_the_nested_loop(spark):
+    r = random.Random(6)
+    names = ["a", "ab", "abc", "番茄", "番茄炒蛋", "茄", "zz", "b\nc", "x" * 40, "", None, "ab"]
+    texts = [(i, "".join(r.choice(["a", "b", "c", "番", "茄", "炒", "蛋", "z", "\n", "x" * 20]) for _ in range(60))) for i in range(30)] + [(30, None), (31, ""), (32, "a")]
+    got = {tuple(x) for x in dictionary.mentions(spark.createDataFrame(texts, "id int, t string"), "id", "t", spark.createDataFrame([(n,) for n in names], "n string"), "n").collect()}
+    want = set()
+    for i, t in texts:
+        for n in {n for n in names if n}:
+            at = [k for k in range(len(t or "")) if t.startswith(n, k)]
+            want |= {(i, n, at[0], len(at))} if at else set()
+    assert got == want
+    assert dictionary.mentions(spark.createDataFrame(texts, "id int, t string"), "id", "t", spark.createDataFrame([], "n string"), "n").collect() == []
