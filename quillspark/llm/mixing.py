@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hash60, word_count
+from .common import WORD, cut, hash60, word_count
 
 BITS, HASH_BITS = 10, 60
 
@@ -80,11 +80,12 @@ def _meta(docs: DataFrame) -> DataFrame:
 
 
 def _marks(meta: DataFrame, budgets: tuple[float, ...], weights: tuple[int, ...], max_repeat: int) -> DataFrame:
-    """A row for each source: source, source_size and b, its budgets. Spark broadcasts it only below
-    spark.sql.autoBroadcastJoinThreshold, else AQE splits hot sources."""
+    """A row for each source: source, source_size and b, its budgets. It is written, so that Spark knows its size before it
+    plans a join with it: below spark.sql.autoBroadcastJoinThreshold it is broadcast and documents aren't shuffled, else
+    AQE splits hot sources."""
     sizes = meta.groupBy("source").agg(F.sum("size").alias("source_size"))
     marks = thresholds(meta, source_targets(sizes, budgets, weights, max_repeat))
-    return marks.groupBy("source", "source_size").agg(F.sort_array(F.collect_list(F.struct("budget_no", "target", "full", "threshold"))).alias("b"))
+    return cut(marks.groupBy("source", "source_size").agg(F.sort_array(F.collect_list(F.struct("budget_no", "target", "full", "threshold"))).alias("b")))
 
 
 def _copies(b: Column, h: Column) -> Column:
@@ -111,8 +112,9 @@ def mix_documents(docs: DataFrame, budgets: tuple[float, ...] = (0.25, 0.5, 1.0)
     are left out: they carry no weight."""
     marks = _marks(_meta(docs), budgets, weights, max_repeat)
     # the row is one column, so that no name of its own can clash
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("source"), hash60(F.col("doc_id")).alias("h"), word_count(F.col("text")).alias("size"))
-    taken = rows.where("size > 0").alias("m").join(marks.alias("k"), _same_source("m", "k")).select("m.row", F.element_at(_copies(F.col("k.b"), F.col("m.h")), -1).cast("int").alias("times"))
+    worded = docs.where(F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    rows = worded.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("source"), hash60(F.col("doc_id")).alias("h"))
+    taken = rows.alias("m").join(marks.alias("k"), _same_source("m", "k")).select("m.row", F.element_at(_copies(F.col("k.b"), F.col("m.h")), -1).cast("int").alias("times"))
     return taken.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
 
 

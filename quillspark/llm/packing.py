@@ -30,6 +30,8 @@ from .tokens import encoder, slices, vocabulary_path
 WINDOW, DOCS_PER_SHARD = 4096, 1024
 #: Sampled keys for each shard: their order gives the bounds between shards.
 SAMPLED = 16
+#: Bytes of text that a worker encodes at a time.
+SLICE = 3_000_000
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -40,7 +42,7 @@ def _tokenize(path: str, end_id: int, dtype: str):
     def run(batches):
         enc, packer = encoder(path, False), zstandard.ZstdCompressor(level=1)
         holds = np.zeros(max(enc.size, end_id + 1), np.int64)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE):
             ids, n = enc.encode(b.column("text"))
             ids, at = ids.astype(dtype), np.concatenate([[0], np.cumsum(n)])
             packed = []
