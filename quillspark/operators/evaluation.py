@@ -25,13 +25,28 @@ def lexical_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([\\u4e00-\\u9fff]|[a-z0-9_]+)"), 1)
 
 
+def _bag_overlap(a: Column, b: Column) -> Column:
+    """How many tokens two bags share. Both are put in one order, a's copies of a token before b's, and counted in one pass."""
+    both = F.sort_array(F.concat(F.transform(a, lambda t: F.concat(t, F.lit(" 0"))), F.transform(b, lambda t: F.concat(t, F.lit(" 1")))))
+    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("left"), F.lit(0).alias("both"))
+
+    def add(s: Column, x: Column) -> Column:
+        t, same = F.substring_index(x, " ", 1), F.startswith(x, F.concat(s["t"], F.lit(" ")))
+        left = F.when(same, s["left"]).otherwise(0)
+        taken = same & (s["left"] > 0)
+        return F.when(F.endswith(x, F.lit(" 0")), F.struct(t.alias("t"), (left + 1).alias("left"), s["both"].alias("both"))).otherwise(F.struct(t.alias("t"), F.when(taken, s["left"] - 1).otherwise(0).alias("left"), (s["both"] + taken.cast("int")).alias("both")))
+
+    return F.aggregate(both, start, add, lambda s: s["both"])
+
+
+def token_f1(a: Column, b: Column) -> Column:
+    """Overlap of two bags of tokens, within the row; 0 where one is empty."""
+    return let(a, lambda x: let(b, lambda y: F.when((F.size(x) > 0) & (F.size(y) > 0), 2 * _bag_overlap(x, y) / (F.size(x) + F.size(y))).otherwise(0.0)))
+
+
 def lexical_f1(pairs: DataFrame, key: list[str], answer: str, reference: str) -> DataFrame:
-    """key, lexical_f1: overlap of the bags of tokens. Both sides are counted in one aggregate by token."""
-    a = pairs.select(*key, F.size(lexical_tokens(F.col(answer))).alias("_a"), F.size(lexical_tokens(F.col(reference))).alias("_b"), F.explode_outer(F.concat(F.transform(lexical_tokens(F.col(answer)), lambda t: F.struct(t.alias("t"), F.lit(0).alias("s"))), F.transform(lexical_tokens(F.col(reference)), lambda t: F.struct(t.alias("t"), F.lit(1).alias("s"))))).alias("_x"))
-    counts = a.groupBy(*key, "_a", "_b", F.col("_x.t").alias("_t")).agg(F.count_if(F.col("_x.s") == 0).alias("_l"), F.count_if(F.col("_x.s") == 1).alias("_r"))
-    both = counts.groupBy(*key, "_a", "_b").agg(F.sum(F.least("_l", "_r")).alias("_both"))
-    f1 = F.when((F.col("_a") > 0) & (F.col("_b") > 0), 2 * F.col("_both") / (F.col("_a") + F.col("_b"))).otherwise(0.0)
-    return both.select(*key, f1.alias("lexical_f1"))
+    """key, lexical_f1: overlap of the bags of tokens, each pair within its row."""
+    return pairs.select(*key, token_f1(lexical_tokens(F.col(answer)), lexical_tokens(F.col(reference))).alias("lexical_f1"))
 
 
 def repetition(previous: Column, current: Column, n: int = 10) -> Column:
