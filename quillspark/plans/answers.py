@@ -13,6 +13,7 @@ from .agent import _any, _csv
 from .records import LEX
 
 PER = 12  # pieces of evidence of a request
+SPAN = 8  # turns of a conversation that are joined at once
 TEXTS = ("番茄富含维生素，适合凉拌。", "番茄富含维生素，适合凉拌！", "花生含有脂肪", "", "每百克鸡蛋含蛋白质十三克", "the quick brown fox jumps over the lazy dog")
 PREDICATES = ("含有", "相克", "pairs_with")
 INTENTS = ("diet_advice", "disease_diet", "safety_check", "general")
@@ -131,7 +132,10 @@ def e14_e21_examples(spark: SparkSession, sf: str) -> DataFrame:
 
 def e5_context_use(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
-    pairs = c.select("conv_id", "turn", "text").join(c.select("conv_id", F.col("turn").alias("other"), F.col("text").alias("context")), "conv_id").where("other <> turn and abs(other - turn) <= 2")
+    # turns meet in spans of SPAN, an answer in those of the turns two before and two after it, so a long conversation is no square
+    near = F.array_distinct(F.array(*(F.floor((F.col("turn") + d) / SPAN) for d in (-2, 2))))
+    contexts = c.select("conv_id", F.floor(F.col("turn") / SPAN).alias("span"), F.col("turn").alias("other"), F.col("text").alias("context"))
+    pairs = c.select("conv_id", "turn", "text", F.explode(near).alias("span")).join(contexts, ["conv_id", "span"]).where("other <> turn and abs(other - turn) <= 2")
     return E.context_use(pairs, ["conv_id", "turn"], "other", "text", "context").select("conv_id", "turn", F.round("context_utilization", 6).alias("context_utilization"))
 
 
