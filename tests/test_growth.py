@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import evaluation
+from quillspark.operators import evaluation, text
 
 
 def plan(df):
@@ -39,3 +39,10 @@ def test_context_use_of_a_long_conversation(spark, tmp_path):
 
     want = {(c, t): best(c, t) for c, t, *_ in turns if t is not None}
     assert found == {k: v for k, v in want.items() if v is not None}
+
+
+def test_garbled_characters_are_those_outside_valid(spark):
+    c = spark.range(1, 0x10000).where("id < 55296 or id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    assert c.where(~F.col("c").eqNullSafe(F.regexp_replace("c", text.GARBLED, "")) != F.col("c").rlike("[^" + text.VALID[1:])).count() == 0
+    # one class test for one-byte characters: no ranges of them are left in the pattern
+    assert "a-z" not in text.GARBLED and "0-9" not in text.GARBLED
