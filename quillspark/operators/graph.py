@@ -57,7 +57,7 @@ def _ends(triples: DataFrame, wanted: DataFrame, most: int) -> DataFrame:
     """entity, the triple and its confidence: the first `most` triples with each wanted entity at either end, in order of
     subject, predicate and object. No request can use more of an entity, and so a common entity is `most` rows."""
     e = wanted.select("entity").distinct()
-    both = [triples.join(e, triples[c] == e["entity"]).select("entity", *SPO, "confidence") for c in ("subject", "object")]
+    both = [triples.join(e.hint("merge"), triples[c] == e["entity"]).select("entity", *SPO, "confidence") for c in ("subject", "object")]
     once = both[0].union(both[1]).groupBy("entity", *SPO).agg(F.max("confidence").alias("confidence"))
     return once.withColumn("_r", F.row_number().over(Window.partitionBy("entity").orderBy(*SPO))).where(F.col("_r") <= most).drop("_r")
 
@@ -70,14 +70,15 @@ def relations_of_requests(triples: DataFrame, requests: DataFrame, expand_by: tu
     asked = requests.select("request", "entity").where("entity is not null").distinct()
 
     def first(wanted: DataFrame, most: int) -> DataFrame:
-        found = wanted.join(_ends(triples, wanted, most), "entity").groupBy("request", *SPO).agg(F.max("confidence").alias("confidence"))
+        # files of many like rows are small beside the rows: a broadcast by their size would not fit the driver
+        found = wanted.hint("merge").join(_ends(triples, wanted, most), "entity").groupBy("request", *SPO).agg(F.max("confidence").alias("confidence"))
         return found.withColumn("_r", F.row_number().over(Window.partitionBy("request").orderBy(*SPO))).where(F.col("_r") <= most).drop("_r")
 
     near = cut(first(asked, direct))
     ends = near.where(F.col("predicate").isin(*(expand_by or EXPAND))).select("request", F.explode(F.array("subject", "object")).alias("entity")).distinct()
-    other = ends.join(asked, ["request", "entity"], "left_anti")
+    other = ends.join(asked.hint("merge"), ["request", "entity"], "left_anti")
     other = other.withColumn("_r", F.row_number().over(Window.partitionBy("request").orderBy("entity"))).where(F.col("_r") <= expand).drop("_r")
-    far = first(cut(other), expanded).join(near, ["request", *SPO], "left_anti")
+    far = first(cut(other), expanded).join(near.hint("merge"), ["request", *SPO], "left_anti")
     return near.withColumn("hop", F.lit(0)).unionByName(far.withColumn("hop", F.lit(1)))
 
 

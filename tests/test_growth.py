@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import evaluation, text
+from quillspark.operators import evaluation, graph, text
 
 
 def plan(df):
@@ -46,3 +46,11 @@ def test_garbled_characters_are_those_outside_valid(spark):
     assert c.where(~F.col("c").eqNullSafe(F.regexp_replace("c", text.GARBLED, "")) != F.col("c").rlike("[^" + text.VALID[1:])).count() == 0
     # one class test for one-byte characters: no ranges of them are left in the pattern
     assert "a-z" not in text.GARBLED and "0-9" not in text.GARBLED
+
+
+def test_relations_of_requests_broadcast_no_rows_of_requests(spark):
+    t = spark.createDataFrame([(f"c{i}", "located_in", f"n{i % 3}", 0.5) for i in range(30)], "subject string, predicate string, object string, confidence double")
+    r = spark.createDataFrame([(i, e) for i in range(30) for e in (f"c{i}", f"n{i % 3}")], "request long, entity string")
+    df = graph.relations_of_requests(t, r, ("located_in",))
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()  # files of requests are far smaller than their rows
+    assert df.where("hop = 0").count() == 300
