@@ -311,28 +311,29 @@ def _codes(sentence: Column) -> Column:
     tokens = F.regexp_extract_all(sentence, F.lit("([A-Za-z]+|[一-鿿])"), F.lit(1))
 
     def code(t: Column) -> Column:
-        return let(F.md5(t), lambda h: (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % DIM) * 2 + F.conv(F.substring(h, 9, 2), 16, 10).cast("long") % 2)
+        # eight digits for the place, two for the sign: one number
+        return let(F.conv(F.substring(F.md5(t), 1, 10), 16, 10).cast("long"), lambda h: (F.shiftright(h, 8) % DIM) * 2 + h % 2)
 
     return F.transform(F.when(F.size(tokens) > 0, tokens).otherwise(F.array(sentence)), code)
 
 
-def _similarity(a: Column, b: Column) -> Column:
-    """Cosine of two lists of codes: both are put in one order, so that equal hashes stand together, and summed in one pass."""
-    both = F.array_sort(F.concat(F.transform(a, lambda c: c * 2), F.transform(b, lambda c: c * 2 + 1)))
+def _square(codes: Column) -> Column:
+    """The squared length of the vector of a list of codes: in order, equal hashes stand together and are summed in one pass."""
     zero = F.lit(0).cast("long")
-    start = F.struct(F.lit(-1).cast("long").alias("at"), zero.alias("x"), zero.alias("y"), zero.alias("xy"), zero.alias("xx"), zero.alias("yy"))
+    start = F.struct(F.lit(-1).cast("long").alias("at"), zero.alias("x"), zero.alias("xx"))
 
     def add(s: Column, c: Column) -> Column:
-        at, sign, second = F.shiftright(c, 2), 1 - 2 * (F.shiftright(c, 1) % 2), c % 2 == 1
-        same = s["at"] == at
-        x, y = F.when(same, s["x"]).otherwise(zero), F.when(same, s["y"]).otherwise(zero)
-        # adding d to x changes x^2 by d (2 x + d), and x y by d y
-        return F.struct(
-            at.alias("at"), F.when(second, x).otherwise(x + sign).alias("x"), F.when(second, y + sign).otherwise(y).alias("y"),
-            (s["xy"] + sign * F.when(second, x).otherwise(y)).alias("xy"), F.when(second, s["xx"]).otherwise(s["xx"] + sign * (2 * x + sign)).alias("xx"), F.when(second, s["yy"] + sign * (2 * y + sign)).otherwise(s["yy"]).alias("yy"),
-        )
+        at, sign = F.shiftright(c, 1), 1 - 2 * (c % 2)
+        # adding d to x changes x^2 by d (2 x + d)
+        return let(F.when(s["at"] == at, s["x"]).otherwise(zero), lambda x: F.struct(at.alias("at"), (x + sign).alias("x"), (s["xx"] + sign * (2 * x + sign)).alias("xx")))
+
+    return F.aggregate(F.sort_array(codes), start, add, lambda s: s["xx"])
 
-    return F.aggregate(both, start, add, lambda s: F.coalesce(F.try_divide(s["xy"].cast("double"), F.sqrt((s["xx"] * s["yy"]).cast("double"))), F.lit(0.0)))
+
+def _similarity(a: Column, b: Column) -> Column:
+    """Cosine of two sentences, struct(c: codes, xx: their squared length): |a + b|^2 is |a|^2 + |b|^2 + 2 ab."""
+    product = (_square(F.concat(a["c"], b["c"])) - a["xx"] - b["xx"]) / 2
+    return F.coalesce(F.try_divide(product, F.sqrt((a["xx"] * b["xx"]).cast("double"))), F.lit(0.0))
 
 
 def _runs(items: Column, begins: Column, sep: str) -> Column:
@@ -369,7 +370,7 @@ def similarity_parts(text: Column, least: int = LEAST_TOKENS, most: int = MOST_T
         return F.when(n > most, F.concat(parts, _cut_up(group, most))).when((n < least) & (F.size(parts) > 0), _with_last(parts, group)).otherwise(F.concat(parts, F.array(group)))
 
     def of(found: Column) -> Column:
-        codes = F.transform(found, _codes)
+        codes = F.transform(found, lambda s: let(_codes(s), lambda c: F.struct(c.alias("c"), _square(c).alias("xx"))))
         begins = let(codes, lambda c: F.transform(c, lambda x, i: (i == 0) | (_similarity(F.get(c, i - 1), x) < similarity)))
         parts = F.aggregate(_runs(found, begins, ""), F.array().cast("array<string>"), add)
         return let(parts, lambda p: F.transform(p, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.array_join(let(sentence_list(F.get(p, i - 1)), lambda s: _last_within(s, overlap)), ""), x))))
