@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import cut
@@ -19,6 +19,7 @@ from . import graph, routing
 from . import retrieval as R
 from . import sparse_index as S
 from . import vector_index as V
+from .blocks import let
 
 TOP, READ, MOST_NEW, ROWS, DIM = 15, 5, 8, 50, 384
 NAMES_END = "\x1f"
@@ -26,8 +27,17 @@ NAMES_END = "\x1f"
 
 def dense_vectors(texts: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
     """key and vector, the hashed dense vector as an array; texts without tokens have none."""
-    parts = R.hashed_dense(texts, key, text, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("idx").cast("int"), "value"))).alias("m"))
-    return parts.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.get(F.array(F.try_element_at("m", i)), F.lit(0)), F.lit(0.0))).alias("vector"))
+
+
+    def filled(v: Column) -> Column:
+        # components are in order: each with the zeros before it, then those after the last
+        def zeros(n: Column) -> Column:
+            return F.array_repeat(F.lit(0.0), n.cast("int"))
+
+        each = F.transform(v, lambda x, i: F.concat(zeros(x["idx"] - F.coalesce(F.get(v, i - 1)["idx"], F.lit(-1)) - 1), F.array(x["value"])))
+        return F.when(F.size(v) > 0, F.concat(F.flatten(each), zeros(dim - 1 - F.element_at(v, -1)["idx"])))
+
+    return texts.select(key, let(R.hashed_vector(F.col(text), dim), filled).alias("vector")).where("vector is not null")
 
 
 @dataclass
@@ -48,13 +58,18 @@ class Searcher:
         chunks = cut(chunks.select(F.col("doc").cast("long").alias("doc"), "text"))
         sparse = S.create(chunks.sparkSession)
         S.add(sparse, chunks, "doc", "text")
-        dense = V.build(dense_vectors(chunks, "doc", "text"), "doc", "vector", "l2", cells)
-        return cls(sparse, dense, chunks, cut(triples), cut(facts), **kw)
+        # written: the filters of build() would each make the vectors anew
+        dense = V.build(cut(dense_vectors(chunks, "doc", "text")), "doc", "vector", "l2", cells)
+        # of equal triples a search uses the most confident alone
+        once = triples.groupBy(*graph.SPO).agg(F.max("confidence").alias("confidence"))
+        return cls(sparse, dense, chunks, cut(once), cut(facts), **kw)
 
     def semantic(self, asked: DataFrame) -> DataFrame:
         """what, scores (best first) and names of texts (what: the search text)."""
         q = cut(asked.select("what", F.xxhash64("what").alias("query")))
-        near = V.search(self.dense, dense_vectors(q, "query", "what"), "query", "vector", 2 * TOP, exact=True)
+        vectors = cut(dense_vectors(q, "query", "what"))
+        few = vectors.limit(V.QUERY_ROWS + 1).count() <= V.QUERY_ROWS
+        near = V.scan(self.dense, vectors, "query", "vector", 2 * TOP) if few else V.search(self.dense, vectors, "query", "vector", 2 * TOP, exact=True)
         sparse = S.search(self.sparse, q, "query", "what", 2 * TOP)
         best = cut(R.hybrid_all(near.select("query", F.col("key").alias("doc"), F.col("value").alias("distance")), sparse, TOP))
         lists = best.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"]).alias("scores"))
@@ -118,7 +133,16 @@ class Searcher:
         return out.select(*states.columns)
 
 
-def run(requests: DataFrame, searcher: Searcher) -> DataFrame:
-    """routing.run() with what the searcher finds; each step's states are written."""
-    return routing.run(requests, searcher.retrieve, cut)
+OWN = ("intent", "query", "entities", "planned")
+
+
+def run(requests: DataFrame, searcher: Searcher, columns: dict[str, Column] | None = None) -> DataFrame:
+    """routing.run() with what the searcher finds; each step's states are written. What happens to a request follows from
+    OWN alone, so requests that are equal in them are one state, and get its end back. columns: what is wanted of the end
+    states, beside the requests' other columns; all of them if None."""
+    asked = cut(requests.withColumn("_own", F.struct(*OWN)).drop(*OWN))
+    ended = routing.run(asked.select("_own").distinct().select("_own", *(F.col("_own")[c].alias(c) for c in OWN)), searcher.retrieve, cut)
+    order = [c for c in (*requests.columns, *ended.columns) if c != "_own"] if columns is None else [*asked.drop("_own").columns, *columns]
+    wanted = ended if columns is None else ended.select("_own", *(v.alias(k) for k, v in columns.items()))
+    return asked.join(wanted, "_own").select(*dict.fromkeys(order))
 

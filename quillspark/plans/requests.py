@@ -12,6 +12,7 @@ from ..operators import graph as G
 from ..operators import memory as M
 from ..operators import planning as P
 from ..operators import stored as W
+from ..shared import cut
 from ..sources.samples import notes, requests
 from ..sources.tables import TRIPLES_SQL, table, triples
 
@@ -74,15 +75,15 @@ def f1_f14_agent_run(spark: SparkSession, sf: str) -> DataFrame:
     """Questions to ranked evidence over the notes: both indexes, the relations and the facts that the notes hold, by the
     plan that rules give where no model answers."""
     chunks = notes(spark, sf)
-    facts = T.extract_facts(chunks, "doc_id", "text")
+    facts = cut(T.extract_facts(chunks, "doc_id", "text"))
     stated = facts.select(F.col("entity").alias("subject"), F.col("attr").alias("predicate"), F.col("value").alias("object"), "confidence")
     told = T.text_triples(chunks, "doc_id", "text").select("subject", "predicate", "object", F.lit(0.7).alias("confidence"))
     searcher = A.Searcher.over(chunks.select(F.col("doc_id").alias("doc"), "text"), stated.union(told), facts.select("entity"))
     r = requests(spark, sf).withColumn("p", P.fallback_plan(F.col("query")))
     r = r.select("request_id", "query", "p.intent", F.transform(P.entities(F.col("query")), lambda x: x["name"]).alias("entities"), F.col("p.routes").alias("planned"))
-    s = A.run(r, searcher)
-    lists = ("entities", "executed", "fallbacks", "errors")
-    return s.select("request_id", "intent", "next_route", "decision", "steps", *(F.array_join(x, ",").alias(x) for x in lists), F.size("semantic").alias("n_semantic"), F.round(F.array_max("semantic"), 6).alias("best"), F.size("relation_texts").alias("n_relations"), "sql_rows")
+    own = {x: F.col(x) for x in ("intent", "next_route", "decision", "steps")} | {x: F.array_join(x, ",") for x in ("entities", "executed", "fallbacks", "errors")}
+    own |= {"n_semantic": F.size("semantic"), "best": F.round(F.array_max("semantic"), 6), "n_relations": F.size("relation_texts"), "sql_rows": F.col("sql_rows")}
+    return A.run(r, searcher, own).select("request_id", *own)
 
 
 SPO = "subject, predicate, object"

@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import evaluation, graph, retrieval, sparse_index, text
+from quillspark.operators import agent_search, evaluation, graph, retrieval, routing, sparse_index, text, vector_index
 
 
 def plan(df):
@@ -83,3 +83,43 @@ def test_bm25_and_vectors_count_within_the_row(spark):
     # texts are tokenised once, before the plan of the weights
     assert "regexp_extract_all" not in plan(retrieval.bm25(docs, "id", "text"))
     assert {(r.id, r.token) for r in retrieval.bm25(docs, "id", "text").collect()} == {(1, "a"), (1, "b"), (3, "b"), (3, "番"), (3, "茄"), (3, "番茄")}
+
+
+def test_equal_requests_are_run_once(spark, monkeypatch):
+    kinds = [("general", "a", ["x"], ["semantic"]), ("general", None, ["x"], ["semantic"]), ("general", "a", [], ["semantic"])]
+    r = spark.createDataFrame([(i, *kinds[i % 3]) for i in range(60)], "request_id long, intent string, query string, entities array<string>, planned array<string>")
+    ran = []
+
+    def run(requests, retrieve, cut):
+        states = routing.start(requests)
+        ran.append(states.count())
+        return cut(states.withColumn("entities", F.array(F.lit("new"))))
+
+    class Found:
+        retrieve = None
+
+    monkeypatch.setattr(agent_search.routing, "run", run)
+    out = agent_search.run(r, Found())
+    assert ran == [3]
+    assert sorted((x.request_id, x.query, x.entities) for x in out.fillna("-", ["query"]).collect()) == [(i, kinds[i % 3][1] or "-", ["new"]) for i in range(60)]
+    assert agent_search.run(r, Found(), {"steps": F.col("steps") + 1}).columns == ["request_id", "steps"]
+
+
+def test_few_queries_scan_the_index_without_a_shuffle_of_its_rows(spark):
+    v = spark.createDataFrame([(i, [float(i * i % 17), float(i % 5), 1.0]) for i in range(200)] + [(300, None)], "id long, v array<double>")
+    q = spark.createDataFrame([(0, [3.0, 1.0, 1.0]), (1, [0.0, 0.0, 0.0]), (2, [1.0]), (3, None)], "id long, v array<double>")
+    for metric in ("l2", "cosine"):
+        index = vector_index.build(v, "id", "v", metric, cells=5)
+        few, cells = (f(index, q, "id", "v", 7, **kw).collect() for f, kw in ((vector_index.scan, {}), (vector_index.search, {"exact": True})))
+        assert sorted(few) == sorted(cells) and few
+    assert "CoGroup" not in plan(vector_index.scan(index, q, "id", "v", 7))
+
+
+def test_dense_vectors_hold_every_component(spark):
+    d = spark.createDataFrame([(1, "a b b 番茄"), (2, ""), (3, None), (4, "x")], "id long, text string")
+    got = {r.id: list(r.vector) for r in agent_search.dense_vectors(d, "id", "text").collect()}
+    want = {}
+    for r in retrieval.hashed_dense(d, "id", "text").collect():
+        want.setdefault(r.id, [0.0] * 384)[r.idx] = r.value
+    assert got == want and set(got) == {1, 4}
+    assert "Aggregate" not in plan(agent_search.dense_vectors(d, "id", "text"))
