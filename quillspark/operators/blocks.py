@@ -13,7 +13,8 @@ _START = "\x01"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?d)^\s+|\s+$", "")
+    """text without the characters of \\s at its ends."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def let(value: Column, use) -> Column:
@@ -26,24 +27,34 @@ def let(value: Column, use) -> Column:
 def islands(units: Column, starts: Column, sep: str = "\n") -> Column:
     """Joins units into runs that begin where starts is true. A unit that holds \\x01 right after a separator would
     begin a run of its own."""
-    tagged = F.zip_with(units, starts, lambda u, s: F.when(s, F.concat(F.lit(_START), u)).otherwise(u))
-    joined = F.regexp_replace(F.array_join(tagged, sep), f"^{_START}", "")
-    return F.when(F.size(units) > 0, F.split(joined, sep + _START, -1)).otherwise(F.array().cast("array<string>"))
+
+
+    def runs(tagged: Column) -> Column:
+        joined = F.regexp_replace(F.array_join(tagged, sep), f"^{_START}", "")
+        return F.when(F.size(tagged) > 0, F.split(joined, sep + _START, -1)).otherwise(F.array().cast("array<string>"))
+
+    return let(F.zip_with(units, starts, lambda u, s: F.when(s, F.concat(F.lit(_START), u)).otherwise(u)), runs)
 
 
 def block_list(text: Column) -> Column:
     """array(struct(kind, content)) of text, list and table blocks. A blank line ends a block; a heading starts one and
     is a part of it; items of a list begin with "- "; a table has two lines at least, a single one is left out."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-
     def kind(x: Column) -> Column:
         return F.when(x.rlike(TABLE), "T").when(x.rlike(HEADING), "H").when(x.rlike(LIST), "L").when(x.rlike(BLANK), "B").otherwise("X")
 
-    kinds = F.transform(lines, kind)
-    before = F.concat(F.array(F.lit("B")), F.slice(kinds, F.lit(1), F.size(kinds) - 1))
-    starts = F.zip_with(kinds, before, lambda k, p: (k == "H") | ~((k == p) | ((k == "X") & (p == "H"))))
-    rows = F.filter(F.zip_with(F.zip_with(kinds, lines, lambda k, x: F.struct(k.alias("k"), x.alias("x"))), starts, lambda a, s: F.struct(a["k"].alias("k"), a["x"].alias("x"), s.alias("s"))), lambda r: r["k"] != "B")
-    runs = islands(F.transform(rows, lambda r: F.when(r["s"], F.concat(r["k"], r["x"])).otherwise(r["x"])), F.transform(rows, lambda r: r["s"]))
+    def tagged(rows: Column) -> Column:
+        """Lines without the blank ones, each with whether it begins a block and, if so, with its letter before it."""
+
+        def row(r: Column, i: Column) -> Column:
+            k, p = r["k"], F.when(i == 0, "B").otherwise(F.get(rows, i - 1)["k"])
+            starts = (k == "H") | ~((k == p) | ((k == "X") & (p == "H")))
+            return F.when(k != "B", let(starts, lambda s: F.struct(s.alias("s"), F.when(s, F.concat(k, r["x"])).otherwise(r["x"]).alias("x"))))
+
+        return F.array_compact(F.transform(rows, row))
+
+    # each step is bound once: a lambda evaluates what it names again for every use
+    rows = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.struct(kind(x).alias("k"), x.alias("x")))
+    runs = let(let(rows, tagged), lambda t: islands(F.transform(t, lambda r: r["x"]), F.transform(t, lambda r: r["s"])))
 
     def block(run: Column) -> Column:
         letter, body = F.substring(run, 1, 1), F.substring(run, 2, 2**31 - 1)

@@ -55,7 +55,7 @@ def _texts(blocks: Column, *kinds: str) -> Column:
 
 
 def _or_whole(chunks: Column, body: Column, kind: str, label: Column) -> Column:
-    return F.when(F.size(chunks) > 0, chunks).otherwise(_present([_chunk(kind, body, label)]))
+    return let(chunks, lambda c: F.when(F.size(c) > 0, c).otherwise(_present([_chunk(kind, body, label)])))
 
 
 def recipe_name(blocks: Column) -> Column:
@@ -67,23 +67,31 @@ def recipe_name(blocks: Column) -> Column:
 
 def recipe_steps(blocks: Column) -> Column:
     """Steps begin at blocks and lines with a step's mark; what stands before the first one is a step too."""
+    return _steps(_texts(blocks))
+
+
+def _steps(texts: Column) -> Column:
+    mark = RECIPE_STEP.replace("^", r"^\s*", 1)
 
     def units(text: Column) -> Column:
         lines = F.filter(F.transform(F.split(text, "\n", -1), strip), lambda x: x != "")
-        return F.when(strip(text).rlike(RECIPE_STEP), F.array(text)).otherwise(lines)
+        return F.when(text.rlike(mark), F.array(text)).otherwise(lines)
 
-    all_units = F.flatten(F.transform(_texts(blocks), units))
-    return F.filter(F.transform(islands(all_units, F.transform(all_units, lambda u: strip(u).rlike(RECIPE_STEP))), strip), lambda x: x != "")
+    runs = let(F.flatten(F.transform(texts, units)), lambda every: islands(every, F.transform(every, lambda u: u.rlike(mark))))
+    return F.filter(F.transform(runs, strip), lambda x: x != "")
 
 
 def recipe_chunks(blocks: Column, body: Column, name: Column) -> Column:
     """The basics, the ingredients and each step; name: recipe_name(blocks)."""
 
-    def parts(terms) -> Column:
-        return F.array_join(F.filter(_texts(blocks), lambda t: any_of(t, terms)), "\n\n")
+    def made(texts: Column) -> Column:
+        def parts(terms) -> Column:
+            return F.array_join(F.filter(texts, lambda t: any_of(t, terms)), "\n\n")
 
-    steps = F.transform(recipe_steps(blocks), lambda s: _chunk("recipe_step", s, name))
-    return _or_whole(F.concat(_present([_chunk("recipe_basic", parts(RECIPE_INFO), name), _chunk("recipe_ingredients", parts(RECIPE_INGREDIENTS), name)]), steps.cast(_CHUNK)), body, "recipe_full", name)
+        steps = F.transform(_steps(texts), lambda s: _chunk("recipe_step", s, name))
+        return F.concat(_present([_chunk("recipe_basic", parts(RECIPE_INFO), name), _chunk("recipe_ingredients", parts(RECIPE_INGREDIENTS), name)]), steps.cast(_CHUNK))
+
+    return _or_whole(let(_texts(blocks), made), body, "recipe_full", name)
 
 
 def nutrient_parts(text: Column) -> Column:
@@ -114,16 +122,16 @@ def medical_label(body: Column) -> Column:
 
 def medical_chunks(blocks: Column, body: Column, label: Column) -> Column:
     """A chunk for each kind of advice; label: medical_label(body)."""
-    texts = F.transform(F.filter(blocks, lambda b: b["kind"] == "text"), lambda b: b["content"])
 
     def section(t: Column) -> Column:
         return F.coalesce(*(F.when(any_of(t, terms), k) for k, terms in ADVICE.items()), F.lit("general"))
 
-    def joined(k: str) -> Column:
-        return F.array_join(F.filter(texts, lambda t: section(t) == k), "\n\n")
+    texts = F.transform(F.filter(blocks, lambda b: b["kind"] == "text"), lambda b: F.struct(section(b["content"]).alias("k"), b["content"].alias("t")))
+
+    def made(found: Column) -> Column:
+        return _present([_chunk(f"medical_{k}", F.array_join(F.transform(F.filter(found, lambda x: x["k"] == k), lambda x: x["t"]), "\n\n"), label) for k in (*ADVICE, "general")])
 
-    made = [_chunk(f"medical_{k}", joined(k), label) for k in (*ADVICE, "general")]
-    return _or_whole(_present(made), body, "medical_general", label)
+    return _or_whole(let(texts, made), body, "medical_general", label)
 
 
 def user_id(text: Column, doc: Column) -> Column:
@@ -133,24 +141,26 @@ def user_id(text: Column, doc: Column) -> Column:
 
 def personal_chunks(blocks: Column, body: Column, label: Column) -> Column:
     """A section lasts until a block names another one; the first is the profile. label: user_id(body, ...)."""
-    texts = F.transform(F.filter(blocks, lambda b: b["kind"] == "text"), lambda b: b["content"])
 
     def mark(t: Column) -> Column:
         return F.coalesce(*(F.when(any_of(t, terms), k[0]) for k, terms in PERSONAL.items()), F.lit(""))
 
-    runs = islands(F.transform(texts, lambda t: F.concat(F.when(mark(t) == "", F.lit("")).otherwise(F.concat(mark(t), F.lit("\x02"))), t)), F.transform(texts, lambda t: mark(t) != ""))
+    texts = F.transform(F.filter(blocks, lambda b: b["kind"] == "text"), lambda b: F.struct(mark(b["content"]).alias("m"), b["content"].alias("t")))
+    joined = let(texts, lambda found: islands(F.transform(found, lambda x: F.when(x["m"] == "", x["t"]).otherwise(F.concat(x["m"], F.lit("\x02"), x["t"]))), F.transform(found, lambda x: x["m"] != "")))
 
-    def of(letter: str) -> Column:
+    def of(runs: Column, letter: str) -> Column:
         held = F.filter(runs, lambda r: F.substring(r, 1, 2) == f"{letter}\x02") if letter else F.filter(runs, lambda r: F.substring(r, 2, 1) != "\x02")
         return F.array_join(F.transform(held, lambda r: F.substring(r, 3, 2**31 - 1)) if letter else held, "\n")
 
-    made = [_chunk(f"personal_{k}", of("" if k == "profile" else k[0]), label) for k in ("profile", "preference", "allergy", "health")]
-    return _or_whole(_present(made), body, "personal_profile", label)
+    def made(runs: Column) -> Column:
+        return _present([_chunk(f"personal_{k}", of(runs, "" if k == "profile" else k[0]), label) for k in ("profile", "preference", "allergy", "health")])
+
+    return _or_whole(let(joined, made), body, "personal_profile", label)
 
 
 def first_date(text: Column) -> Column:
     """The first date of the first form that occurs; of "yesterday" and the like only the first character."""
-    return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 1 if "天" in p else 0), F.lit("")) for p in DATES))
+    return F.coalesce(*(let(F.regexp_extract(text, p, 1 if "天" in p else 0), lambda d: F.nullif(d, F.lit(""))) for p in DATES))
 
 
 def meals(text: Column) -> Column:
@@ -160,11 +170,13 @@ def meals(text: Column) -> Column:
 def daily_chunks(blocks: Column, label: Column) -> Column:
     """The blocks of each date, in order; those without one belong to label, the document's first date or today. Blocks
     are sorted by date and joined in runs, so many dates cost no more than few."""
-    dated = F.filter(F.transform(blocks, lambda b, i: F.struct(F.coalesce(first_date(block_text(b, rule=False)), label).alias("d"), i.alias("i"), block_text(b, rule=False).alias("t"))), lambda r: r["t"] != "")
-    rows = F.array_sort(dated)
-    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(F.slice(rows, F.lit(1), F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: r["d"]))
-    marked = F.filter(F.zip_with(rows, before, lambda r, p: F.struct((~r["d"].eqNullSafe(p)).alias("s"), r["d"].alias("d"), r["t"].alias("t"))), lambda r: r["d"].isNotNull())
-    runs = islands(F.transform(marked, lambda r: F.when(r["s"], F.concat(r["d"], F.lit("\x02"), r["t"])).otherwise(r["t"])), F.transform(marked, lambda r: r["s"]))
+    dated = F.transform(blocks, lambda b, i: let(block_text(b, rule=False), lambda t: F.struct(F.coalesce(first_date(t), label).alias("d"), i.alias("i"), t.alias("t"))))
+
+    def marked(rows: Column) -> Column:
+        return F.transform(rows, lambda r, i: F.struct((~r["d"].eqNullSafe(F.get(rows, i - 1)["d"])).alias("s"), r["d"].alias("d"), r["t"].alias("t")))
+
+    rows = let(F.sort_array(F.filter(dated, lambda r: (r["t"] != "") & r["d"].isNotNull())), marked)
+    runs = let(rows, lambda found: islands(F.transform(found, lambda r: F.when(r["s"], F.concat(r["d"], F.lit("\x02"), r["t"])).otherwise(r["t"])), F.transform(found, lambda r: r["s"])))
     return F.transform(runs, lambda x: _chunk("daily_record", F.regexp_replace(x, r"(?s)^[^\x02]*\x02", ""), F.substring_index(x, "\x02", 1))).cast(_CHUNK)
 
 

@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import agent_search, evaluation, graph, retrieval, routing, sparse_index, text, vector_index
+from quillspark.operators import agent_search, blocks, chunks, evaluation, graph, retrieval, routing, sparse_index, text, vector_index
 
 
 def plan(df):
@@ -123,3 +123,19 @@ def test_dense_vectors_hold_every_component(spark):
         want.setdefault(r.id, [0.0] * 384)[r.idx] = r.value
     assert got == want and set(got) == {1, 4}
     assert "Aggregate" not in plan(agent_search.dense_vectors(d, "id", "text"))
+
+
+def test_blocks_and_chunks_evaluate_each_step_once(spark):
+    d = spark.createDataFrame([(1, "# a\n- b")], "id long, text string").withColumn("blocks", blocks.block_list(F.col("text")))
+    assert plan(d).count(blocks.TABLE) == 1
+    b, label = F.col("blocks"), F.lit("x")
+    # a pattern or a term of each chunker, and how often it is needed
+    for made, mark, times in ((chunks.recipe_chunks(b, label, label), "步?骤?", 2 * 2), (chunks.daily_chunks(b, label), "[0-9]{8}", 1), (chunks.personal_chunks(b, label, label), "不耐受", 1), (chunks.medical_chunks(b, label, label), "不可", 1)):
+        assert plan(spark.createDataFrame([], "blocks array<struct<kind:string,content:string>>").select(made.alias("c"))).count(mark) <= times
+
+
+def test_strip_takes_what_the_pattern_takes(spark):
+    chars = [chr(c) for c in (*range(1, 40), 0x85, 0xA0, 0x3000, 0x2028)]
+    rows = [(a + b + "x" + b + a,) for a in chars for b in chars] + [("",), (" \n",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    assert df.where(~blocks.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?d)^\s+|\s+$", ""))).count() == 0
