@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_list, document_text, let, strip, table_headers, title
-from .planning import strings
+from .planning import any_of, strings
 from .text import occurrences
 
 # fixed values: categories in order, their terms, table headers and patterns, and the limits
@@ -31,13 +31,20 @@ STRONG = {
     "medical": r"(诊疗指南|临床指南|疾病|禁忌|高血压|糖尿病|痛风|肾病|药物)",
 }
 STEP = r"(步骤\s*[0-9]|第\s*[0-9]+\s*步|[0-9]+[.、]\s*(?:将|把|用|加|倒|煮|炒))"
+#: no match of a pattern is without one of these
+SIGNS = {
+    "personal": ("姓名", "年龄", "身高", "体重", "BMI", "过敏史", "过敏源"),
+    "recipe": ("步骤", "第", "将", "把", "加入", "倒入", "煮", "炒"),
+    "medical": ("诊疗指南", "临床指南", "疾病", "禁忌", "高血压", "糖尿病", "痛风", "肾病", "药物"),
+}
+STEP_SIGNS = ("步骤", "第", "将", "把", "用", "加", "倒", "煮", "炒")
 LEAST, SECOND, MODEL_BELOW, MARGIN, MODEL_CHARS = 0.30, 0.2, 0.45, 2, 100
 #: order of the categories that only headers or only the structure score
 _HEADER_ORDER, _STRUCTURE_ORDER = tuple(HEADERS), ("nutrition", "daily", "recipe")
 
 
 def strong_category(text: Column) -> Column:
-    return F.coalesce(*(F.when(text.rlike(p), k) for k, p in STRONG.items()))
+    return F.coalesce(*(F.when(any_of(text, SIGNS[k]) & text.rlike(p), k) for k, p in STRONG.items()))
 
 
 def header_score(blocks: Column, category: str) -> Column:
@@ -59,7 +66,7 @@ def _scored(blocks: Column, body: Column, low: Column, strong: Column) -> Column
     n = F.greatest(F.size(blocks), F.lit(1))
     tables = F.size(F.filter(blocks, lambda b: b["kind"] == "table")) / n
     lists = F.size(F.filter(blocks, lambda b: b["kind"] == "list")) / n
-    steps = F.size(F.regexp_extract_all(body, F.lit(STEP), F.lit(1)))
+    steps = F.when(any_of(body, STEP_SIGNS), F.size(F.regexp_extract_all(body, F.lit(STEP), F.lit(1)))).otherwise(0)
     shapes = {"nutrition": F.when(tables > 0.5, 2).otherwise(0), "daily": F.when(tables > 0.5, 1).otherwise(0), "recipe": F.when(lists > 0.3, 2).otherwise(0) + F.when(steps >= 3, 5).otherwise(0)}
 
     def of(i: int, k: str) -> Column:

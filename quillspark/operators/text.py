@@ -66,8 +66,9 @@ def retrieval_chunks(chunks: DataFrame, doc: str, text: str, least: int = 50) ->
 
 
 def occurrences(text: Column, term: str) -> Column:
-    # bytes, which a string knows, not characters, which are counted anew for each term
-    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(term), F.lit("")))) / len(term.encode())).cast("long")
+    # bytes, which a string knows, not characters, which are counted anew for each term; looking a term up is cheaper than
+    # replacing it, and most texts lack most terms
+    return F.when(~F.contains(text, F.lit(term)), F.lit(0).cast("long")).otherwise(((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(term), F.lit("")))) / len(term.encode())).cast("long"))
 
 
 def classify(docs: DataFrame, key: str, text: str, rules: dict[str, list[str]], least: float = 0.3) -> DataFrame:

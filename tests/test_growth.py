@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import agent_search, blocks, chunks, evaluation, graph, retrieval, routing, sparse_index, text, vector_index
+from quillspark.operators import agent_search, blocks, chunks, classes, evaluation, graph, retrieval, routing, sparse_index, text, vector_index
 
 
 def plan(df):
@@ -139,3 +139,15 @@ def test_strip_takes_what_the_pattern_takes(spark):
     rows = [(a + b + "x" + b + a,) for a in chars for b in chars] + [("",), (" \n",), (None,)]
     df = spark.createDataFrame(rows, "t string")
     assert df.where(~blocks.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?d)^\s+|\s+$", ""))).count() == 0
+
+
+def test_terms_are_looked_up_before_patterns_and_replacements(spark):
+    df = spark.createDataFrame([("aXa番茄番",), ("",), (None,), ("番番番",)], "t string")
+    assert [tuple(r) for r in df.select(text.occurrences(F.col("t"), "番"), text.occurrences(F.col("t"), "a")).collect()] == [(2, 2), (0, 0), (None, None), (3, 0)]
+    assert "Contains" in str(df.select(text.occurrences(F.col("t"), "番"))._jdf.queryExecution().optimizedPlan().toString()).replace("contains", "Contains")
+    # a sign stands in every match, as each alternative of the pattern holds one
+    samples = ["步骤 1", "第 2 步", "3. 加入", "4、炒", "姓名，年龄", "BMI 体重", "药物", "肾病", "1. 用", "plain 1. text", ""]
+    d = spark.createDataFrame([(s,) for s in samples], "t string")
+    plain = F.coalesce(*(F.when(F.col("t").rlike(p), k) for k, p in classes.STRONG.items()))
+    assert d.where(~classes.strong_category(F.col("t")).eqNullSafe(plain)).count() == 0
+    assert plan(d.select(classes.strong_category(F.col("t")))).lower().count("contains") >= 20
