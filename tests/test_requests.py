@@ -114,3 +114,19 @@ def test_names_of_a_dictionary_equal_the_nested_loop(spark):
             want |= {(i, n, at[0], len(at))} if at else set()
     assert got == want
     assert dictionary.mentions(spark.createDataFrame(texts, "id int, t string"), "id", "t", spark.createDataFrame([], "n string"), "n").collect() == []
+
+
+def test_places_of_names_are_code_points_also_in_texts_of_several_steps(spark, monkeypatch):
+    texts = [(1, "😀ab😀abc"), (2, "x" * 9 + "abc" + "y" * 8 + "abc😀" + "ab" * 30), (2, "abc")]
+    names = spark.createDataFrame([("ab",), ("abc",), ("😀a",), ("yabc😀ab",)], "n string")
+    t = spark.createDataFrame(texts, "id int, t string")
+    got = {tuple(x) for x in dictionary.mentions(t, "id", "t", names, "n").collect()}
+    assert got == {(1, "ab", 1, 2), (1, "abc", 4, 1), (1, "😀a", 0, 2), (2, "ab", 0, 33), (2, "abc", 0, 3), (2, "😀a", 23, 1), (2, "yabc😀ab", 19, 1)}
+    has, sizes = dictionary.np.ones(1 << 16, bool), [2, 3]
+    whole, in_steps = dictionary._places(next(dictionary._pieces([b"abcdefghij"], 3)), sizes, has), []
+    monkeypatch.setattr(dictionary, "STEP", 4)
+    for group in dictionary._pieces([b"abcdefghij"], 3):
+        chars, at, n, piece = dictionary._places(group, sizes, has)
+        start = dictionary.np.cumsum([0, *(len(g[2]) for g in group)])
+        in_steps += [(int(a - start[g] + group[g][1]), int(k), chars[a : a + k]) for a, k, g in zip(at, n, piece)]
+    assert sorted(in_steps) == sorted((int(a), int(k), whole[0][a : a + k]) for a, k in zip(*whole[1:3]))
