@@ -244,7 +244,8 @@ def store_batch(entries: DataFrame, new: DataFrame, vectors: DataFrame, new_vect
     mine = new_vectors.join(good.select("new_id"), "new_id", "left_semi").select((F.col("new_id") * 2 + 1).alias("key"), "vector")
     every = vectors.join(entries.select("id"), "id", "left_semi").select((F.col("id") * 2).alias("key"), "vector").unionByName(mine)
     found = vector_index.within(vector_index.build(every, "key", "vector", "cosine", cells), mine, "key", "vector", SAME_FROM)
-    same = cut(found.where("query <> key").select(F.expr("query div 2").alias("new_id"), F.expr("key div 2").alias("other"), (F.col("key") % 2 == 1).alias("is_new"), F.col("value").alias("similarity")))
+    # of two new questions the later one is compared with the earlier
+    same = cut(found.where("key % 2 = 0 or key < query").select(F.expr("query div 2").alias("new_id"), F.expr("key div 2").alias("other"), (F.col("key") % 2 == 1).alias("is_new"), F.col("value").alias("similarity")))
     stored = same.where("not is_new").select("new_id").distinct()
     free = good.join(stored, "new_id", "left_anti")
     earlier = same.where("is_new and other < new_id").join(stored, "new_id", "left_anti").join(stored.select(F.col("new_id").alias("other")), "other", "left_anti")

@@ -30,11 +30,13 @@ def r8_relations_of_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Documents as questions and answers with their embeddings, which share their numbers, as vectors."""
+    """Documents as questions and answers (their digests: the texts stay where they are read) with their embeddings, which
+    share their numbers, as vectors."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("answer"), F.array(F.coalesce("source", F.lit(""))).alias("entities"), F.array(F.coalesce("lang", F.lit(""))).alias("tags"), F.array(F.col("doc_id").cast("string")).alias("citations"), F.floor(F.length(F.coalesce("text", F.lit(""))) / 100).alias("evidence"))
     d = d.withColumn("quality", F.round(M.quality(F.col("answer"), F.col("citations"), F.col("tags"), F.col("evidence"))["score"], 6))
+    d = cut(d.withColumn("answer", F.md5("answer")).drop("evidence"))  # a semi-join would be pushed below, onto the texts
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return d.join(v.select("id"), "id", "left_semi").select("id", F.concat(F.lit("q"), F.col("id").cast("string")).alias("question"), "answer", "entities", "tags", "citations", "quality"), v
+    return cut(d.join(v.select("id"), "id", "left_semi")).select("id", F.concat(F.lit("q"), F.col("id").cast("string")).alias("question"), "answer", "entities", "tags", "citations", "quality"), v
 
 
 def m11_store_batch(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,7 +45,7 @@ def m11_store_batch(spark: SparkSession, sf: str) -> DataFrame:
     entries = q.where("id % 3 = 0").withColumn("hits", F.lit(0).cast("long"))
     new = q.where("id % 3 <> 0").withColumnRenamed("id", "new_id")
     s = M.store_batch(entries, new, v, v.withColumnRenamed("id", "new_id"))
-    return s.select("id", "question", F.md5("answer").alias("answer_md5"), F.array_join("entities", ",").alias("entities"), F.array_join("tags", ",").alias("tags"), F.array_join("citations", ",").alias("citations"), "quality", "hits")
+    return s.select("id", "question", F.col("answer").alias("answer_md5"), F.array_join("entities", ",").alias("entities"), F.array_join("tags", ",").alias("tags"), F.array_join("citations", ",").alias("citations"), "quality", "hits")
 
 
 def k4_bucketed_upsert(spark: SparkSession, sf: str) -> DataFrame:

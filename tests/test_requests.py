@@ -1,11 +1,12 @@
 """Relations of many requests, answers stored in one batch, and ids of sparse numbers, against plain loops."""
 
+import math
 import os
 import random
 
 import pytest
 
-from quillspark.operators import dictionary, graph, imports, memory, stored
+from quillspark.operators import dictionary, graph, imports, memory, stored, vector_index
 
 
 def relations_by_hand(triples, requests, expand_by, direct, expand, expanded):
@@ -130,3 +131,18 @@ def test_places_of_names_are_code_points_also_in_texts_of_several_steps(spark, m
         start = dictionary.np.cumsum([0, *(len(g[2]) for g in group)])
         in_steps += [(int(a - start[g] + group[g][1]), int(k), chars[a : a + k]) for a, k, g in zip(at, n, piece)]
     assert sorted(in_steps) == sorted((int(a), int(k), whole[0][a : a + k]) for a, k in zip(*whole[1:3]))
+
+
+def test_rows_within_a_similarity_move_no_vectors_however_many_cells_they_reach(spark, monkeypatch):
+    r = random.Random(8)
+    made = [[r.gauss(0, 1) for _ in range(16)] for _ in range(200)]
+    made += [[x + r.gauss(0, 0.1) for x in made[k % 7]] for k in range(100)]
+    rows = spark.createDataFrame(list(enumerate(made)) + [(300, None), (301, [0.0] * 16), (302, [1.0])], "key long, v array<double>")
+    index = vector_index.build(rows, "key", "v", "cosine", cells=8)
+    monkeypatch.setattr(vector_index, "SENT_ROWS", 100)
+    found = vector_index.within(index, rows, "key", "v", 0.92)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+    unit = [[x / math.sqrt(sum(y * y for y in v)) for x in v] for v in made]
+    value = {(a, b): round(sum(x * y for x, y in zip(unit[a], unit[b])), 6) for a in range(300) for b in range(300)}
+    assert sorted((x.query, x.key) for x in found.collect()) == sorted(k for k, v in value.items() if v >= 0.92)
+    assert vector_index.within(vector_index.build(rows.where("key >= 300"), "key", "v", "cosine"), rows, "key", "v", 0.92).count() == 1
