@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.blocks import block_list, title
+from ..operators.blocks import block_list, let, title
 
 logger = logging.getLogger(__name__)
 
@@ -124,24 +124,37 @@ def _most_hits(text: Column, words: dict[str, tuple[str, ...]]) -> Column:
 def image_route(name: Column, size: Column, ocr_text: Column) -> Column:
     """struct(kind, subtype, confidence, decision, reason) of an image by its name, the text read from it and its size
     (null: unknown), in this order."""
-    low, ocr = F.lower(name), F.lower(F.trim(F.regexp_replace(F.coalesce(ocr_text, F.lit("")), r"\s+", " ")))
-    doc, nat, read = _most_hits(low, DOCUMENT_NAMES), _most_hits(low, NATURAL_NAMES), _most_hits(ocr, OCR_TERMS)
-    chars, hits, kind = F.length(F.regexp_replace(ocr, r"\s+", "")), read["hits"], F.when(read["hits"] > 0, read["name"]).otherwise("pdf_page")
-    probed = (ocr != "") & ((hits > 0) | (chars >= OCR_CHARS))
-    sure = F.lit(0.58) + F.when(chars >= OCR_CHARS, 0.12).otherwise(0.0) + F.least(hits, F.lit(5)) * 0.06 + F.when(kind.isin("nutrition_table", "medical_report") & (hits >= 2), 0.08).otherwise(0.0)
-    strong = (chars >= OCR_CHARS) & F.when(kind == "medical_report", hits >= 2).when(kind == "pdf_page", (hits >= 3) & (chars >= PAGE_CHARS)).otherwise(hits >= 3)
 
     def route(kind, subtype, confidence, decision, reason) -> Column:
         return F.struct(F.lit(kind).alias("kind"), (subtype if isinstance(subtype, Column) else F.lit(subtype)).alias("subtype"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).alias("confidence"), F.lit(decision).alias("decision"), F.lit(reason).alias("reason"))
 
-    return (
-        F.when(doc["hits"] > 0, route("document", doc["name"], 0.9, "direct_document", "filename_strong_document_match"))
-        .when(probed & strong, route("document", kind, F.least(sure, F.lit(0.93)), "direct_document", "ocr_strong_document_match"))
-        .when(probed, route("document", kind, F.least(sure, F.lit(0.93)), "vision_required", "ocr_weak_document_hint"))
-        .when(nat["hits"] > 0, route("natural", nat["name"], 0.78, "vision_required", "filename_natural_hint"))
-        .when(size.isNull(), route("unknown", "unknown", 0.0, "vision_required", "stat_failed"))
-        .when(size < SMALL_FILE, route("document", "pdf_page", 0.55, "vision_required", "weak_small_file_document_hint"))
-        .otherwise(route("unknown", "unknown", 0.35, "vision_required", "no_strong_lightweight_signal"))
+    def by_name(low: Column) -> Column:
+        return (
+            F.when(low["nat"]["hits"] > 0, route("natural", low["nat"]["name"], 0.78, "vision_required", "filename_natural_hint"))
+            .when(size.isNull(), route("unknown", "unknown", 0.0, "vision_required", "stat_failed"))
+            .when(size < SMALL_FILE, route("document", "pdf_page", 0.55, "vision_required", "weak_small_file_document_hint"))
+            .otherwise(route("unknown", "unknown", 0.35, "vision_required", "no_strong_lightweight_signal"))
+        )
+
+    def by_text(r: Column, low: Column) -> Column:
+        chars, hits = r["chars"], r["read"]["hits"]
+        kind = F.when(hits > 0, r["read"]["name"]).otherwise("pdf_page")
+        sure = F.lit(0.58) + F.when(chars >= OCR_CHARS, 0.12).otherwise(0.0) + F.least(hits, F.lit(5)) * 0.06 + F.when(kind.isin("nutrition_table", "medical_report") & (hits >= 2), 0.08).otherwise(0.0)
+        strong = (chars >= OCR_CHARS) & F.when(kind == "medical_report", hits >= 2).when(kind == "pdf_page", (hits >= 3) & (chars >= PAGE_CHARS)).otherwise(hits >= 3)
+        probed = (hits > 0) | (chars >= OCR_CHARS)
+        return (
+            F.when(probed & strong, route("document", kind, F.least(sure, F.lit(0.93)), "direct_document", "ocr_strong_document_match"))
+            .when(probed, route("document", kind, F.least(sure, F.lit(0.93)), "vision_required", "ocr_weak_document_hint"))
+            .otherwise(by_name(low))
+        )
+
+    # a text is squeezed once, and only where the name doesn't decide; what is white space in it then are single spaces
+    squeezed = F.lower(F.trim(F.regexp_replace(F.coalesce(ocr_text, F.lit("")), r"[\t\n\x0B\f\r]\s*| \s+", " ")))
+    read = let(squeezed, lambda ocr: F.struct(F.length(F.replace(ocr, F.lit(" "), F.lit(""))).alias("chars"), _most_hits(ocr, OCR_TERMS).alias("read")))
+    names = let(F.lower(name), lambda low: F.struct(_most_hits(low, DOCUMENT_NAMES).alias("doc"), _most_hits(low, NATURAL_NAMES).alias("nat")))
+    return let(
+        names,
+        lambda low: F.when(low["doc"]["hits"] > 0, route("document", low["doc"]["name"], 0.9, "direct_document", "filename_strong_document_match")).otherwise(let(read, lambda r: by_text(r, low))),
     )
 
 

@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import agent_search, blocks, chunks, classes, evaluation, graph, retrieval, routing, sparse_index, text, vector_index
+from quillspark.operators import agent_search, blocks, chunks, classes, evaluation, facts, graph, retrieval, routing, sparse_index, text, vector_index
 
 
 def plan(df):
@@ -151,3 +151,19 @@ def test_terms_are_looked_up_before_patterns_and_replacements(spark):
     plain = F.coalesce(*(F.when(F.col("t").rlike(p), k) for k, p in classes.STRONG.items()))
     assert d.where(~classes.strong_category(F.col("t")).eqNullSafe(plain)).count() == 0
     assert plan(d.select(classes.strong_category(F.col("t")))).lower().count("contains") >= 20
+
+
+def test_image_routes_squeeze_a_text_once(spark):
+    from quillspark.sources import records
+
+    df = spark.createDataFrame([("x.bmp", 10, "能量\t 蛋白质 \n\n脂肪  " + "字 " * 20), ("x.bmp", 10, " \n "), ("x.bmp", None, None), ("食谱.png", 10, "能量"), ("fridge.jpg", 10, "能量  "), ("x.bmp", 10, "a b\r\nc " * 6)], "name string, size long, t string")
+    r = df.select(records.image_route(F.col("name"), F.col("size"), F.col("t")).alias("r")).select("r.kind", "r.subtype", F.round("r.confidence", 6), "r.decision", "r.reason")
+    assert plan(r).count("regexp_replace") == 1
+    assert [tuple(x)[1:5] for x in r.collect()] == [
+        ("nutrition_table", 0.93, "direct_document", "ocr_strong_document_match"),
+        ("pdf_page", 0.55, "vision_required", "weak_small_file_document_hint"),
+        ("unknown", 0.0, "vision_required", "stat_failed"),
+        ("recipe", 0.9, "direct_document", "filename_strong_document_match"),
+        ("nutrition_table", 0.64, "vision_required", "ocr_weak_document_hint"),
+        ("pdf_page", 0.7, "vision_required", "ocr_weak_document_hint"),
+    ]
