@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import cut
+from .blocks import let
 from .planning import any_of
 
 # fixed values: patterns of facts, relations by the name of an attribute (the first that it holds), types of objects
@@ -12,6 +17,10 @@ ENTITY = (r"([一-鿿A-Za-z]{1,20})营养", r"([一-鿿A-Za-z]{1,20})每\s*100\s
 NO_ENTITY = ("每", "适合", "一般", "高蛋白", "低碳水")
 AMOUNTS = {"protein": r"(?i)蛋白质\s*([0-9]+(?:\.[0-9]+)?)\s*(克|g)", "fat": r"(?i)脂肪\s*([0-9]+(?:\.[0-9]+)?)\s*(克|g)", "carbs": r"(?i)(?:碳水化合物|碳水)\s*([0-9]+(?:\.[0-9]+)?)\s*(克|g)", "calories": r"(?i)(?:热量|能量)\s*([0-9]+(?:\.[0-9]+)?)\s*(千卡|kcal|大卡)"}
 QUALITIES = {"suitable_for": r"适合([^。；\n]+)", "dietary_feature": r"(高蛋白|低碳水|低脂|低糖|低盐)"}
+#: no match of a pattern is without all of these (entities) or one of these (amounts, qualities)
+ENTITY_SIGNS = (("营养",), ("每", "100", "克"), ("含",))
+AMOUNT_SIGNS = {"protein": ("蛋白质",), "fat": ("脂肪",), "carbs": ("碳水",), "calories": ("热量", "能量")}
+QUALITY_SIGNS = {"suitable_for": ("适合",), "dietary_feature": ("高蛋白", "低碳水", "低脂", "低糖", "低盐")}
 MEASURE = r"([一-鿿]+[A-Za-z]*[0-9]*)\s*[:：]?\s*([0-9.]+)\s*(g|mg|μg|kcal|kJ|%)?"
 RELATIONS = {"禁忌": "contraindicated_for", "contraindications": "contraindicated_for", "不宜": "contraindicated_for", "适宜人群": "suitable_for", "suitable_for": "suitable_for", "推荐食材": "recommends", "主要食材": "contains", "related_entities": "related_to", "烹饪方法": "cooked_by", "替代": "can_replace", "代替": "can_replace", "搭配": "pairs_with", "相克": "conflicts_with", "分类": "belongs_to", "category": "belongs_to", "来源": "source_of"}
 OBJECT_TYPES = {"contraindicated_for": "symptom", "suitable_for": "person", "recommends": "ingredient", "contains": "ingredient", "cooked_by": "cooking_method", "can_replace": "ingredient", "pairs_with": "ingredient", "conflicts_with": "ingredient", "belongs_to": "category", "source_of": "nutrient"}
@@ -23,31 +32,45 @@ LEAST_CHARS, MOST_CHARS = 20, 100
 
 def primary_entity(text: Column) -> Column:
     """The name before the first pattern that finds one; null without."""
-    names = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in ENTITY]
-    return F.coalesce(*(F.when(~n.isin(*NO_ENTITY), n) for n in names))
+
+    def name(pattern: str, signs: tuple[str, ...]) -> Column:
+        found = F.when(reduce(and_, (F.contains(text, F.lit(w)) for w in signs)), F.regexp_extract(text, pattern, 1))
+        return let(found, lambda n: F.when((n != "") & ~n.isin(*NO_ENTITY), n))
+
+    return F.coalesce(*(name(p, w) for p, w in zip(ENTITY, ENTITY_SIGNS)))
 
 
 def rule_facts(text: Column) -> Column:
     """array(struct(attr, value, confidence)): the first amount of each nutrient, every quality."""
-    amounts = [F.when(text.rlike(p), F.struct(F.lit(a).alias("attr"), F.concat(F.regexp_extract(text, p, 1), F.regexp_extract(text, p, 2)).alias("value"), F.lit(0.9).alias("confidence"))) for a, p in AMOUNTS.items()]
+
+    def amount(attr: str, pattern: str) -> Column:
+        # the groups are taken from what was found, not from the text again
+        found = F.when(any_of(text, AMOUNT_SIGNS[attr]), F.regexp_extract(text, pattern, 0))
+        return let(found, lambda m: F.when(m != "", F.struct(F.lit(attr).alias("attr"), F.concat(F.regexp_extract(m, pattern, 1), F.regexp_extract(m, pattern, 2)).alias("value"), F.lit(0.9).alias("confidence"))))
 
     def quality(attr: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda v: F.struct(F.lit(attr).alias("attr"), F.regexp_replace(v, r"^\s+|\s+$", "").alias("value"), F.lit(0.75).alias("confidence")))
+        found = F.when(any_of(text, QUALITY_SIGNS[attr]), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
+        return F.transform(found, lambda v: F.struct(F.lit(attr).alias("attr"), F.regexp_replace(v, r"^\s+|\s+$", "").alias("value"), F.lit(0.75).alias("confidence")))
 
-    return F.concat(F.array_compact(F.array(*amounts)), *(quality(a, p) for a, p in QUALITIES.items()))
+    return F.concat(F.array_compact(F.array(*(amount(a, p) for a, p in AMOUNTS.items()))), *(quality(a, p) for a, p in QUALITIES.items()))
 
 
 def extract_facts(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """key, entity, seq, attr, value, confidence of the chunks that name an entity."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    c = chunks.select(key, primary_entity(t).alias("entity"), rule_facts(t).alias("_f")).where("entity is not null")
-    return c.select(key, "entity", F.posexplode("_f").alias("seq", "_x")).select(key, "entity", "seq", "_x.*")
+    """key, entity, seq, attr, value, confidence of the chunks that name an entity. Everything is one expression under an
+    outer generator, so that no filter above it has it evaluated again."""
+
+    def of(t: Column) -> Column:
+        return let(primary_entity(t), lambda n: F.when(n.isNotNull(), F.transform(rule_facts(t), lambda x: F.struct(n.alias("entity"), x["attr"].alias("attr"), x["value"].alias("value"), x["confidence"].alias("confidence")))))
+
+    rows = chunks.select(key, F.posexplode_outer(let(F.coalesce(F.col(text), F.lit("")), of)).alias("seq", "_x"))
+    return rows.where("seq is not null").select(key, "_x.entity", "seq", "_x.attr", "_x.value", "_x.confidence")
 
 
 def merge_facts(facts: DataFrame, key: str) -> DataFrame:
     """entity, attr, value, confidence: an entity that one chunk names keeps its facts; of one that several name, each
     attribute keeps its most confident value, the earliest among equals (of the first chunk its last one). Two
     aggregates and a join by entity, no window, so AQE can split a common entity."""
+    facts = cut(facts)  # read for the spans, the single ones and the others
     spans = facts.groupBy("entity").agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
     j = facts.join(spans, "entity")
     alone = j.where("_first = _last").select("entity", "attr", "value", "confidence")

@@ -167,3 +167,18 @@ def test_image_routes_squeeze_a_text_once(spark):
         ("nutrition_table", 0.64, "vision_required", "ocr_weak_document_hint"),
         ("pdf_page", 0.7, "vision_required", "ocr_weak_document_hint"),
     ]
+
+
+def test_facts_look_for_each_pattern_once(spark):
+    texts = [(1, "番茄含蛋白质 0.9g，蛋白质 3克，碳水化合物 3.3 G，适合减脂 。高蛋白低脂"), (2, "每 100 克"), (3, "鱼每 100 克，热量 15 KCAL，适合 \n"), (4, None), (5, "低碳水营养 脂肪1克"), (6, "豆腐营养")]
+    df = facts.extract_facts(spark.createDataFrame(texts, "k long, t string"), "k", "t")
+    assert plan(df).count(facts.ENTITY[0]) == 1
+    assert sorted(map(tuple, df.collect())) == [
+        (1, "番茄", 0, "protein", "0.9g", 0.9),
+        (1, "番茄", 1, "carbs", "3.3G", 0.9),
+        (1, "番茄", 2, "suitable_for", "减脂", 0.75),
+        (1, "番茄", 3, "dietary_feature", "高蛋白", 0.75),
+        (1, "番茄", 4, "dietary_feature", "低脂", 0.75),
+        (3, "鱼", 0, "calories", "15KCAL", 0.9),
+        (3, "鱼", 1, "suitable_for", "", 0.75),
+    ]
