@@ -36,19 +36,26 @@ K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _distinct(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The distinct ids of a document, without a sort. place is room for a number for each id of the vocabulary."""
+    at = np.arange(len(ids), dtype=np.int32)
+    place[ids] = at
+    return ids[place[ids] == at]
+
+
 def _tokenize(path: str, end_id: int, dtype: str):
     """Rows of documents: (doc_id, n, ids); after them a row for each id: (id, documents that hold it, null)."""
 
     def run(batches):
         enc, packer = encoder(path, False), zstandard.ZstdCompressor(level=1)
-        holds = np.zeros(max(enc.size, end_id + 1), np.int64)
+        holds, place = np.zeros(max(enc.size, end_id + 1), np.int64), np.zeros(max(enc.size, end_id + 1), np.int32)
         for b in slices(batches, "text", SLICE):
             ids, n = enc.encode(b.column("text"))
             ids, at = ids.astype(dtype), np.concatenate([[0], np.cumsum(n)])
             packed = []
             for i in range(len(n)):
                 own = np.append(ids[at[i] : at[i + 1]], np.array([end_id], dtype))
-                holds[np.unique(own)] += 1
+                holds[_distinct(own, place)] += 1
                 packed.append(packer.compress(own.tobytes()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n + 1), pa.array(packed, pa.binary())], ["doc_id", "n", "ids"])
         some = np.flatnonzero(holds)
@@ -61,9 +68,9 @@ def content_keys(docs: list[np.ndarray], ties: np.ndarray, idf: np.ndarray, mean
     """A number for each document whose order puts related ones together: the three terms that win a race with their
     squared BM25 weights as rates, 16 bits each, and 16 bits of ties, which divide groups of copies of any size."""
     race = -np.log((mix(np.arange(1, len(idf) + 1, dtype=np.uint64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54)
-    out = np.zeros(len(docs), np.uint64)
+    out, place = np.zeros(len(docs), np.uint64), np.zeros(len(idf), np.int32)
     for k, ids in enumerate(docs):
-        t, w = _weights(ids, idf, mean_length)
+        t, w = _weights(ids, idf, mean_length, place)
         time = race[t] / np.maximum(w.astype(np.float64) ** 2, 1e-12)
         first = np.argpartition(time, 2)[:3] if len(t) > 3 else np.arange(len(t))
         for x in t[first[np.argsort(time[first], kind="stable")]]:
@@ -72,10 +79,11 @@ def content_keys(docs: list[np.ndarray], ties: np.ndarray, idf: np.ndarray, mean
     return out << np.uint64(16) | ties.astype(np.uint64) & np.uint64(0xFFFF)
 
 
-def _weights(ids: np.ndarray, idf: np.ndarray, mean_length: float) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids of a document and their BM25 weights."""
-    t, tf = np.unique(ids, return_counts=True)
-    tf = tf.astype(np.float32)
+def _weights(ids: np.ndarray, idf: np.ndarray, mean_length: float, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a document in order and their BM25 weights."""
+    t = np.sort(_distinct(ids, place))
+    place[t] = np.arange(len(t), dtype=np.int32)
+    tf = np.bincount(place[ids]).astype(np.float32)
     return t, idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean_length))
 
 
@@ -83,16 +91,25 @@ class Index:
     """A BM25 inverted index over the documents of one shard, with statistics of all documents."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        terms, owners, weights = [], [], []
+        terms, owners, weights, place = [], [], [], np.zeros(len(idf), np.int32)
         for k, ids in enumerate(docs):
-            t, w = _weights(ids, idf, mean_length)
+            t, w = _weights(ids, idf, mean_length, place)
             terms.append(t), owners.append(np.full(len(t), k, np.int32)), weights.append(w)
         self.queries = terms
         t, o, w = np.concatenate(terms), np.concatenate(owners), np.concatenate(weights)
         by = np.argsort(t, kind="stable")
         self.owners, self.weights = o[by], w[by]
         self.bounds = np.searchsorted(t[by], np.arange(len(idf) + 1))
-        self.n = len(docs)
+        self.n = self.held = len(docs)
+
+    def shrink(self, unused: np.ndarray) -> None:
+        """Drops what belongs to used documents, for good, once they are a quarter of what is held; the order of the rest,
+        and so every sum, stays."""
+        if unused.sum() >= 0.75 * self.held:
+            return
+        keep = unused[self.owners]
+        self.bounds = np.concatenate([[0], np.cumsum(keep)])[self.bounds]
+        self.owners, self.weights, self.held = self.owners[keep], self.weights[keep], int(unused.sum())
 
     def neighbours(self, k: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with k, best first; ties by place."""
@@ -122,6 +139,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, wind
                 cursor += 1
             k = cursor
         unused[k] = False
+        index.shrink(unused)
         if fill == 0:  # it opens a window
             seed, following = k, index.neighbours(k, unused)
         at = 0

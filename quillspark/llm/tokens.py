@@ -115,9 +115,13 @@ class WordEncoder:
         while len(self.at) > CACHED:
             self.at.popitem()
         self.used = min(self.used, int(self.starts[len(self.at) - 1] + self.lengths[len(self.at) - 1])) if self.at else 0
-        if new := [k for k in keys if k not in self.at]:
-            self._learn(list(dict.fromkeys(new)))
-        return np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+        found = list(map(self.at.get, keys))
+        if None in found:
+            at = [i for i, x in enumerate(found) if x is None]
+            self._learn(list(dict.fromkeys(keys[i] for i in at)))
+            for i in at:
+                found[i] = self.at[keys[i]]
+        return np.array(found, np.int64)
 
     def _divided(self, column: pa.Array) -> pa.Array:
         """Texts with the same ids and fewer distinct words, where spaces don't count: in lower case, line ends as
@@ -147,7 +151,7 @@ class WordEncoder:
         parts = pc.split_pattern(divided, BORDER if self.spaces_count else " ")
         words = parts.flatten().dictionary_encode()
         offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
-        rows = self._known(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        rows = self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
         lengths = self.lengths[rows]
         ends = np.cumsum(lengths)
         where = np.repeat(self.starts[rows] - ends + lengths, lengths) + np.arange(ends[-1])

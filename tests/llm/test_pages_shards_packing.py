@@ -111,3 +111,19 @@ def test_a_long_document_is_cut_and_whole(spark):
     long = sorted((r.start, r.length) for r in out if r.doc_id == 1)
     assert sum(n for _, n in long) == next(r.doc_tokens for r in out if r.doc_id == 1) and all(a + n == b for (a, n), (b, _) in zip(long, long[1:], strict=False))
     assert packing.pack(spark.createDataFrame([], DOCS)).where(F.lit(True)).collect() == []
+
+
+def test_an_index_that_drops_used_documents_finds_the_same(monkeypatch):
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 60, n).astype("<u2") for n in rng.integers(1, 40, 200)]
+    idf, mean = rng.random(60).astype(np.float32) + 1, sum(map(len, docs)) / len(docs)
+    for ids in docs[:20]:
+        t, w = packing._weights(ids, idf, mean, np.full(60, 7, np.int32))
+        want, tf = np.unique(ids, return_counts=True)
+        assert t.tolist() == want.tolist() and np.allclose(w, idf[want] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(ids) / mean)))
+    index, whole, unused = packing.Index(docs, idf, mean), packing.Index(docs, idf, mean), np.ones(200, bool)
+    for k in rng.permutation(200):
+        unused[k] = False
+        index.shrink(unused)
+        assert index.neighbours(k, unused).tolist() == whole.neighbours(k, unused).tolist()
+    assert len(index.owners) < len(whole.owners) / 50
