@@ -33,6 +33,8 @@ SAMPLED = 16
 #: Bytes of text that a worker encodes at a time.
 SLICE = 3_000_000
 K1, B = 1.2, 0.75
+#: One of so many documents makes a term a common one, in shards of so many documents.
+COMMON, TABLED = 8, 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -43,20 +45,33 @@ def _distinct(ids: np.ndarray, place: np.ndarray) -> np.ndarray:
     return ids[place[ids] == at]
 
 
+def distinct_terms(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, id, times) of each distinct id of each document, in order: one sort for all documents, whose ids follow
+    each other in ids."""
+    bits, narrow = (16, len(lengths) <= 1 << 16) if ids.dtype.itemsize <= 2 else (32, False)
+    kind = np.uint32 if narrow else np.uint64
+    keys = np.repeat(np.arange(len(lengths), dtype=kind) << kind(bits), lengths) | ids.astype(kind)
+    keys.sort()
+    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    times = np.diff(first, append=len(keys))
+    keys = keys[first]
+    return (keys >> kind(bits)).astype(np.int64), (keys & kind((1 << bits) - 1)).astype(np.int64), times
+
+
 def _tokenize(path: str, end_id: int, dtype: str):
     """Rows of documents: (doc_id, n, ids); after them a row for each id: (id, documents that hold it, null)."""
 
     def run(batches):
         enc, packer = encoder(path, False), zstandard.ZstdCompressor(level=1)
-        holds, place = np.zeros(max(enc.size, end_id + 1), np.int64), np.zeros(max(enc.size, end_id + 1), np.int32)
+        holds, end = np.zeros(max(enc.size, end_id + 1), np.int64), np.array([end_id], dtype).tobytes()
         for b in slices(batches, "text", SLICE):
             ids, n = enc.encode(b.column("text"))
-            ids, at = ids.astype(dtype), np.concatenate([[0], np.cumsum(n)])
-            packed = []
-            for i in range(len(n)):
-                own = np.append(ids[at[i] : at[i + 1]], np.array([end_id], dtype))
-                holds[_distinct(own, place)] += 1
-                packed.append(packer.compress(own.tobytes()))
+            ids, at = ids.astype(dtype, copy=False), np.concatenate([[0], np.cumsum(n)])
+            _, term, _ = distinct_terms(ids, n)
+            holds += np.bincount(term, minlength=len(holds))
+            holds[end_id] += len(n) - np.count_nonzero(term == end_id)  # every document has it at its end
+            raw, at = ids.tobytes(), (at * ids.itemsize).tolist()
+            packed = [packer.compress(raw[i:j] + end) for i, j in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n + 1), pa.array(packed, pa.binary())], ["doc_id", "n", "ids"])
         some = np.flatnonzero(holds)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(holds[some]), pa.nulls(len(some), pa.binary())], ["doc_id", "n", "ids"])
@@ -68,19 +83,32 @@ def content_keys(docs: list[np.ndarray], ties: np.ndarray, idf: np.ndarray, mean
     """A number for each document whose order puts related ones together: the three terms that win a race with their
     squared BM25 weights as rates, 16 bits each, and 16 bits of ties, which divide groups of copies of any size."""
     race = -np.log((mix(np.arange(1, len(idf) + 1, dtype=np.uint64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54)
-    out, place = np.zeros(len(docs), np.uint64), np.zeros(len(idf), np.int32)
-    for k, ids in enumerate(docs):
-        t, w = _weights(ids, idf, mean_length, place)
-        time = race[t] / np.maximum(w.astype(np.float64) ** 2, 1e-12)
-        first = np.argpartition(time, 2)[:3] if len(t) > 3 else np.arange(len(t))
-        for x in t[first[np.argsort(time[first], kind="stable")]]:
-            out[k] = out[k] << np.uint64(16) | np.uint64(int(x) & 0xFFFF)
-        out[k] <<= np.uint64(16 * max(0, 3 - len(t)))
+    out = np.zeros(len(docs), np.uint64)
+    document, t, w = weights(docs, idf, mean_length)
+    time = race[t] / np.maximum(w.astype(np.float64) ** 2, 1e-12)
+    starts = np.searchsorted(document, np.arange(len(docs)))
+    some = np.flatnonzero(np.diff(starts, append=len(document)))
+    for _ in range(3):  # a document with fewer terms has zeros behind them
+        low = np.full(len(docs), np.inf)
+        low[some] = np.minimum.reduceat(time, starts[some]) if len(some) else np.inf
+        won = np.flatnonzero((time == low[document]) & (time < np.inf))
+        won = won[np.diff(document[won], prepend=-1) > 0]
+        out <<= np.uint64(16)
+        out[document[won]] |= t[won].astype(np.uint64) & np.uint64(0xFFFF)
+        time[won] = np.inf
     return out << np.uint64(16) | ties.astype(np.uint64) & np.uint64(0xFFFF)
 
 
+def weights(docs: list[np.ndarray], idf: np.ndarray, mean_length: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, id, BM25 weight) of the distinct ids of all documents, in order."""
+    lengths = np.fromiter(map(len, docs), np.int64, len(docs))
+    document, t, times = distinct_terms(np.concatenate(docs) if docs else np.zeros(0, np.uint16), lengths)
+    tf, norm = times.astype(np.float32), (K1 * (1 - B + B * lengths / mean_length)).astype(np.float32) if docs else lengths
+    return document, t, idf[t] * tf * (K1 + 1) / (tf + norm[document])
+
+
 def _weights(ids: np.ndarray, idf: np.ndarray, mean_length: float, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids of a document in order and their BM25 weights."""
+    """The distinct ids of a document in order and their BM25 weights: weights() for one document, without its sort."""
     t = np.sort(_distinct(ids, place))
     place[t] = np.arange(len(t), dtype=np.int32)
     tf = np.bincount(place[ids]).astype(np.float32)
@@ -88,19 +116,24 @@ def _weights(ids: np.ndarray, idf: np.ndarray, mean_length: float, place: np.nda
 
 
 class Index:
-    """A BM25 inverted index over the documents of one shard, with statistics of all documents."""
+    """A BM25 inverted index over the documents of one shard, with statistics of all documents. A term that one of COMMON
+    documents holds has its weights as a row of a table instead, zero where a document lacks it."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        terms, owners, weights, place = [], [], [], np.zeros(len(idf), np.int32)
-        for k, ids in enumerate(docs):
-            t, w = _weights(ids, idf, mean_length, place)
-            terms.append(t), owners.append(np.full(len(t), k, np.int32)), weights.append(w)
-        self.queries = terms
-        t, o, w = np.concatenate(terms), np.concatenate(owners), np.concatenate(weights)
-        by = np.argsort(t, kind="stable")
+        o, t, w = weights(docs, idf, mean_length)
+        self.queries = np.split(t, np.searchsorted(o, np.arange(1, len(docs))))
+        self.n = self.held = len(docs)
+        # in the types that bincount takes without a copy
+        w, df = w.astype(np.float64), np.bincount(t, minlength=len(idf))
+        common = np.flatnonzero(df >= self.n / COMMON) if self.n >= TABLED else t[:0]
+        self.row, self.columns = np.full(len(idf), -1), np.arange(self.n)
+        self.row[common] = np.arange(len(common))
+        self.table, row = np.zeros((len(common), self.n)), self.row[t]
+        self.table[row[row >= 0], o[row >= 0]] = w[row >= 0]
+        o, t, w = (x[row < 0] for x in (o, t, w))
+        by = np.argsort(t.astype(np.uint16) if len(idf) <= 1 << 16 else t, kind="stable")
         self.owners, self.weights = o[by], w[by]
         self.bounds = np.searchsorted(t[by], np.arange(len(idf) + 1))
-        self.n = self.held = len(docs)
 
     def shrink(self, unused: np.ndarray) -> None:
         """Drops what belongs to used documents, for good, once they are a quarter of what is held; the order of the rest,
@@ -110,13 +143,17 @@ class Index:
         keep = unused[self.owners]
         self.bounds = np.concatenate([[0], np.cumsum(keep)])[self.bounds]
         self.owners, self.weights, self.held = self.owners[keep], self.weights[keep], int(unused.sum())
+        self.table, self.columns = self.table[:, unused[self.columns]], self.columns[unused[self.columns]]
 
     def neighbours(self, k: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with k, best first; ties by place."""
         t = self.queries[k]
-        first, n = self.bounds[t], self.bounds[t + 1] - self.bounds[t]
-        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-        score = np.bincount(self.owners[at], self.weights[at], self.n)
+        row = self.row[t]
+        rare = t[row < 0]
+        at = [slice(i, j) for i, j in zip(self.bounds[rare].tolist(), self.bounds[rare + 1].tolist(), strict=True)] or [slice(0)]
+        score = np.zeros(self.n)
+        score[self.columns] = self.table[row[row >= 0]].sum(0)
+        score += np.bincount(np.concatenate([self.owners[x] for x in at]), np.concatenate([self.weights[x] for x in at]), self.n)
         found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")]
 

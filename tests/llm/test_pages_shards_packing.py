@@ -127,3 +127,33 @@ def test_an_index_that_drops_used_documents_finds_the_same(monkeypatch):
         index.shrink(unused)
         assert index.neighbours(k, unused).tolist() == whole.neighbours(k, unused).tolist()
     assert len(index.owners) < len(whole.owners) / 50
+
+
+def test_terms_of_all_documents_are_counted_at_once():
+    rng = np.random.default_rng(6)
+    idf = rng.random(60).astype(np.float32) + 1
+    for dtype in ("<u2", "<u4", np.int64):
+        docs = [rng.integers(0, 60, n).astype(dtype) for n in (1, 2, *rng.integers(1, 40, 50))]
+        mean = sum(map(len, docs)) / len(docs)
+        document, t, w = packing.weights(docs, idf, mean)
+        for k, ids in enumerate(docs):
+            want, weight = packing._weights(ids, idf, mean, np.zeros(60, np.int32))
+            assert t[document == k].tolist() == want.tolist() and np.allclose(w[document == k], weight)
+        keys = packing.content_keys(docs, np.arange(len(docs)), idf, mean)
+        assert (keys & np.uint64(0xFFFF)).tolist() == list(range(len(docs))) and keys[0] == np.uint64(int(docs[0][0])) << np.uint64(48)
+    assert len(packing.content_keys([], np.zeros(0, np.int64), idf, 1.0)) == 0
+
+
+def test_common_terms_of_a_large_shard_are_not_looked_up_document_by_document():
+    rng = np.random.default_rng(7)
+    docs = [np.concatenate([rng.integers(0, 40, 60), rng.integers(40, 900, 4)]).astype("<u2") for _ in range(2 * packing.TABLED)]
+    idf, mean, unused = rng.random(900).astype(np.float32) + 1, 64.0, np.ones(len(docs), bool)
+    index = packing.Index(docs, idf, mean)
+    assert len(index.owners) <= 4 * len(docs)
+    plain = {k: dict(zip(*(x.tolist() for x in packing._weights(d, idf, mean, np.zeros(900, np.int32))), strict=True)) for k, d in enumerate(docs)}
+    for k in rng.permutation(len(docs))[: len(docs) - 20]:
+        unused[k] = False
+        index.shrink(unused)
+        if k % 16 == 0:
+            score = {j: sum(w for t, w in plain[j].items() if t in plain[k]) for j in np.flatnonzero(unused).tolist()}
+            assert index.neighbours(k, unused).tolist() == sorted(score, key=lambda j: (-score[j], j))
