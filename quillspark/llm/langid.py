@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, hash60
-from .tokens import slices, vocabulary_path
+from .tokens import held, slices, vocabulary_path
 
 PER_LANGUAGE, SMOOTHING = 4000, 0.5
 #: Words up to SHORT characters are scored without rescaling; a character outside the vocabulary has this probability.
@@ -82,14 +82,8 @@ class Pieces:
         return out
 
 
-_pieces: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
-    """One for each worker process."""
-    if path not in _pieces:
-        _pieces[path] = Pieces(path)
-    return _pieces[path]
+    return held(("pieces", path), lambda: Pieces(path))
 
 
 def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 
 from .common import cut, small_batches
 from .shingles import mix
-from .tokens import encoder, slices, vocabulary_path
+from .tokens import drop_held, encoder, release, slices, vocabulary_path
 
 WINDOW, DOCS_PER_SHARD = 4096, 1024
 #: Sampled keys for each shard: their order gives the bounds between shards.
 SAMPLED = 16
-#: Bytes of text that a worker encodes at a time.
-SLICE = 3_000_000
+#: Bytes of text that a worker encodes at a time, and words whose ids it keeps.
+SLICE, CACHED = 1_600_000, 200_000
 K1, B = 1.2, 0.75
 #: One of so many documents makes a term a common one, in shards of so many documents.
 COMMON, TABLED = 8, 256
@@ -62,7 +62,7 @@ def _tokenize(path: str, end_id: int, dtype: str):
     """Rows of documents: (doc_id, n, ids); after them a row for each id: (id, documents that hold it, null)."""
 
     def run(batches):
-        enc, packer = encoder(path, False), zstandard.ZstdCompressor(level=1)
+        enc, packer = encoder(path, False, CACHED), zstandard.ZstdCompressor(level=1)
         holds, end = np.zeros(max(enc.size, end_id + 1), np.int64), np.array([end_id], dtype).tobytes()
         for b in slices(batches, "text", SLICE):
             ids, n = enc.encode(b.column("text"))
@@ -196,7 +196,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, window: int
     """A row for each piece. To the driver go the number of documents of each id, bounded by the vocabulary, sums,
     and the keys of a sample, SAMPLED for each shard."""
     path = path or vocabulary_path("word_bpe_49k.json")
-    size = max(encoder(path, False).size, end_id + 1)
+    size = max(encoder(path, False, CACHED).size, end_id + 1)
     dtype = "<u2" if size <= 1 << 16 else "<u4"
     with small_batches(docs.sparkSession, "8m"):
         rows = cut(docs.select("doc_id", "text").mapInArrow(_tokenize(path, end_id, dtype), "doc_id long, n long, ids binary"), codec="none")
@@ -213,6 +213,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, window: int
 
         def run(batches):
             unpack = zstandard.ZstdDecompressor()
+            drop_held()  # words aren't needed any more
             for b in batches:
                 ids = [np.frombuffer(unpack.decompress(x.as_buffer()), dtype) for x in b.column("ids")]
                 keys = content_keys(ids, b.column("tie").to_numpy(), idf, mean_length)
@@ -220,6 +221,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, window: int
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, keys, side="right")), *(b.column(c) for c in ("doc_id", "n", "ids"))], ["shard", "doc_id", "n", "ids"])
+            release()
 
         return run
 
@@ -233,6 +235,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 2, window: int
 
     def packed(table: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
+        drop_held()
         table = table.sort_by([("doc_id", "ascending"), ("n", "ascending"), ("ids", "ascending")])
         ids = [np.frombuffer(unpack.decompress(x), dtype) for x in table.column("ids").to_pylist()]
         shard, numbers = table.column("shard")[0].as_py(), table.column("doc_id").combine_chunks()

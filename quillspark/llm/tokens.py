@@ -47,10 +47,10 @@ def vocabulary_path(name: str) -> str:
 
 
 class WordEncoder:
-    def __init__(self, path: str, spaces_count: bool):
+    def __init__(self, path: str, spaces_count: bool, cached: int = CACHED):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaces_count = Tokenizer.from_file(path), spaces_count
+        self.tokenizer, self.spaces_count, self.cached = Tokenizer.from_file(path), spaces_count, cached
         #: Strings that the library takes as one id wherever they stand: texts that hold one are encoded in one piece.
         self.special = "|".join(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()) or r"[^\s\S]"
         self.size = self.tokenizer.get_vocab_size()
@@ -111,8 +111,8 @@ class WordEncoder:
         self.at.update(zip(keys, range(n, n + len(keys)), strict=True))
 
     def _known(self, keys: list[str]) -> np.ndarray:
-        """Rows of the keys. What is learned above CACHED holds for this call's texts alone."""
-        while len(self.at) > CACHED:
+        """Rows of the keys. What is learned above the bound holds for this call's texts alone."""
+        while len(self.at) > self.cached:
             self.at.popitem()
         self.used = min(self.used, int(self.starts[len(self.at) - 1] + self.lengths[len(self.at) - 1])) if self.at else 0
         found = list(map(self.at.get, keys))
@@ -165,14 +165,26 @@ class WordEncoder:
         return ids, counts
 
 
-_encoders: dict[tuple, WordEncoder] = {}
+_held: dict[tuple, object] = {}
 
 
-def encoder(path: str, spaces_count: bool) -> WordEncoder:
-    """One for each worker process."""
-    if (path, spaces_count) not in _encoders:
-        _encoders[path, spaces_count] = WordEncoder(path, spaces_count)
-    return _encoders[path, spaces_count]
+def held(key: tuple, make):
+    """What make() returns, kept for later tasks of this worker until it asks for another: workers outlive the stages of
+    a pipeline, and those of an executor's cores would otherwise each keep the vocabularies and words of all stages."""
+    if key not in _held:
+        drop_held()
+        _held[key] = make()
+    return _held[key]
+
+
+def drop_held() -> None:
+    if _held:
+        _held.clear()
+        release()
+
+
+def encoder(path: str, spaces_count: bool, cached: int = CACHED) -> WordEncoder:
+    return held((path, spaces_count, cached), lambda: WordEncoder(path, spaces_count, cached))
 
 
 def release() -> None:

@@ -1,10 +1,11 @@
 """Pages of odd kinds, sources without words, and rows with columns of any name and type."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import html_pages, mixing, ngram_join
+from quillspark.llm import html_pages, langid, mixing, ngram_join, tokens
 
 P = "This paragraph has a dozen ordinary words in it and then stops here."
 NAV = "<nav><ul><li><a href=/>Home</a></li></ul></nav>"
@@ -114,3 +115,21 @@ def test_token_files_of_documents_that_share_a_number(spark, monkeypatch):
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows) and len({r.ids_crc32 for r in got}) == 121
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda d: (d is not None, d or 0))
     assert files.select("part").distinct().count() > 1
+
+
+def test_a_worker_keeps_one_vocabulary_at_a_time(monkeypatch):
+    freed = []
+    monkeypatch.setattr(tokens, "_held", {})
+    monkeypatch.setattr(tokens, "release", lambda: freed.append(1))
+    path = tokens.vocabulary_path("word_bpe_49k.json")
+    enc = tokens.encoder(path, False, 3)
+    assert tokens.encoder(path, False, 3) is enc and freed == []
+    column = pa.array(["one two three four five six", None, "six seven two nine"])
+    ids, n = enc.encode(column)
+    again, m = enc.encode(column)  # above its bound words are learned for one call
+    whole, k = tokens.WordEncoder(path, False).encode(column)
+    assert ids.tolist() == again.tolist() == whole.tolist() and n.tolist() == m.tolist() == k.tolist()
+    langid.pieces(tokens.vocabulary_path("piece_bpe_32k.model"))
+    assert len(tokens._held) == 1 and freed == [1] and tokens.encoder(path, False, 3) is not enc
+    tokens.drop_held()
+    assert tokens._held == {} and len(freed) == 3
