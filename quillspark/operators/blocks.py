@@ -3,18 +3,28 @@ length takes one pass and no shuffle."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: what a line is, in this order; (?d) makes \n the only line end
 TABLE, HEADING, LIST, BLANK = r"(?d)^\|.+\|$", r"(?d)^#{1,6}\s+.+$", r"(?d)^\s*[-*+]\s+.+$", r"(?d)^\s*$"
 SEPARATOR = r"(?d)^\|[\s\-:|]+\|$"
-_START = "\x01"
+_START, _SPACES = "\x01", " \t\n\x0b\f\r"
 
 
 def strip(text: Column) -> Column:
     """text without the characters of \\s at its ends."""
-    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.btrim(text, F.lit(_SPACES))
+
+
+def strip_variable(x: Column) -> Column:
+    """strip() of a variable, which may be named again at no cost: looking at the end is cheaper than trimming it, which
+    takes note of every character's place first."""
+    ends = [F.endswith(x, F.lit(c)) for c in _SPACES]
+    return F.when(reduce(or_, ends), strip(x)).otherwise(F.ltrim(x, F.lit(_SPACES)))
 
 
 def let(value: Column, use) -> Column:
@@ -30,7 +40,7 @@ def islands(units: Column, starts: Column, sep: str = "\n") -> Column:
 
 
     def runs(tagged: Column) -> Column:
-        joined = F.regexp_replace(F.array_join(tagged, sep), f"^{_START}", "")
+        joined = let(F.array_join(tagged, sep), lambda j: F.when(F.startswith(j, F.lit(_START)), F.substring(j, 2, 2**31 - 1)).otherwise(j))
         return F.when(F.size(tagged) > 0, F.split(joined, sep + _START, -1)).otherwise(F.array().cast("array<string>"))
 
     return let(F.zip_with(units, starts, lambda u, s: F.when(s, F.concat(F.lit(_START), u)).otherwise(u)), runs)
@@ -40,7 +50,12 @@ def block_list(text: Column) -> Column:
     """array(struct(kind, content)) of text, list and table blocks. A blank line ends a block; a heading starts one and
     is a part of it; items of a list begin with "- "; a table has two lines at least, a single one is left out."""
     def kind(x: Column) -> Column:
-        return F.when(x.rlike(TABLE), "T").when(x.rlike(HEADING), "H").when(x.rlike(LIST), "L").when(x.rlike(BLANK), "B").otherwise("X")
+        # the first character decides for most lines, so that no pattern is run
+        def of(left: Column) -> Column:
+            listed = reduce(or_, (F.startswith(left, F.lit(c)) for c in "-*+"))
+            return F.when(F.startswith(x, F.lit("|")) & x.rlike(TABLE), "T").when(F.startswith(x, F.lit("#")) & x.rlike(HEADING), "H").when(listed & x.rlike(LIST), "L").when(left == "", "B").otherwise("X")
+
+        return let(F.ltrim(x, F.lit(_SPACES)), of)
 
     def tagged(rows: Column) -> Column:
         """Lines without the blank ones, each with whether it begins a block and, if so, with its letter before it."""
@@ -59,7 +74,7 @@ def block_list(text: Column) -> Column:
     def block(run: Column) -> Column:
         letter, body = F.substring(run, 1, 1), F.substring(run, 2, 2**31 - 1)
         items = F.regexp_replace(body, r"(?md)^[ \t\r\f\x0B]*[-*+][ \t\r\f\x0B]+(.*?)[ \t\r\f\x0B]*$", "- $1")
-        return F.struct(F.when(letter == "T", "table").when(letter == "L", "list").otherwise("text").alias("kind"), F.when(letter == "T", body).when(letter == "L", items).otherwise(strip(body)).alias("content"))
+        return F.struct(F.when(letter == "T", "table").when(letter == "L", "list").otherwise("text").alias("kind"), F.when(letter == "T", body).when(letter == "L", items).otherwise(let(body, strip_variable)).alias("content"))
 
     return F.filter(F.transform(runs, block), lambda b: (b["kind"] != "table") | F.contains(b["content"], F.lit("\n")))
 

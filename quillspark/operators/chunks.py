@@ -8,11 +8,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_text, document_text, islands, let, strip, table_headers, table_rows, title
+from .blocks import block_text, document_text, islands, let, strip, strip_variable, table_headers, table_rows, title
 from .planning import any_of, strings
 from .text import token_count
 
@@ -36,6 +38,8 @@ USER_ID = (r"(?i)用户[ID编号]?\s*[:：]\s*([a-zA-Z0-9_-]+)", r"(?i)user[_\s]
 PERSONAL = {"allergy": ("过敏", "不耐受", "禁忌"), "preference": ("喜欢", "偏好", "口味", "不喜欢"), "health": ("血压", "血糖", "血脂", "BMI", "体重", "身高")}
 MOST_TOKENS, LEAST_TOKENS, OVERLAP_TOKENS, SIMILARITY, SHORT_TOKENS, DIM = 512, 100, 50, 0.5, 80, 384
 CONTINUES = "并且|而且|以及|同时|此外|另外|还有|或|或者|和|与|及|但|但是|然而|不过|则|就|才|还|也|又|都|只|只要|因为|所以|因此|如果|虽然|即使"
+#: No conjunction sorts before it.
+FIRST_CJK = "一"
 
 _CHUNK = "array<struct<chunk_type:string,content:string,label:string>>"
 
@@ -307,15 +311,17 @@ def split_by_clauses(text: str, most: int = MOST_TOKENS, overlap: int = OVERLAP_
 
 
 def _not_blank(parts: Column) -> Column:
-    return F.filter(F.transform(parts, strip), lambda x: x != "")
+    return F.filter(F.transform(parts, strip_variable), lambda x: x != "")
 
 
-def _split_after(text: Column, marks: str) -> Column:
-    return F.split(text, f"(?<=[{marks}])")
+def _split_after(text: Column, marks: str, more: str = "") -> Column:
+    """text (a variable) split after each of marks and more; null, without running the pattern, where no mark stands."""
+    return F.when(reduce(or_, (F.contains(text, F.lit(m)) for m in marks)), F.split(text, f"(?<=[{marks}{more}])"))
 
 
 def sentence_list(text: Column) -> Column:
-    return _not_blank(_split_after(F.coalesce(text, F.lit("")), "。！？；\\n"))
+    # without other marks lines are split, which takes no pattern; a line's end would be stripped
+    return _not_blank(let(F.coalesce(text, F.lit("")), lambda t: F.coalesce(_split_after(t, "。！？；", "\\n"), F.split(t, "\n", -1))))
 
 
 def _codes(sentence: Column) -> Column:
@@ -392,11 +398,13 @@ def similarity_parts(text: Column, least: int = LEAST_TOKENS, most: int = MOST_T
 
 def clause_parts(text: Column, most: int = MOST_TOKENS, overlap: int = OVERLAP_TOKENS, least: int = SHORT_TOKENS) -> Column:
     """The parts of split_by_clauses(), as an array."""
-    clauses = F.flatten(F.transform(sentence_list(text), lambda s: _not_blank(_split_after(s, "，、；："))))
+    clauses = F.flatten(F.transform(sentence_list(text), lambda s: _not_blank(F.coalesce(_split_after(s, "，、；："), F.array(s)))))
     none = F.array().cast("array<string>")
 
     def pack(s: Column, unit: Column) -> Column:
-        n = token_count(unit)
+        return let(token_count(unit), lambda n: packed_with(s, unit, n))
+
+    def packed_with(s: Column, unit: Column, n: Column) -> Column:
         held = F.when(F.size(s["held"]) > 0, F.array(F.array_join(s["held"], ""))).otherwise(none)
         alone = F.struct(F.concat(s["parts"], held, _cut_up(unit, most)).alias("parts"), none.alias("held"), F.lit(0).alias("used"))
         kept = let(_last_within(s["held"], overlap), lambda k: F.struct(F.concat(s["parts"], held).alias("parts"), F.concat(k, F.array(unit)).alias("held"), (F.aggregate(k, F.lit(0), lambda a, x: a + token_count(x)) + n).alias("used")))
@@ -406,7 +414,7 @@ def clause_parts(text: Column, most: int = MOST_TOKENS, overlap: int = OVERLAP_T
     def join_short(parts: Column, x: Column) -> Column:
         return F.when((F.size(parts) > 0) & (token_count(x) < least), _with_last(parts, x)).otherwise(F.concat(parts, F.array(x)))
 
-    begins = let(clauses, lambda c: _runs(c, F.transform(c, lambda x, i: (i == 0) | ~x.rlike(f"^(?:{CONTINUES})")), "，"))
+    begins = let(clauses, lambda c: _runs(c, F.transform(c, lambda x, i: (i == 0) | (x < FIRST_CJK) | ~x.rlike(f"^(?:{CONTINUES})")), "，"))
     start = F.struct(none.alias("parts"), none.alias("held"), F.lit(0).alias("used"))
     packed = F.aggregate(begins, start, pack, lambda s: F.when(F.size(s["held"]) > 0, F.concat(s["parts"], F.array(F.array_join(s["held"], "")))).otherwise(s["parts"]))
     return F.aggregate(packed, none, join_short)

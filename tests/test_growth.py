@@ -182,3 +182,19 @@ def test_facts_look_for_each_pattern_once(spark):
         (3, "鱼", 0, "calories", "15KCAL", 0.9),
         (3, "鱼", 1, "suitable_for", "", 0.75),
     ]
+
+
+def test_clauses_and_blocks_run_patterns_only_where_marks_stand(spark):
+    ends = ["", " ", "\t", "\x0b", "\f", "\r", " \t\x0b"]
+    texts = [f"{a}{t}{b}" for a in ends for b in ends for t in ("one two", "一，而且二；三", "a\nb", "句。\n和，与：", "x" * 900, "和，" * 300)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    for r in df.select("t", chunks.clause_parts(F.col("t")).alias("p"), chunks.sentence_list(F.col("t")).alias("s")).collect():
+        assert r.p == chunks.split_by_clauses(r.t) and r.s == chunks.sentences(r.t), r.t
+    # no pattern is run over whole texts to join lines to blocks
+    joined = df.select(blocks.islands(F.split("t", "\n"), F.transform(F.split("t", "\n"), lambda x: x == "b")).alias("v"))
+    assert "regexp_replace" not in joined._jdf.queryExecution().optimizedPlan().toString() and joined.where("array_contains(v, 'b')").count() == len(ends)
+    lines = ["| a | b |", " | a |", "|-|", "# h", "#h", " # h", "- x", " \x0b* y", "-", "+ ", "\t", "", "\x0b\f", "plain", "*bold*"]
+    found = spark.createDataFrame([(i, x + "\n" + x) for i, x in enumerate(lines)], "id int, t string").select("id", blocks.block_list(F.col("t")).alias("b")).collect()
+    kinds = {lines[r.id]: [b.kind for b in r.b] for r in found}
+    assert kinds == {"| a | b |": ["table"], " | a |": ["text"], "|-|": ["table"], "# h": ["text", "text"], "#h": ["text"], " # h": ["text"], "- x": ["list"], " \x0b* y": ["list"], "-": ["text"], "+ ": ["text"], "\t": [], "": [], "\x0b\f": [], "plain": ["text"], "*bold*": ["text"]}
