@@ -9,8 +9,11 @@ no more."""
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,57 +22,90 @@ from . import graph, routing
 from . import retrieval as R
 from . import sparse_index as S
 from . import vector_index as V
-from .blocks import let
 
 TOP, READ, MOST_NEW, ROWS, DIM = 15, 5, 8, 50, 384
 NAMES_END = "\x1f"
 
 
-def dense_vectors(texts: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
-    """key and vector, the hashed dense vector as an array; texts without tokens have none."""
+def hashed_sums(terms: DataFrame, dim: int = DIM) -> DataFrame:
+    """key and sums, the hashed dense vector before it is scaled, dim whole numbers of 32 bits, of rows of sparse_index.terms();
+    those whose numbers are all zero are left out. A token is hashed once a batch."""
+
+    def run(batches):
+        for batch in batches:
+            size, tokens, tf = S._postings(batch)
+            tokens = tokens.dictionary_encode()
+            h = np.frombuffer(b"".join(hashlib.md5(t.encode()).digest()[:5] for t in tokens.dictionary.to_pylist()), np.uint8).reshape(-1, 5).astype(np.int64)
+            at, sign = (h[:, :4] @ (1 << np.array([24, 16, 8, 0]))) % dim, 1 - 2 * (h[:, 4] % 2)
+            token, row = tokens.indices.to_numpy(), np.repeat(np.arange(batch.num_rows), size)
+            x = np.bincount(row * dim + at[token], weights=sign[token] * tf, minlength=batch.num_rows * dim).reshape(-1, dim)
+            some = np.flatnonzero(x.any(axis=1))
+            packed = pa.array([r.tobytes() for r in x[some].astype(np.int32)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(some)), packed], ["key", "sums"])
+
+    return terms.where("dl > 0").select("key", "words", "tfs").mapInArrow(run, "key long, sums binary")
 
 
-    def filled(v: Column) -> Column:
-        # components are in order: each with the zeros before it, then those after the last
-        def zeros(n: Column) -> Column:
-            return F.array_repeat(F.lit(0.0), n.cast("int"))
+def _scaled(batches, rows: int = V.QUERY_ROWS):
+    """key and v, the vectors of rows of hashed_sums(), a part at a time."""
+    for big in batches:
+        for start in range(0, big.num_rows, rows):
+            batch = big.slice(start, rows)
+            x = S._numbers(batch.column("sums")).reshape(batch.num_rows, -1).astype(float)
+            x /= np.sqrt((x * x).sum(1, keepdims=True))
+            offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * x.shape[1]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.reshape(-1)))], ["key", "v"])
 
-        each = F.transform(v, lambda x, i: F.concat(zeros(x["idx"] - F.coalesce(F.get(v, i - 1)["idx"], F.lit(-1)) - 1), F.array(x["value"])))
-        return F.when(F.size(v) > 0, F.concat(F.flatten(each), zeros(dim - 1 - F.element_at(v, -1)["idx"])))
 
-    return texts.select(key, let(R.hashed_vector(F.col(text), dim), filled).alias("vector")).where("vector is not null")
+def _vectors(sums: DataFrame) -> DataFrame:
+    return sums.mapInArrow(_scaled, "key long, v array<double>")
+
+
+def dense_vectors(texts: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
+    """key and vector, the hashed dense vector as an array; texts without tokens have none. Keys are whole numbers."""
+    return _vectors(hashed_sums(S.terms(texts, key, text), dim)).select(F.col("key").alias(key), F.col("v").alias("vector"))
 
 
 @dataclass
 class Searcher:
-    """chunks: doc and text, indexed by sparse and dense; triples with confidence; facts: entity."""
+    """chunks: doc and text, indexed by sparse, and their hashed_sums(); triples with confidence; facts: entity. Few queries scan
+    the sums; an index of the vectors, of so many cells, is built when more come."""
 
     sparse: S.SparseIndex
-    dense: V.VectorIndex
+    sums: DataFrame
     chunks: DataFrame
     triples: DataFrame
     facts: DataFrame
     expand_by: tuple[str, ...] = graph.EXPAND
+    cells: int = V.CELLS
+    dense: V.VectorIndex | None = None
     found: dict[str, list[DataFrame]] = field(default_factory=lambda: {"semantic": [], "relation": [], "text2sql": []})
 
     @classmethod
     def over(cls, chunks: DataFrame, triples: DataFrame, facts: DataFrame, cells: int = V.CELLS, **kw) -> Searcher:
-        """Builds both indexes of chunks."""
+        """Builds the index of terms; vectors are made of its terms."""
         chunks = cut(chunks.select(F.col("doc").cast("long").alias("doc"), "text"))
         sparse = S.create(chunks.sparkSession)
         S.add(sparse, chunks, "doc", "text")
-        # written: the filters of build() would each make the vectors anew
-        dense = V.build(cut(dense_vectors(chunks, "doc", "text")), "doc", "vector", "l2", cells)
         # of equal triples a search uses the most confident alone
         once = triples.groupBy(*graph.SPO).agg(F.max("confidence").alias("confidence"))
-        return cls(sparse, dense, chunks, cut(once), cut(facts), **kw)
+        return cls(sparse, cut(hashed_sums(sparse.documents())), chunks, cut(once), cut(facts), cells=cells, **kw)
+
+    def near(self, vectors: DataFrame) -> DataFrame:
+        """query, key and value, the distance, of the 2 * TOP chunks nearest to each query (query, vector)."""
+        asked = vectors.select("query", F.col("vector").alias("qv")).limit(V.QUERY_ROWS + 1).toArrow()
+        if asked.num_rows <= V.QUERY_ROWS:
+            scan = V._scan_whole(2 * TOP, "l2", asked)
+            return V._best(self.sums.mapInArrow(lambda batches: scan(_scaled(batches)), "query long, key long, value double"), 2 * TOP)
+        if self.dense is None:
+            self.dense = V.build(cut(_vectors(self.sums)), "key", "v", "l2", self.cells)
+        return V.search(self.dense, vectors, "query", "vector", 2 * TOP, exact=True)
 
     def semantic(self, asked: DataFrame) -> DataFrame:
         """what, scores (best first) and names of texts (what: the search text)."""
         q = cut(asked.select("what", F.xxhash64("what").alias("query")))
         vectors = cut(dense_vectors(q, "query", "what"))
-        few = vectors.limit(V.QUERY_ROWS + 1).count() <= V.QUERY_ROWS
-        near = V.scan(self.dense, vectors, "query", "vector", 2 * TOP) if few else V.search(self.dense, vectors, "query", "vector", 2 * TOP, exact=True)
+        near = self.near(vectors)
         sparse = S.search(self.sparse, q, "query", "what", 2 * TOP)
         best = cut(R.hybrid_all(near.select("query", F.col("key").alias("doc"), F.col("value").alias("distance")), sparse, TOP))
         lists = best.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"]).alias("scores"))

@@ -177,15 +177,22 @@ def step(states: DataFrame) -> DataFrame:
     return out.select(*states.columns)
 
 
-def run(requests: DataFrame, retrieve: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame] = lambda states: states) -> DataFrame:
+def _whole(states: DataFrame) -> DataFrame:
+    return states
+
+
+def run(requests: DataFrame, retrieve: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame] = _whole) -> DataFrame:
     """Steps requests until all have ended. retrieve sets the evidence columns of the rows whose next_route it serves;
-    it is a projection or a join by the key of requests. Every row ends within MAX_STEPS + 1 steps, so no row is
-    collected to see whether to go on. cut ends the lineage of each step's states, by checkpoint() or a written table:
-    give it where retrieve joins, or where the result is filtered or joined, so that the optimiser need not look through
-    all steps at once."""
+    it is a projection or a join by the key of requests. Every row ends within MAX_STEPS + 1 steps. cut ends the lineage
+    of each step's states, by checkpoint() or a written table: give it where retrieve joins, or where the result is
+    filtered or joined, so that the optimiser need not look through all steps at once. Where it is given, the steps that
+    would find all rows ended aren't made."""
     states = start(requests)
     for _ in range(MAX_STEPS + 1):
-        states = retrieve(cut(step(states)))
+        states = cut(step(states))
+        if cut is not _whole and not states.where(~F.col("next_route").isin(*ENDS)).limit(1).count():
+            return states
+        states = retrieve(states)
     return cut(states)
 
 
